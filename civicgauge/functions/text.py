@@ -18,8 +18,12 @@ def as_column(value: Column | str) -> Column:
 
 def title_case(text: Column | str) -> Column:
     """``AG11-FOREST SERVICE`` -> ``Ag11-Forest Service``; ``U.S. FISH`` -> ``U.s. Fish``."""
+    def capitalise(word: Column) -> Column:
+        first = F.upper(word.substr(1, 1))  # may be two letters: one sharp s becomes SS, of which only one stays large
+        return F.concat(first.substr(1, 1), F.lower(F.substring(first, 2, 2)), F.substring(word, 2, 1 << 30))
+
     words = F.regexp_extract_all(F.lower(as_column(text)), F.lit(WORD_OR_CHARACTER), F.lit(0))
-    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(w.substr(1, 1)), F.substring(w, 2, 1 << 30))), "")
+    return F.array_join(F.transform(words, capitalise), "")
 
 
 def expand_abbreviations(text: Column | str, fixes: Mapping[str, str]) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 def read_table_csv(
     spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str, index_column: bool = False, separator: str = ",",
-    null_text: str = "NA", glob: str | None = None, multi_line: bool = True,
+    null_text: str = "NA", glob: str | None = None, multi_line: bool = True, header: bool = True,
 ) -> DataFrame:
     """CSV with a header; ``NA`` is null; quotes are doubled inside quoted text.
 
@@ -21,16 +21,18 @@ def read_table_csv(
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     if index_column:
         fields = T.StructType([T.StructField("__index", T.StringType()), *fields.fields])
-    reader = spark.read.schema(fields).option("header", True).option("sep", separator).option("nullValue", null_text) \
+    reader = spark.read.schema(fields).option("header", header).option("sep", separator).option("nullValue", null_text) \
         .option("multiLine", multi_line).option("escape", '"').option("enforceSchema", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
     return reader.csv(path if isinstance(path, str) else list(path)).drop("__index")
 
 
-def read_ragged(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str, glob: str | None = None) -> DataFrame:
+def read_ragged(
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str, glob: str | None = None, header: bool = True,
+) -> DataFrame:
     """Comma text whose short rows are filled up with null. Files are split over tasks."""
-    return read_table_csv(spark, path, schema, glob=glob, multi_line=False)
+    return read_table_csv(spark, path, schema, glob=glob, multi_line=False, header=header)
 
 
 def read_many(
@@ -61,12 +63,16 @@ def year_range(df: DataFrame, year: str = "year") -> DataFrame:
 
 
 def read_json_pages(
-    spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str, items: str, page: str = r"page=?(\d+)",
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str, items: str, keep: Sequence[str] = (),
+    page_in_path: str | None = r".*page=?(\d+)", multi_line: bool = True,
 ) -> DataFrame:
     """Landed result pages -> one row per record of the array at the dotted path ``items``.
 
-    Adds the page number found in the file name. Use ``flatten_struct`` for the nested fields; arrays stay arrays.
+    The page number comes from the file's path, or from a page's own columns named in ``keep``. ``multi_line=False`` reads
+    one page per line. Use ``flatten_struct`` for the nested fields; arrays stay arrays.
     """
-    pages = spark.read.schema(schema).option("multiLine", True).json(path if isinstance(path, str) else list(path))
-    number = F.regexp_extract(F.col("_metadata.file_name"), page, 1).try_cast("int")
-    return pages.select(F.explode(items).alias("item"), number.alias("page")).select("item.*", "page")
+    pages = spark.read.schema(schema).option("multiLine", multi_line).json(path if isinstance(path, str) else list(path))
+    tags = [F.col(c) for c in keep]
+    if page_in_path:
+        tags.append(F.regexp_extract(F.col("_metadata.file_path"), page_in_path, 1).try_cast("int").alias("page"))
+    return pages.select(F.explode(items).alias("__item"), *tags).select("__item.*", *[c for c in (*keep, "page" if page_in_path else None) if c])

@@ -1,4 +1,6 @@
 """Queries on the given tables: each pairs a DataFrame job with the SQL that must give the same rows."""
 
-# modules register their queries on import
-from queries.registry import ORACLES, QUERIES  # noqa: F401
+from importlib import import_module
+
+for _area in ("challenges", "staffing", "hiring", "opensource", "operators", "checks", "summary"):
+    import_module(f"queries.{_area}")

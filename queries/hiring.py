@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicgauge.functions import count_term, normalise_bool, parse_object, to_number
+from civicgauge.operators.incremental import consolidate_hits
 from civicgauge.plans import hiring as jobs
 from queries import stand_ins as data
 from queries.registry import load, query
@@ -95,21 +96,22 @@ def postings_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-SELECT l_orderkey AS usajobs_control_number, string_agg(DISTINCT l_linestatus, ', ' ORDER BY l_linestatus) AS job_series,
-  string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ', ' ORDER BY CAST(l_suppkey AS VARCHAR)) AS job_city,
-  string_agg(DISTINCT l_returnflag, ', ' ORDER BY l_returnflag) AS job_state,
-  string_agg(DISTINCT CAST(year(l_shipdate) AS VARCHAR), ', ' ORDER BY CAST(year(l_shipdate) AS VARCHAR)) AS job_country,
-  string_agg(DISTINCT CAST(l_linenumber AS VARCHAR), ', ' ORDER BY CAST(l_linenumber AS VARCHAR)) AS hiring_paths_all
-FROM lineitem GROUP BY l_orderkey
+WITH w AS (SELECT doc_id, string_split(text, ' ') AS words, string_split(text, chr(10)) AS lines FROM documents)
+SELECT doc_id AS usajobs_control_number, array_to_string(list_sort(list_distinct(words)), ', ') AS job_series,
+  array_to_string(list_sort(list_distinct(lines)), ', ') AS job_city,
+  array_to_string(list_sort(list_distinct(list_transform(lines, lambda l: l[1:1]))), ', ') AS job_state,
+  array_to_string(list_sort(list_distinct(list_transform(lines, lambda l: CAST(length(l) AS VARCHAR)))), ', ') AS job_country,
+  'public' AS hiring_paths_all
+FROM w
 """)
 def children_consolidated(spark: SparkSession, folder: str) -> DataFrame:
-    """Order lines as the nested children of an announcement, texts built within the row."""
-    nested = load(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("usajobs_control_number")).agg(
-        F.collect_list(F.struct(F.col("l_linestatus").alias("series"))).alias("job_categories"),
-        F.collect_list(F.struct(
-            F.col("l_suppkey").alias("positionLocationCity"), F.col("l_returnflag").alias("positionLocationState"),
-            F.year("l_shipdate").alias("positionLocationCountry"))).alias("position_locations"),
-        F.collect_list(F.struct(F.col("l_linenumber").alias("hiringPath"))).alias("hiring_paths"))
+    """Words and lines of a text as the nested children of an announcement; the lists are built within the row."""
+    lines = F.transform(F.split("text", "\n"), lambda t: F.struct(
+        t.alias("positionLocationCity"), t.substr(1, 1).alias("positionLocationState"), F.length(t).alias("positionLocationCountry")))
+    nested = load(spark, folder, "documents").select(
+        F.col("doc_id").alias("usajobs_control_number"),
+        F.transform(F.split("text", " "), lambda w: F.struct(w.alias("series"))).alias("job_categories"), lines.alias("position_locations"),
+        F.array(F.struct(F.lit("public").alias("hiringPath"))).alias("hiring_paths"))
     return jobs.children_consolidated(nested)
 
 
@@ -121,8 +123,6 @@ SELECT DISTINCT user_id, CAST(ts AS DATE) AS day, all_keywords FROM events JOIN
 """)
 def postings_consolidated(spark: SparkSession, folder: str) -> DataFrame:
     """Events as search hits: a (user, day) found by several event types, terms found twice listed twice."""
-    from civicgauge.operators.incremental import consolidate_hits
-
     hits = load(spark, folder, "events").select("user_id", F.to_date("ts").alias("day"), "event_type", F.col("event_id").alias("page"))
     return consolidate_hits(hits, ["user_id", "day"], "event_type", volatile=["page"])
 
@@ -236,12 +236,12 @@ announced AS (
     o_orderdate AS day, year(o_orderdate) || ' Q' || quarter(o_orderdate) AS quarter, o_orderpriority = '1-URGENT' AS is_it
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 ),
-kept AS (
+posted AS (
   SELECT * FROM announced WHERE year(day) BETWEEN 1996 AND 2001 AND quarter <> '2001 Q3' AND NOT (clean_name = 'NATION_3' AND quarter = '2001 Q2')
 )"""
 SHARE_SQL = """
 SELECT clean_name, type, category, {period} AS period, count(*) AS announcements, count(*) FILTER (is_it) AS num_it,
-  count(*) FILTER (is_it) / CAST(count(*) AS DOUBLE) * 100 AS pct_it FROM kept GROUP BY clean_name, type, category, {period}
+  count(*) FILTER (is_it) / CAST(count(*) AS DOUBLE) * 100 AS pct_it FROM posted GROUP BY clean_name, type, category, {period}
 """
 
 

@@ -96,5 +96,5 @@ def join_items(items: Column | str, separator: str = ", ", distinct: bool = Fals
     """Array of strings -> one string; null elements are skipped."""
     out = as_column(items)
     out = F.array_distinct(out) if distinct else out
-    out = F.array_sort(out) if ordered else out
+    out = F.sort_array(out) if ordered else out
     return F.array_join(out, separator)

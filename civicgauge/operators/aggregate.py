@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicgauge.functions.numbers import ratio, share
-from civicgauge.operators.joins import join_null_safe
 
 
 def count_by(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
@@ -75,7 +74,7 @@ def texts_by(rows: DataFrame, keys: Sequence[str], names: Sequence[str], separat
     a key is the text it has to return, not the key's rows.
     """
     def text(at: int) -> Column:
-        values = F.array_sort(F.collect_list(F.when(F.col("__at") == at, F.col("__v"))))
+        values = F.sort_array(F.collect_list(F.when(F.col("__at") == at, F.col("__v"))))
         return F.nullif(F.array_join(values, separator), F.lit(""))
 
     return rows.distinct().groupBy(*keys).agg(*[text(i).alias(name) for i, name in enumerate(names)])
@@ -88,7 +87,7 @@ def concat_all_by(df: DataFrame, keys: Sequence[str], column: str, name: str, se
     """
     counted = df.groupBy(*keys, column).agg(F.count(F.lit(1)).cast("int").alias("__n"))
     word = F.struct(F.col(column).alias("value"), F.col("__n").alias("n"))
-    words = F.array_sort(F.collect_list(F.when(F.col(column).isNotNull(), word)))
+    words = F.sort_array(F.collect_list(F.when(F.col(column).isNotNull(), word)))
     repeated = F.flatten(F.transform(words, lambda w: F.array_repeat(w["value"], w["n"])))
     return counted.groupBy(*keys).agg(F.nullif(F.array_join(repeated, separator), F.lit("")).alias(name))
 
@@ -118,18 +117,20 @@ def per_member(
 ) -> DataFrame:
     """Group total divided by the number of distinct members active in the (coarser) member group.
 
-    The data is reduced once to one row per (all keys, member); totals and member counts both come from that.
+    ``member_keys`` are some or all of ``total_keys``. The data is reduced once to one row per (keys, member); grouping
+    sets then give totals and member counts together, and the few totals of a member group take its count from there.
     """
     cell = F.lit(1) if measure is None else measure
-    keys = list(dict.fromkeys([*total_keys, *member_keys, member]))
-    reduced = df.groupBy(*keys).agg(sum_or_zero(cell).alias("__cell"))
+    reduced = df.groupBy(*total_keys, member).agg(sum_or_zero(cell).alias("__cell"))
+    figures = [sum_or_zero("__cell").alias(total_name), F.count_distinct(member).alias(member_name)]
     if set(total_keys) == set(member_keys):
-        out = reduced.groupBy(*total_keys).agg(
-            sum_or_zero("__cell").alias(total_name), F.count_distinct(member).alias(member_name))
+        out = reduced.groupBy(*total_keys).agg(*figures)
     else:
-        totals = reduced.groupBy(*total_keys).agg(sum_or_zero("__cell").alias(total_name))
-        members = reduced.groupBy(*member_keys).agg(F.count_distinct(member).alias(member_name))
-        out = join_null_safe(totals, members, list(member_keys), "inner")
+        columns = {k: F.col(k) for k in total_keys}
+        sets = [list(columns.values()), [columns[k] for k in member_keys]]
+        both = reduced.groupingSets(sets, *columns.values()).agg(F.grouping_id().alias("__level"), *figures)
+        coarse = F.max(F.when(F.col("__level") > 0, F.col(member_name))).over(Window.partitionBy(*member_keys))
+        out = both.withColumn(member_name, coarse).filter(F.col("__level") == 0).drop("__level")
     return out.withColumn(result, ratio(total_name, member_name))
 
 

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,12 +39,14 @@ def join_natural(left: DataFrame, right: DataFrame, how: str = "inner") -> DataF
 
 
 def unique_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``df`` with a check that stops the job if a key occurs twice. Grouping by the key also partitions for the join."""
-    rest = [c for c in df.columns if c not in keys]
-    checked = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"), *[F.any_value(c).alias(c) for c in rest])
-    message = F.concat(F.lit("more than one row for "), F.to_json(F.struct(*keys)))
-    return checked.filter(F.when(F.col("__n") == 1, True).otherwise(F.raise_error(message).cast("boolean"))).select(*df.columns)
+    """``df`` with a check that stops the job if a key occurs twice.
+
+    The check is a scalar subquery that reads the keys only, so ``df`` itself keeps its size estimate for the join.
+    """
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    most = counted.agg(F.max("__n")).scalar()
+    error = F.raise_error(F.lit(f"more than one row for a value of {', '.join(keys)}")).cast("boolean")
+    return df.filter(F.when(F.coalesce(most, F.lit(0)) <= 1, True).otherwise(error))
 
 
 def enrich_star(
@@ -79,12 +81,18 @@ def _existence(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -
     return df.join(known, test, how)
 
 
-def with_group_total(df: DataFrame, keys: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
+def with_group_total(df: DataFrame, keys: Sequence[str], totals: Mapping[str, Column], reduced: bool = False) -> DataFrame:
     """Add aggregates of each row's group to the row.
 
     The totals are aggregated first (partial sums in every task) and joined back, so a group holding a large part of all
-    rows is never gathered in one task, as a window over the group would do.
+    rows is never gathered in one task, as a window over the group would do. This evaluates ``df`` twice.
+
+    ``reduced`` says that ``df`` is an aggregate with few rows per group (years, classes, scores): then a window adds the
+    totals with one evaluation of ``df``.
     """
+    if reduced:
+        group = Window.partitionBy(*keys)
+        return df.withColumns({name: c.over(group) for name, c in totals.items()})
     per_group = df.groupBy(*keys).agg(*[c.alias(name) for name, c in totals.items()])
     return join_null_safe(df, per_group, keys, "left")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from civicgauge.functions.numbers import ratio
 from civicgauge.operators.aggregate import sum_or_zero
-from civicgauge.operators.joins import join_null_safe, with_group_total
+from civicgauge.operators.joins import with_group_total
 
 
 def top_n_per_group(
@@ -26,34 +26,40 @@ def top_n_per_group(
 
 
 def top_n_with_other(
-    df: DataFrame, group: Sequence[str], item: str, measure: str, n: int, other: str = "Other",
+    df: DataFrame, group: Sequence[str], item: str, measure: str, n: int, other: str = "Other", parts: int = 64,
 ) -> DataFrame:
     """Top n items per group and one row with the sum of the rest; zero items are dropped.
 
-    ``df`` holds one row per (group, item). The short top list is joined back and the rest is summed with partial
-    aggregation, so a group with very many items is never ranked in one task.
+    ``df`` holds one row per (group, item). Items are first ranked within ``parts`` slices of their group: what is not in
+    the top n of its slice cannot be in the top n of the group, and is summed at once. The second ranking sees at most
+    ``parts * (n + 1)`` rows per group, so a group with very many items is never sorted in one task, and ``df`` is
+    evaluated once.
     """
-    positive = df.filter(F.col(measure) > 0)
-    top = top_n_per_group(positive, group, measure, [item], n).select(*group, item, F.lit(True).alias("__top"))
-    marked = join_null_safe(positive, top, [*group, item], "left")
-    label = F.when(F.col("__top"), F.col(item)).otherwise(F.lit(other))
-    return marked.groupBy(*group, label.alias(item)).agg(F.sum(measure).alias(measure))
-
-
-def keep_group_extreme(df: DataFrame, group: Sequence[str], column: str) -> DataFrame:
-    """Rows equal to their group's maximum, ties kept."""
-    newest = with_group_total(df, group, {"__max": F.max(column)})
+    positive = df.filter(F.col(measure) > 0).withColumn("__part", F.pmod(F.xxhash64(item), F.lit(parts)))
+    largest_first = [F.desc(measure), F.asc(item)]
+    in_part = F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*largest_first))
+    ranked = positive.withColumn("__candidate", in_part <= n)
+    candidates = ranked.groupBy(*group, "__part", "__candidate", F.when(F.col("__candidate"), F.col(item)).alias(item)).agg(
+        F.sum(measure).alias(measure))
+    in_group = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("__candidate"), *largest_first))
+    label = F.when(F.col("__candidate") & (in_group <= n), F.col(item)).otherwise(F.lit(other))
+    return candidates.withColumn(item, label).groupBy(*group, item).agg(F.sum(measure).alias(measure))
+
+
+def keep_group_extreme(df: DataFrame, group: Sequence[str], column: str, reduced: bool = False) -> DataFrame:
+    """Rows equal to their group's maximum, ties kept. ``reduced``: few rows per group, see ``with_group_total``."""
+    newest = with_group_total(df, group, {"__max": F.max(column)}, reduced)
     return newest.filter(F.col(column) == F.col("__max")).drop("__max")
 
 
-def latest_per_group(df: DataFrame, group: Sequence[str], period: str) -> DataFrame:
+def latest_per_group(df: DataFrame, group: Sequence[str], period: str, reduced: bool = False) -> DataFrame:
     """The rows of the newest period of each group, ties kept."""
-    return keep_group_extreme(df, group, period)
+    return keep_group_extreme(df, group, period, reduced)
 
 
-def share_in_group(df: DataFrame, group: Sequence[str], measure: str, name: str = "percent") -> DataFrame:
+def share_in_group(df: DataFrame, group: Sequence[str], measure: str, name: str = "percent", reduced: bool = False) -> DataFrame:
     """Value divided by the sum over its group; all rows stay."""
-    out = with_group_total(df, group, {"__total": F.sum(measure)})
+    out = with_group_total(df, group, {"__total": F.sum(measure)}, reduced)
     return out.withColumn(name, ratio(measure, "__total")).drop("__total")
 
 
@@ -63,7 +69,7 @@ def mark_duplicates(df: DataFrame, key: Sequence[str], order: Sequence[str], nam
     The first row of each key is a minimum, found with partial aggregation and joined back: copies of one key may fill a
     third of the table without being sorted in one task.
     """
-    rank = F.struct(*order)
+    rank = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     out = with_group_total(df, key, {"__first": F.min(rank)})
     return out.withColumn(name, ~rank.eqNullSafe(F.col("__first"))).drop("__first")
 

@@ -102,8 +102,8 @@ def consolidate_children_by(
 
 
 def _strings(array: str, field: str | None) -> Column:
-    value = F.col(array) if field is None else F.transform(F.col(array), lambda e: e[field])
-    return F.array_compact(value.cast("array<string>"))
+    value = F.col(array) if field is None else F.col(array)[field]  # a field of an array of structs is an array
+    return value.cast("array<string>")
 
 
 def twin_columns(columns: Sequence[str], ending: str = "count", twin: str = "per") -> dict[str, str]:

@@ -25,6 +25,7 @@ from civicgauge.operators.reshape import (
     consolidate_children, consolidate_children_by, explode_delimited, pivot_wide, unnest, unpivot_long,
 )
 from civicgauge.plans import fixed_values as fixed
+from civicgauge.session import durable
 
 FLAGS = list(fixed.KEYWORDS)
 
@@ -38,22 +39,27 @@ def postings_consolidated(pulls: DataFrame, key: str = "id", term: str = "keywor
 
 def postings_tidy(
     postings: DataFrame, keywords: Mapping[str, str] = fixed.KEYWORDS, labels: Mapping[str, str] = fixed.MISSION_CRITICAL_LABELS,
+    unique_ids: bool = False,
 ) -> DataFrame:
     """Flat postings: dates, days open, title-cased names, series, paths, tags, keyword flags, pay range, duties.
 
-    One row per posting, grade and pay range. Children of postings with the same id and names are listed together.
-    Postings without a series, a hiring path, a pay range or any keyword flag are left out.
+    One row per posting, grade and pay range. Children of postings with the same id and names are listed together; where
+    ``unique_ids`` promises one row per id, this happens within the row and nothing is shuffled. Postings without a
+    series, a hiring path, a pay range or any keyword flag are left out.
     """
     names = {c: title_case(c) for c in ("agency", "subagency", "position", "openings")}
     dated = postings.withColumns({
         "date_posted": parse_date("date_posted"), "date_closes": parse_date("date_closes"), **names})
     dated = dated.withColumn("days_open", duration_days("date_posted", "date_closes"))
     keys = ["id", "agency", "subagency", "position"]
-    series = consolidate_children_by(dated, keys, {"all_series": ("series", "Name"), "all_series_code": ("series", "Code")})
-    paths = consolidate_children_by(
-        dated, [*keys, "date_posted", "date_closes"], {"hiring_paths": ("hiring_path", None), "all_mco_tags": ("mco_tags", None)})
-    merged = join_null_safe(dated, series, keys)
-    merged = join_null_safe(merged, paths, [*keys, "date_posted", "date_closes"])
+    series = {"all_series": ("series", "Name"), "all_series_code": ("series", "Code")}
+    paths = {"hiring_paths": ("hiring_path", None), "all_mco_tags": ("mco_tags", None)}
+    if unique_ids:
+        merged = consolidate_children(dated, {**series, **paths}, drop=False)
+    else:
+        merged = join_null_safe(dated, consolidate_children_by(dated, keys, series), keys)
+        keys = [*keys, "date_posted", "date_closes"]
+        merged = join_null_safe(merged, consolidate_children_by(dated, keys, paths), keys)
     merged = merged.filter(F.col("all_series_code").isNotNull() & F.col("hiring_paths").isNotNull())
     flagged = merged.withColumns({
         **hit_flags("all_keywords", keywords), "subagency": expand_abbreviations("subagency", {"U.s.": "U.S."}),
@@ -165,7 +171,7 @@ def keyword_count_distribution(df: DataFrame, entity: str = "subagency", column:
 
 
 def _share_of_entity(counted: DataFrame, entity: str, count: str, total: str, result: str) -> DataFrame:
-    return with_group_total(counted, [entity], {total: F.sum(count)}).withColumn(result, share(count, total))
+    return with_group_total(counted, [entity], {total: F.sum(count)}, reduced=True).withColumn(result, share(count, total))
 
 
 def salary_band_keywords(
@@ -229,7 +235,7 @@ def it_share_by_period(
 
 def it_share_latest(by_year: DataFrame, entity: Sequence[str] = ("clean_name",)) -> DataFrame:
     """The newest year of each entity."""
-    return latest_per_group(by_year, entity, "period")
+    return latest_per_group(by_year, entity, "period", reduced=True)
 
 
 def it_posting_totals(summary: DataFrame, entity: str = "clean_name") -> DataFrame:
@@ -274,6 +280,7 @@ def hiring_core_stats(
     staff = staff.select(recode("name", fixed.WORKFORCE_NAME_FIXES).alias("name"), "total_workforce")
     stats = lookup(stats, staff, entity, "name", "total_workforce")
     stats = stats.withColumn("tech_wf_ratio", ratio("num_tech", "total_workforce"))
+    stats = durable(stats, "core-stats")  # one row per entity; without this the mean would read all postings again
     mean = mean_of_ratios(stats, "num_tech", "num_listings")
     return with_scalar(stats, "__mean", mean).withColumn(
         "expected_tech", F.col("num_listings") * F.col("__mean")).drop("__mean", "total_workforce")

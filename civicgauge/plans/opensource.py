@@ -75,11 +75,11 @@ def repo_activity(repos: DataFrame, recent_after: str = fixed.RECENT_COMMITS_AFT
     return out.withColumn("per_repos_commits_6m", ratio("repo_commits_6m", "num_repos"))
 
 
-def repos_per_million(activity: DataFrame, spend: DataFrame) -> DataFrame:
-    """Repositories per million of spending; agencies without spending or repositories are left out."""
-    joined = join_natural(spend, activity, "left")
-    return drop_incomplete(joined, ["total_funding", "num_repos"]).withColumn(
-        "repo_per_million", ratio("num_repos", "total_funding"))
+def repos_per_million(activity: DataFrame, spend: DataFrame, complete: bool = True) -> DataFrame:
+    """Repositories per million of spending; agencies without spending or repositories are left out if ``complete``."""
+    joined = join_natural(spend, activity, "left" if complete else "full")
+    joined = drop_incomplete(joined, ["total_funding", "num_repos"]) if complete else joined
+    return joined.withColumn("repo_per_million", ratio("num_repos", "total_funding"))
 
 
 def language_counts(repos: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def language_top(
         names, "sub_agency", "right").filter(F.col("languages").isNotNull())
     per_name = shown.groupBy("sub_agency_abbrev", "languages").agg(F.sum("count").alias("count"))
     top = top_n_with_other(per_name, ["sub_agency_abbrev"], "languages", "count", n)
-    out = share_in_group(top, ["sub_agency_abbrev"], "count").join(
+    out = share_in_group(top, ["sub_agency_abbrev"], "count", reduced=True).join(
         order_rank(top, "languages", "count", last="Other"), "languages").join(names, "sub_agency_abbrev", "left")
     return out if flags is None else out.join(flags, "sub_agency", "left")
 

@@ -11,7 +11,7 @@ from civicgauge.functions import (
     classify_tiers, crosswalk_band, exact_mean, first_rule, group_of, match_any, pad_code, ratio, share, to_number,
 )
 from civicgauge.operators.aggregate import period_change, sum_or_zero, sum_when
-from civicgauge.operators.joins import enrich_star, join_null_safe, join_on, keep_matching
+from civicgauge.operators.joins import enrich_star, join_on, keep_matching, with_group_total
 from civicgauge.operators.project import clean_names, relocate
 from civicgauge.operators.ranking import latest_per_group, order_rank, top_n_global
 from civicgauge.operators.reshape import unpivot_long
@@ -117,7 +117,7 @@ def tech_ratio(totals: DataFrame) -> DataFrame:
 
 def tech_pct_latest(ratios: DataFrame, entity: str = "clean_name", year: str = "year") -> DataFrame:
     """Newest tech % per entity with its display rank."""
-    newest = latest_per_group(ratios.select(entity, year, "tech_pct"), [entity], year)
+    newest = latest_per_group(ratios.select(entity, year, "tech_pct"), [entity], year, reduced=True)
     return newest.join(order_rank(newest, entity, "tech_pct"), entity)
 
 
@@ -160,8 +160,8 @@ def supervisor_share(
     if levels is not None:
         rows = enrich_star(rows, [(levels, ["supervis"])])
     by_level = rows.groupBy(*keys, level).agg(F.sum(measure).alias("employees"), F.avg(service).alias("mean_los"))
-    totals = by_level.groupBy(*keys).agg(F.sum("employees").alias("STEM_tech"))
-    out = join_null_safe(by_level, totals, keys).withColumn("per_supervis", share("employees", "STEM_tech"))
+    out = with_group_total(by_level, keys, {"STEM_tech": F.sum("employees")}, reduced=True)
+    out = out.withColumn("per_supervis", share("employees", "STEM_tech"))
     return out.filter(F.col(level) != not_shown) if not_shown else out
 
 
@@ -179,9 +179,8 @@ def grade_mix(
     tech = df.filter(F.col(class_column) == "STEM_tech")
     by_band = tech.groupBy(*keys, crosswalk_band(grade, crosswalk, bands).alias("pay_scale_simple")).agg(
         F.sum(measure).alias("total_emp"))
-    totals = by_band.groupBy(*keys).agg(F.sum("total_emp").alias("all_IT"))
-    out = join_null_safe(by_band.filter(F.col("pay_scale_simple").isNotNull()), totals, keys)
-    return out.withColumn("percent", share("total_emp", "all_IT"))
+    out = with_group_total(by_band, keys, {"all_IT": F.sum("total_emp")}, reduced=True)
+    return out.filter(F.col("pay_scale_simple").isNotNull()).withColumn("percent", share("total_emp", "all_IT"))
 
 
 def employment_trends(

@@ -9,7 +9,7 @@ from civicgauge.operators.project import rename_to_title
 
 
 def indicator_summary(
-    entities: DataFrame, staffing: DataFrame, challenges: DataFrame, hiring: DataFrame, activity: DataFrame, spend_ratio: DataFrame,
+    entities: DataFrame, staffing: DataFrame, challenges: DataFrame, hiring: DataFrame, repos: DataFrame,
     key: str = "clean_name", flag: str = "flag", marked: str = "Yes",
 ) -> DataFrame:
     """Newest tech %, tech challenges, IT posting %, active-repository share and repositories per million, by entity.
@@ -21,8 +21,7 @@ def indicator_summary(
         staffing.select(key, (F.col("tech_pct") / 100).alias("workforce_tech")),
         challenges.select(key, F.col("tech_chal").alias("tech_challenges")),
         hiring.select(key, (F.col("pct_it") / 100).alias("it_postings")),
-        activity.select(key, F.col("per_repos_commits_6m").alias("active_repos")),
-        spend_ratio.select(key, "repo_per_million"),
+        repos.select(key, F.col("per_repos_commits_6m").alias("active_repos"), "repo_per_million"),
     ):
         out = out.join(side, key, "left")
     return out.withColumn("color_col", F.when(F.col(flag) == marked, 1).otherwise(0))

@@ -10,7 +10,7 @@ from civicgauge.functions import count_term, normalise_bool, parse_object, to_nu
 from civicgauge.operators.incremental import consolidate_hits
 from civicgauge.plans import hiring as jobs
 from queries import stand_ins as data
-from queries.registry import load, query
+from queries.registry import ORACLES, load, query
 
 
 def _list(template: str, separator: str = ", ", names: list[str] = data.KEYWORDS) -> str:
@@ -41,6 +41,17 @@ SELECT doc_id AS id, 'Src ' || replace(source, 'src', '') AS agency, replace(sub
 FROM d CROSS JOIN (VALUES ('GS'), ('ZP')) g(grade) WHERE all_keywords <> 'Permit'
 """)
 def postings_tidy(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as nested postings, children gathered over all rows of an id."""
+    return _postings_tidy(spark, folder, unique_ids=False)
+
+
+@query(ORACLES["postings_tidy"])
+def postings_tidy_unique_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, children gathered within the row."""
+    return _postings_tidy(spark, folder, unique_ids=True)
+
+
+def _postings_tidy(spark: SparkSession, folder: str, unique_ids: bool) -> DataFrame:
     """Documents as nested postings: series, grades, paths, tags, pay and duties are arrays."""
     english = F.col("lang") == "en"
     series = "array<struct<Name:string,Code:string>>"
@@ -60,7 +71,7 @@ def postings_tidy(spark: SparkSession, folder: str) -> DataFrame:
             F.col("n_chars").cast("string").alias("MinimumRange"), F.lit("0").alias("MaximumRange"),
             F.lit("PH").alias("RateIntervalCode"), F.lit("Per Hour").alias("Description"))).alias("salary_rage"),
         F.split("text", "\n").alias("major_duties"), F.when(found == "", other).otherwise(found).alias("all_keywords"))
-    return jobs.postings_tidy(raw).select(
+    return jobs.postings_tidy(raw, unique_ids=unique_ids).select(
         "id", "agency", "subagency", "all_series_code", "all_series", "date_posted", "date_closes", "days_open", "hiring_paths",
         "all_mco_tags", "mco_tags_tidy", "data", "tech", "gis", "total_keywords", "grade_type_code", "minimum_range", "description",
         "tidy_duties")

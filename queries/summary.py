@@ -44,6 +44,5 @@ def indicator_summary(spark: SparkSession, folder: str) -> DataFrame:
         hiring_queries.announcements(spark, folder), first_year=1996, last_year=2001, skip=["2001 Q3"],
         skip_for={"NATION_3": ["2001 Q2"]}))
     activity = opensource.repo_activity(repo_queries.kept(spark, folder), repo_queries.RECENT)
-    spending = repo_queries.indicator(spark, folder)
-    return summary.indicator_summary(
-        entities, tech, named(prizes, "tidy_agy"), posted, named(activity, "sub_agency"), named(spending, "sub_agency"))
+    repos = opensource.repos_per_million(activity, data.spend(spark, folder), complete=False)
+    return summary.indicator_summary(entities, tech, named(prizes, "tidy_agy"), posted, named(repos, "sub_agency"))

@@ -90,13 +90,19 @@ def top_n_global(
     return top.unionByName(named).distinct()
 
 
-def order_rank(df: DataFrame, label: str, measure: str, last: str | None = None, name: str = "sort_rank") -> DataFrame:
-    """Display order of labels by descending total, with one label (``Other``) last: one row per label.
+def with_order_rank(df: DataFrame, label: str, measure: str, last: str | None = None, name: str = "sort_rank") -> DataFrame:
+    """Number the labels of a result for display: by descending total, with one label (``Other``) last.
 
-    The window has no partition key and so runs in one task. It sees one row per label, and a display has few labels:
-    they come from a top-n per group, never from raw rows.
+    The numbering window has no partition key and so runs in one task. It is meant for a finished result, such as a top-n
+    per group or one row per entity, and never for raw rows.
     """
-    totals = df.groupBy(label).agg(sum_or_zero(measure).alias("__total"))
     is_last = (F.col(label) == last).cast("int") if last else F.lit(0)
+    total = F.sum(measure).over(Window.partitionBy(label))
     order = Window.orderBy(is_last, F.desc("__total"), F.asc(label))
-    return totals.select(label, F.row_number().over(order).alias(name))
+    return df.withColumn("__total", total).withColumn(name, F.dense_rank().over(order)).drop("__total")
+
+
+def order_rank(df: DataFrame, label: str, measure: str, last: str | None = None, name: str = "sort_rank") -> DataFrame:
+    """One row per label with its display number; the labels are aggregated before they are numbered."""
+    totals = df.groupBy(label).agg(sum_or_zero(measure).alias("__sum"))
+    return with_order_rank(totals, label, "__sum", last, name).drop("__sum")

@@ -12,7 +12,7 @@ from civicgauge.operators.aggregate import concat_all_by, count_when, sum_or_zer
 from civicgauge.operators.combine import union_strict
 from civicgauge.operators.joins import join_natural
 from civicgauge.operators.project import drop_incomplete, drop_members
-from civicgauge.operators.ranking import order_rank, share_in_group, top_n_with_other
+from civicgauge.operators.ranking import share_in_group, top_n_with_other, with_order_rank
 from civicgauge.operators.reshape import item_counts, item_matrix
 from civicgauge.plans import fixed_values as fixed
 from civicgauge.sources.readers import read_many
@@ -104,8 +104,8 @@ def language_top(
         names, "sub_agency", "right").filter(F.col("languages").isNotNull())
     per_name = shown.groupBy("sub_agency_abbrev", "languages").agg(F.sum("count").alias("count"))
     top = top_n_with_other(per_name, ["sub_agency_abbrev"], "languages", "count", n)
-    out = share_in_group(top, ["sub_agency_abbrev"], "count", reduced=True).join(
-        order_rank(top, "languages", "count", last="Other"), "languages").join(names, "sub_agency_abbrev", "left")
+    shares = share_in_group(top, ["sub_agency_abbrev"], "count", reduced=True)
+    out = with_order_rank(shares, "languages", "count", last="Other").join(names, "sub_agency_abbrev", "left")
     return out if flags is None else out.join(flags, "sub_agency", "left")
 
 

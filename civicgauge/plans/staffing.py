@@ -13,7 +13,7 @@ from civicgauge.functions import (
 from civicgauge.operators.aggregate import period_change, sum_or_zero, sum_when
 from civicgauge.operators.joins import enrich_star, join_on, keep_matching, with_group_total
 from civicgauge.operators.project import clean_names, relocate
-from civicgauge.operators.ranking import latest_per_group, order_rank, top_n_global
+from civicgauge.operators.ranking import latest_per_group, top_n_global, with_order_rank
 from civicgauge.operators.reshape import unpivot_long
 from civicgauge.plans import fixed_values as fixed
 from civicgauge.sources.readers import pick_files, read_ragged, with_path_year
@@ -118,7 +118,7 @@ def tech_ratio(totals: DataFrame) -> DataFrame:
 def tech_pct_latest(ratios: DataFrame, entity: str = "clean_name", year: str = "year") -> DataFrame:
     """Newest tech % per entity with its display rank."""
     newest = latest_per_group(ratios.select(entity, year, "tech_pct"), [entity], year, reduced=True)
-    return newest.join(order_rank(newest, entity, "tech_pct"), entity)
+    return with_order_rank(newest, entity, "tech_pct")
 
 
 def headcount_change(

@@ -62,7 +62,7 @@ def vocabulary_report(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---- daily pulls ----
 
-PULL = "l_orderkey bigint, l_linenumber int, l_suppkey bigint, l_quantity double, l_shipdate timestamp"
+PULL = "l_orderkey bigint, l_linenumber int, l_suppkey bigint, l_quantity double, l_shipdate timestamp_ntz"
 APPEND_SQL = """
 WITH store AS (SELECT * FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'),
 pull AS (SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01')

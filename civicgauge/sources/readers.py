@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def read_table_csv(
@@ -35,6 +37,13 @@ def read_ragged(
     return read_table_csv(spark, path, schema, glob=glob, multi_line=False, header=header)
 
 
+def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType | str) -> DataFrame:
+    """A small lookup table written in code. It is part of the plan, with a known size, so joins can broadcast it."""
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    columns = [pa.array([row[i] for row in rows], to_arrow_type(f.dataType)) for i, f in enumerate(fields.fields)]
+    return spark.createDataFrame(pa.table(columns, names=fields.names), fields)
+
+
 def read_many(
     spark: SparkSession, folder: str | Sequence[str], schema: T.StructType | str, glob: str = "*.csv", index_column: bool = False,
     multi_line: bool = True,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicgauge.plans import opensource as jobs
+from civicgauge.sources.readers import literal_table
 from queries import stand_ins as data
 from queries.registry import load, query
 
@@ -46,7 +47,7 @@ def names(spark: SparkSession, folder: str) -> DataFrame:
     """Agency names to show: all but the last, and one without data."""
     shown = load(spark, folder, "nation").filter(F.col("n_name") != "NATION_24").select(
         F.col("n_name").alias("sub_agency"), F.regexp_replace("n_name", "NATION_", "N").alias("sub_agency_abbrev"))
-    return shown.union(spark.createDataFrame([("No Such Agency", "NSA")], shown.schema))
+    return shown.union(literal_table(spark, [("No Such Agency", "NSA")], shown.schema))
 
 
 @query("""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from civicgauge.functions import pad_code
 from civicgauge.operators.ranking import order_rank
 from civicgauge.plans import staffing as jobs
+from civicgauge.sources.readers import literal_table
 from queries import stand_ins as data
 from queries.registry import load, query
 
@@ -54,7 +55,7 @@ def assemble_cube(spark: SparkSession, folder: str) -> DataFrame:
     agencies = load(spark, folder, "supplier").join(
         load(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("s_suppkey").cast("string").alias("agysub"), F.col("s_name").alias("agysubt"), F.col("n_name").alias("agyt"))
-    service = spark.createDataFrame([("A", "Less than 1 year"), ("N", "1 - 2 years")], "loslvl string, loslvlt string")
+    service = literal_table(spark, [("A", "Less than 1 year"), ("N", "1 - 2 years")], "loslvl string, loslvlt string")
     columns = ["occ", "agysub", "loslvl", "year", "employment", "occt", "occtyp", "agysubt", "agyt", "loslvlt"]
     return jobs.assemble_cube(fact, occupations, agencies, service, columns, per_year=False)
 
@@ -158,8 +159,8 @@ shares AS (
 
 
 def _supervisors(spark: SparkSession, folder: str) -> DataFrame:
-    levels = spark.createDataFrame(
-        [("F", "Supervisor"), ("O", "Team Leader"), ("P", "Non-Supervisor")], "supervis string, supertypt string")
+    levels = literal_table(
+        spark, [("F", "Supervisor"), ("O", "Team Leader"), ("P", "Non-Supervisor")], "supervis string, supertypt string")
     return jobs.supervisor_share(data.workforce(spark, folder), ["clean_name", "year"], levels=levels)
 
 

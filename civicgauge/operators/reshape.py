@@ -52,9 +52,9 @@ def item_counts(df: DataFrame, entity: Sequence[str], row_key: str, column: str,
 def item_matrix(df: DataFrame, entity: Sequence[str], row_key: str, column: str, items: Sequence[str], separator: str = ", ") -> DataFrame:
     """Entity x item counts with one column per listed item. A row counts once per item however often it repeats it."""
     present = F.split(F.col(column), separator)
-    per_row = df.groupBy(*entity, row_key).agg(
-        *[F.max(F.coalesce(F.array_contains(present, i), F.lit(False)).cast("int")).alias(i) for i in items])
-    return per_row.groupBy(*entity).agg(*[F.sum(i).alias(i) for i in items])
+    flags = {f"__item_{at}": F.coalesce(F.array_contains(present, item), F.lit(False)).cast("int") for at, item in enumerate(items)}
+    per_row = df.groupBy(*entity, F.col(row_key).alias("__row")).agg(*[F.max(f).alias(name) for name, f in flags.items()])
+    return per_row.groupBy(*entity).agg(*[F.sum(name).alias(item) for name, item in zip(flags, items)])
 
 
 def unnest(df: DataFrame, column: str, prefix: str = "", keep_empty: bool = False) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -70,10 +72,18 @@ def has_text(text: Column | str) -> Column:
     return F.coalesce(F.length(as_column(text)) > 0, F.lit(False))
 
 
-def match_any(text: Column | str, terms: Iterable[str], ignore_case: bool = False, regex: bool = False) -> Column:
-    """True when any term occurs in the text; null text is no match."""
-    body = "|".join(t if regex else re.escape(t) for t in terms)
-    return F.coalesce(as_column(text).rlike(f"(?i){body}" if ignore_case else body), F.lit(False))
+def match_any(text: Column | str, terms: Sequence[str], ignore_case: bool = False, regex: bool = False) -> Column:
+    """True when any term occurs in the text; null text is no match.
+
+    A few terms without regex characters are looked up as plain text, which is much faster than a regex on long texts.
+    """
+    value, patterns = as_column(text), [t if regex else re.escape(t) for t in terms]
+    plain = [t for t in terms if not regex or re.escape(t) == t]
+    if len(plain) == len(patterns) <= 16 and not ignore_case:
+        test = reduce(or_, [F.contains(value, F.lit(t)) for t in plain])
+    else:
+        test = value.rlike(("(?i)" if ignore_case else "") + "|".join(patterns))
+    return F.coalesce(test, F.lit(False))
 
 
 def hit_flags(text: Column | str, terms: Mapping[str, str], ignore_case: bool = False) -> dict[str, Column]:
@@ -82,9 +92,12 @@ def hit_flags(text: Column | str, terms: Mapping[str, str], ignore_case: bool =
 
 
 def count_term(text: Column | str, term: str, ignore_case: bool = False) -> Column:
-    """How often a literal term occurs."""
-    pattern = ("(?i)" if ignore_case else "") + re.escape(term)
-    return F.regexp_count(as_column(text), F.lit(pattern))
+    """How often a literal term occurs, from the left and without overlaps."""
+    value = as_column(text)
+    if ignore_case:
+        return F.regexp_count(value, F.lit("(?i)" + re.escape(term)))
+    without = F.replace(value, F.lit(term), F.lit(""))
+    return ((F.octet_length(value) - F.octet_length(without)) / len(term.encode())).cast("int")
 
 
 def list_items(text: Column | str, separator: str = ", ") -> Column:

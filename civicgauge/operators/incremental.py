@@ -11,13 +11,18 @@ from pyspark.sql import types as T
 
 from civicgauge.operators.aggregate import concat_all_by, concat_distinct_by
 from civicgauge.operators.combine import distinct_rows, union_by_name
-from civicgauge.operators.joins import drop_matching, join_null_safe
+from civicgauge.operators.joins import drop_matching, join_null_safe, keep_matching
 from civicgauge.session import durable
 
 
 def first_seen(pull: DataFrame, store: DataFrame, key: str) -> DataFrame:
-    """Rows of the pull whose id the store does not hold. Several rows of one new id all stay."""
-    return drop_matching(pull, store, [key])
+    """Rows of the pull whose id the store does not hold. Several rows of one new id all stay.
+
+    The store is first reduced to the ids of the pull: a daily pull is small enough to be broadcast for that, so that the
+    large store is scanned (its id column only) but not shuffled.
+    """
+    known = keep_matching(store.select(key), pull, [key])
+    return drop_matching(pull, known, [key])
 
 
 def append_first_seen(store: DataFrame, pull: DataFrame, key: str) -> DataFrame:

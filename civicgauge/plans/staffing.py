@@ -221,7 +221,7 @@ def occupation_profile(
     def figures(only: Column | None, prefix: str) -> list[Column]:
         pick = (lambda c: F.col(c)) if only is None else (lambda c: F.when(only, F.col(c)))
         return [F.sum(pick(measure)).alias(f"{prefix}total_employees"), exact_mean(pick(salary)).alias(f"{prefix}mean_salary"),
-                exact_mean(pick(service)).alias(f"{prefix}length_of_service")]
+                F.avg(pick(service)).alias(f"{prefix}length_of_service")]
 
     if condition is None:
         return df.groupBy(*keys).agg(*figures(None, ""))

@@ -35,6 +35,7 @@ def test_no_cross_join(spark, name):
 
 @needs_data
 def test_filters_and_columns_reach_the_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
     text = plan(queries()["row_filters"](spark, FOLDER))
     assert "GreaterThanOrEqual(l_quantity,5.0)" in text and "In(l_returnflag, [A,R])" in text
     text = plan(queries()["duplicate_report"](spark, FOLDER))

@@ -96,13 +96,15 @@ def crosstab_with_totals(
     df: DataFrame, rows: Sequence[str], column: str, values: Sequence[str], measure: Column | str | None = None,
     total_label: str = "All",
 ) -> DataFrame:
-    """Cross-tab with one column per value, an ``All`` column, and an ``All`` row. One pass over the data.
+    """Cross-tab with one column per value, an ``All`` column, and an ``All`` row.
 
-    The ``All`` row carries ``total_label`` in the first row key and null in the others.
+    The data is reduced once to one row per (rows, value); the grouping sets run on that. The ``All`` row carries
+    ``total_label`` in the first row key and null in the others.
     """
-    cell = F.lit(1) if measure is None else (F.col(measure) if isinstance(measure, str) else measure)
-    tall = df.select(*[F.col(r).cast("string").alias(r) for r in rows], F.col(column).alias("__value"), cell.alias("__cell"))
-    grouped = tall.groupingSets([list(map(F.col, rows)), []], *map(F.col, rows)).agg(
+    cell = F.lit(1) if measure is None else measure
+    cells = df.groupBy(*[F.col(r).cast("string").alias(r) for r in rows], F.col(column).alias("__value")).agg(
+        sum_or_zero(cell).alias("__cell"))
+    grouped = cells.groupingSets([list(map(F.col, rows)), []], *map(F.col, rows)).agg(
         F.grouping_id().alias("__total"),
         *[sum_when(F.col("__value") == v, "__cell").alias(v) for v in values],
         sum_or_zero("__cell").alias(total_label),

@@ -131,14 +131,14 @@ def headcount_change(
 def department_rollup(
     df: DataFrame, department: str, bureau: str, year: str = "year", measure: str = "employment", class_column: str = "job_class",
 ) -> DataFrame:
-    """Bureau rows and department rows in one table, mix and ratio of each; ``level`` tells them apart. One pass."""
-    kind = F.col(class_column)
+    """Bureau rows and department rows in one table, mix and ratio of each; ``level`` tells them apart.
+
+    Departments are added up from the bureau totals by grouping sets, so the staff rows are read and grouped once.
+    """
+    totals = workforce_totals(df, [department, bureau, year], measure, class_column)
     d, b, y = F.col(department), F.col(bureau), F.col(year)
-    grouped = df.groupingSets([[d, b, y], [d, y]], d, b, y).agg(
-        F.grouping(bureau).alias("__rolled"),
-        sum_when(kind.isin("STEM_analyst", "STEM_research"), measure).alias("STEM"),
-        sum_when(kind == "STEM_tech", measure).alias("Tech"), sum_when(kind == "NOT_STEM", measure).alias("Not STEM"),
-        sum_or_zero(measure).alias("total_employees"))
+    grouped = totals.groupingSets([[d, b, y], [d, y]], d, b, y).agg(
+        F.grouping(bureau).alias("__rolled"), *[F.sum(f"`{c}`").alias(c) for c in [*CLASSES, "total_employees"]])
     rolled = F.col("__rolled") == 1
     named = grouped.select(
         d, F.when(rolled, d).otherwise(b).alias("name"), F.when(rolled, "department").otherwise("bureau").alias("level"), y,

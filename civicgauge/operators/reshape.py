@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from civicgauge.functions.text import join_items, list_items
 from civicgauge.operators.aggregate import sum_when, texts_by
+from civicgauge.operators.joins import join_null_safe, keep_matching
+from civicgauge.session import durable
 
 
 def pivot_wide(df: DataFrame, keys: Sequence[str], name: str, values: Mapping[str, str] | Sequence[str], measure: str | None = None) -> DataFrame:
@@ -101,6 +103,24 @@ def consolidate_children_by(
     return texts_by(rows, keys, list(lists), separator)
 
 
+def consolidate_children_across(
+    df: DataFrame, keys: Sequence[str], lists: Mapping[str, tuple[str, str | None]], separator: str = ", ",
+) -> DataFrame:
+    """Every row with the texts of all rows that share its keys; the arrays stay.
+
+    Most rows have keys of their own and get their texts within the row. Keys that repeat are worked out from the key and
+    array columns alone and written to the shared folder: their size is then known, and Spark broadcasts them if they are
+    few, so that wide rows (long duty texts) need no shuffle, and joins by shuffle if they are many.
+    """
+    narrow = df.select(*keys, *dict.fromkeys(array for array, _ in lists.values()))
+    repeated = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1)
+    shared = durable(consolidate_children_by(keep_matching(narrow, repeated, keys), keys, lists, separator), "shared-children")
+    shared = shared.select(*keys, F.struct(*lists).alias("__shared"))
+    rows = join_null_safe(consolidate_children(df, lists, drop=False, separator=separator), shared, keys, "left")
+    own = {name: F.when(F.col("__shared").isNull(), F.col(name)).otherwise(F.col("__shared")[name]) for name in lists}
+    return rows.withColumns(own).drop("__shared")
+
+
 def _strings(array: str, field: str | None) -> Column:
     value = F.col(array) if field is None else F.col(array)[field]  # a field of an array of structs is an array
     return value.cast("array<string>")

@@ -18,11 +18,11 @@ from civicgauge.operators.aggregate import (
     count_and_sums, count_by, count_when, mean_of_ratios, sum_or_zero, with_shares,
 )
 from civicgauge.operators.incremental import consolidate_hits, enrich_unique
-from civicgauge.operators.joins import join_null_safe, join_on, lookup, with_group_total, with_scalar
+from civicgauge.operators.joins import join_on, lookup, with_group_total, with_scalar
 from civicgauge.operators.project import between, drop_members, keep_members_of_any, relocate, tag
 from civicgauge.operators.ranking import latest_per_group, top_n_per_group
 from civicgauge.operators.reshape import (
-    consolidate_children, consolidate_children_by, explode_delimited, pivot_wide, unnest, unpivot_long,
+    consolidate_children, consolidate_children_across, explode_delimited, pivot_wide, unnest, unpivot_long,
 )
 from civicgauge.plans import fixed_values as fixed
 from civicgauge.session import durable
@@ -57,9 +57,8 @@ def postings_tidy(
     if unique_ids:
         merged = consolidate_children(dated, {**series, **paths}, drop=False)
     else:
-        merged = join_null_safe(dated, consolidate_children_by(dated, keys, series), keys)
-        keys = [*keys, "date_posted", "date_closes"]
-        merged = join_null_safe(merged, consolidate_children_by(dated, keys, paths), keys)
+        merged = consolidate_children_across(dated, keys, series)
+        merged = consolidate_children_across(merged, [*keys, "date_posted", "date_closes"], paths)
     merged = merged.filter(F.col("all_series_code").isNotNull() & F.col("hiring_paths").isNotNull())
     flagged = merged.withColumns({
         **hit_flags("all_keywords", keywords), "subagency": expand_abbreviations("subagency", {"U.s.": "U.S."}),

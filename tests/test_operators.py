@@ -193,6 +193,8 @@ def test_children(spark, rows):
     lists = {"fs": ("c", "f"), "as": ("a", None)}
     assert rows(reshape.consolidate_children(df, lists)) == [(1, "a, b", "p"), (1, "c", None), (2, None, None), (3, None, "q")]
     assert rows(reshape.consolidate_children_by(df, ["id"], lists)) == [(1, "a, b, c", "p"), (2, None, None), (3, None, "q")]
+    across = [(1, "a, b, c", "p"), (1, "a, b, c", "p"), (2, None, None), (3, None, "q")]
+    assert rows(reshape.consolidate_children_across(df, ["id"], lists), "id", "fs", "as") == across
     assert rows(reshape.unnest(df, "c"), "id", "f") == [(1, "a"), (1, "b"), (1, "b"), (1, "c")]
     assert reshape.unnest(df, "c", keep_empty=True).count() == 6
 

@@ -4,7 +4,8 @@ from pathlib import Path
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from queries.registry import ORACLES, QUERIES
 from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -17,13 +18,13 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, db, name):
-    assert compare(queries()[name](spark, FOLDER), oracle_sql()[name], db) == []
+    assert compare(QUERIES[name](spark, FOLDER), ORACLES[name], db) == []
 
 
 @needs_data

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicgauge.llm import bpe, token_counts
+from civicgauge.llm import bpe, mixing, quality_classifier, quality_rules, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,8 +29,27 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, folder, "documents"))
 
 
+@query
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and verdict of every text."""
+    return quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("row_number")
+
+
 @query
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every line of every text; a token over a line's end counts where its first character is."""
     counts = token_counts.line_token_counts(table(spark, folder, "documents"))
     return counts.withColumn("n_tokens", F.col("n_tokens").cast("long"))
+
+
+@query
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every text; labels of the held-out fold are not learnt from."""
+    return quality_classifier.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Domain posteriors, rate and copies of every text."""
+    labels = table(spark, folder, "labels").withColumn("domain", mixing.domain_of_labels())
+    return mixing.mix(table(spark, folder, "documents"), labels).drop("row_number")

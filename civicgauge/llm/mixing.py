@@ -34,8 +34,8 @@ from civicgauge.llm.grams import BUCKETS, bounded_labels, gram_buckets, labelled
 from civicgauge.session import durable
 
 TRAIN_ROWS = 50_000
-EVIDENCE = 400.0
-SHRINK = 5.0
+EVIDENCE = 200.0
+SHRINK = 20.0
 STEPS, CLOSE = 40, 1e-4
 #: Domains of ``labels`` and the shares of tokens they are to have.
 TARGETS = {"clean": 0.96, "toxic": 0.02, "low": 0.02}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicgauge.llm import bpe, mixing, quality_classifier, quality_rules, token_counts
+from civicgauge.llm import bpe, mixing, near_duplicates, quality_classifier, quality_rules, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,3 +53,30 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Domain posteriors, rate and copies of every text."""
     labels = table(spark, folder, "labels").withColumn("domain", mixing.domain_of_labels())
     return mixing.mix(table(spark, folder, "documents"), labels).drop("row_number")
+
+
+@query
+def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate component of every text: 3-word shingles, 85 % of the union shared."""
+    return near_duplicates.near_duplicates(table(spark, folder, "documents"), shingle=3, per_cent=85)
+
+
+ORACLES["op10_near_duplicates"] = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda w: w <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM words),
+items AS (SELECT doc_id, unnest(s) AS x FROM sets),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM pairs JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+  WHERE 100 * common >= 85 * (len(x.s) + len(y.s) - common)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.b) AS component_id, s.doc_id = min(r.b) AS kept
+FROM sets s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, len(s.s)
+"""

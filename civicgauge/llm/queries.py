@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicgauge.llm import bpe, mixing, near_duplicates, quality_classifier, quality_rules, token_counts
+from civicgauge.llm import bpe, mixing, near_duplicates, personal_data, quality_classifier, quality_rules, secrets, token_counts, vector_links
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,6 +55,42 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), labels).drop("row_number")
 
 
+@query
+def op7_vector_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and component of every vector: equal labels, cosine of at least 0.98."""
+    return vector_links.near_vectors(table(spark, folder, "embeddings"))
+
+
+ORACLES["op7_vector_links"] = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+units AS (SELECT vec_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM usable),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM units a JOIN units b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+named AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, n.component_id, e.vec_id = n.component_id AS kept
+FROM embeddings e JOIN named n USING (vec_id) LEFT JOIN counted c USING (vec_id)
+"""
+
+
+@query
+def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every text; the trees are trained on the table's own base spans."""
+    docs = table(spark, folder, "documents")
+    return personal_data.find(docs, personal_data.learn(docs))
+
+
+@query
+def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every text."""
+    return secrets.find(table(spark, folder, "documents"))
+
+
 @query
 def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate component of every text: 3-word shingles, 85 % of the union shared."""

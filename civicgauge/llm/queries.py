@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from civicgauge.llm import bpe, mixing, near_duplicates, personal_data, quality_classifier, quality_rules, secrets, token_counts, vector_links
+from civicgauge.llm import bpe, mixing, near_duplicates, page_text, personal_data, quality_classifier, quality_rules, secrets, token_counts, vector_links
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,6 +42,12 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.withColumn("n_tokens", F.col("n_tokens").cast("long"))
 
 
+@query
+def op4_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return page_text.extract(table(spark, folder, "pages"))
+
+
 @query
 def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of every text; labels of the held-out fold are not learnt from."""

@@ -56,7 +56,8 @@ _DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|
 def guess_cost(value: str) -> float:
     """Decimal power of the guesses needed for the cheapest segmentation of ``value``."""
     n, lower = len(value), value.lower()
-    plain = lower.translate(_PLAIN) if len(lower) == n else value
+    lower = lower if len(lower) == n else value
+    plain = lower.translate(_PLAIN)
     kinds = (any("a" <= c <= "z" for c in value) * 26 + any("A" <= c <= "Z" for c in value) * 26 + any("0" <= c <= "9" for c in value) * 10
              + any(not (c.isascii() and c.isalnum()) for c in value) * 33)
     brute = math.log10(max(kinds, 10))

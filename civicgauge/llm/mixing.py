@@ -11,7 +11,8 @@ A rate is a function of the posteriors and of the misses so far, so no rates are
 aggregate over the table of posteriors, which is narrow and written once.
 
 Rates become copies: the whole part, and one more where the hash of the id falls under the fraction. The total follows the
-target weights and is at least the input's; it is raised until the domain named in ``keep`` is not cut.
+target weights and is at least the input's; it is raised until no domain named in ``keep`` is cut. ``least`` bounds the rates
+from below: 0, or 1 where no document may go and only repeats make the mixture.
 
 Training rows are labelled rows, at most ``train_rows`` (smallest id hashes). The classifier's table has at most
 ``buckets`` rows. Word evidence is tempered to ``evidence`` words a document, so that long texts do not become certain
@@ -25,7 +26,7 @@ an empty table gives an empty table. Output columns replace input columns of the
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,30 +68,31 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], buck
 
 def posteriors(docs: DataFrame, model: DataFrame, domains: list[str], buckets: int = BUCKETS, evidence: float = EVIDENCE,
                text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """``row_number``, id, ``n_tokens`` (words) and an array ``p`` of the domains' posteriors for each row."""
+    """``row_number``, id, ``text_hash``, ``n_tokens`` (words) and an array ``p`` of the domains' posteriors for each row."""
     rows = with_word_hashes(docs.select(F.monotonically_increasing_id().alias("row_number"), F.col(id_column), F.col(text).alias("text")))
-    words = rows.select("row_number", id_column, F.size("word_hashes").cast("long").alias("n_tokens"), F.explode(
+    rows = rows.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    words = rows.select("row_number", id_column, "text_hash", F.size("word_hashes").cast("long").alias("n_tokens"), F.explode(
         F.concat(F.array(F.lit(-1)), gram_buckets(F.col("word_hashes"), buckets, pairs=False))).alias("bucket"))
     met = words.join(F.broadcast(model), "bucket", "left")
     log = [F.col("logs")[i] for i in range(len(domains))]
-    sums = met.groupBy("row_number", id_column, "n_tokens").agg(
+    sums = met.groupBy("row_number", id_column, "text_hash", "n_tokens").agg(
         *(F.sum(F.when(F.col("bucket") >= 0, x)).alias(f"w{i}") for i, x in enumerate(log)),
         *(F.sum(F.when(F.col("bucket") < 0, x)).alias(f"b{i}") for i, x in enumerate(log)))
     tempered = F.least(F.lit(1.0), F.lit(evidence) / F.greatest(F.col("n_tokens"), F.lit(1)))
     logs = [F.coalesce(F.col(f"b{i}"), F.lit(0.0)) + tempered * F.coalesce(F.col(f"w{i}"), F.lit(0.0)) for i in range(len(domains))]
     best = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    powers = sums.select("row_number", id_column, "n_tokens", F.array(*(F.exp(x - best) for x in logs)).alias("e"))
+    powers = sums.select("row_number", id_column, "text_hash", "n_tokens", F.array(*(F.exp(x - best) for x in logs)).alias("e"))
     total = sum(F.col("e")[i] for i in range(len(domains)))
-    return powers.select("row_number", id_column, "n_tokens", F.array(*(F.col("e")[i] / total for i in range(len(domains)))).alias("p"))
+    return powers.select("row_number", id_column, "text_hash", "n_tokens", F.array(*(F.col("e")[i] / total for i in range(len(domains)))).alias("p"))
 
 
-def rate_of(steps: list[list[float]]) -> Column:
-    """Rate of a row after the steps so far, cut at 0 after each."""
+def rate_of(steps: list[list[float]], least: float = 0.0) -> Column:
+    """Rate of a row after the steps so far, cut at ``least`` after each."""
     if not steps:
         return F.lit(1.0)
     n = len(steps[0])
     taken = F.array(*(F.array(*(F.lit(float(x)) for x in step)) for step in steps))
-    return F.aggregate(taken, F.lit(1.0), lambda rate, step: F.greatest(F.lit(0.0), rate - sum(F.col("p")[i] * step[i] for i in range(n))))
+    return F.aggregate(taken, F.lit(1.0), lambda rate, step: F.greatest(F.lit(float(least)), rate - sum(F.col("p")[i] * step[i] for i in range(n))))
 
 
 def solve(matrix: list[list[float]], right: list[float]) -> list[float]:
@@ -112,8 +114,8 @@ def solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     return [rows[done[c]][n] / rows[done[c]][c] if c in done else 0.0 for c in range(n)]
 
 
-def fit_rates(members: DataFrame, domains: list[str], targets: Mapping[str, float], keep: str | None = None, steps: int = STEPS,
-              close: float = CLOSE) -> list[list[float]]:
+def fit_rates(members: DataFrame, domains: list[str], targets: Mapping[str, float], keep: Sequence[str] = (), least: float = 0.0,
+              steps: int = STEPS, close: float = CLOSE) -> list[list[float]]:
     """Steps whose ``rate_of`` brings the domains' expected tokens to their targets. ``members``: posteriors, read once a step."""
     n, tokens = len(domains), F.col("n_tokens")
     masses = [tokens * F.col("p")[i] for i in range(n)]
@@ -123,22 +125,21 @@ def fit_rates(members: DataFrame, domains: list[str], targets: Mapping[str, floa
     overlap = [[float(first[f"g{max(i, j)}_{min(i, j)}"] or 0.0) for j in range(n)] for i in range(n)]
     weights = [targets[d] / sum(targets[x] for x in domains) for d in domains]
     total = sum(mass)
-    if keep is not None and weights[domains.index(keep)] > 0:
-        total = max(total, mass[domains.index(keep)] / weights[domains.index(keep)])
+    total = max([total, *(mass[i] / weights[i] for i, d in enumerate(domains) if d in keep and weights[i] > 0)])
     aims = [w * total if mass[i] > 1e-9 * total else 0.0 for i, w in enumerate(weights)]
     taken: list[list[float]] = []
     now = mass
     while total and len(taken) < steps and max(abs(a - b) for a, b in zip(now, aims)) > close * total:
         taken.append(solve(overlap, [a - b for a, b in zip(now, aims)]))
-        rate = rate_of(taken)
+        rate = rate_of(taken, least)
         row = members.select("n_tokens", "p", rate.alias("rate")).agg(*(F.sum(m * F.col("rate")).alias(f"m{i}") for i, m in enumerate(masses))).first()
         now = [float(row[f"m{i}"] or 0.0) for i in range(n)]
     return taken
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, keep: str | None = "clean", buckets: int = BUCKETS,
+def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, keep: Sequence[str] = ("clean",), least: float = 0.0, buckets: int = BUCKETS,
         train_rows: int = TRAIN_ROWS, evidence: float = EVIDENCE, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """``row_number``, id, ``n_tokens``, ``p_<domain>``, ``rate`` and ``copies`` of each row.
+    """``row_number``, id, ``text_hash``, ``n_tokens``, ``p_<domain>``, ``rate`` and ``copies`` of each row.
 
     ``labelled`` has the id and ``domain``; ``targets`` names the domains and their shares of tokens.
     """
@@ -146,8 +147,17 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TAR
     known = labelled_once(labelled.filter(F.col("domain").isin(domains)), {"domain": F.col("domain")}, id_column)
     model = learn_domains(docs, known, domains, buckets, train_rows, text, id_column)
     members = durable(posteriors(docs, model, domains, buckets, evidence, text, id_column), "domain-members")
-    rate = rate_of(fit_rates(members, domains, targets, keep))
+    rate = rate_of(fit_rates(members, domains, targets, keep, least), least)
     # The hash of id and row takes one of a million values.
     draw = (F.pmod(F.xxhash64(F.col(id_column), F.lit("copies")), F.lit(1_000_000)) + 0.5) / 1_000_000
-    return members.select("row_number", id_column, "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)), rate.alias("rate")).withColumn(
+    return members.select("row_number", id_column, "text_hash", "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)), rate.alias("rate")).withColumn(
         "copies", F.floor(F.col("rate")) + (draw < F.col("rate") - F.floor(F.col("rate"))).cast("long"))
+
+
+def repeat(docs: DataFrame, mixed: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """Each row of ``docs`` as often as ``copies`` says, with all its columns."""
+    copies = mixed.select(F.col(id_column).alias("mixed_id"), F.col("text_hash").alias("mixed_hash"), "copies").dropDuplicates(["mixed_id", "mixed_hash"])
+    same = F.col(id_column).eqNullSafe(F.col("mixed_id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("mixed_hash"))
+    met = docs.join(copies, same).select(*(docs[c] for c in docs.columns), F.col("copies").alias("copies of a row"))
+    return met.withColumn("copy of a row", F.explode(F.sequence(F.lit(1), F.greatest(F.col("copies of a row"), F.lit(1))))).filter(
+        F.col("copies of a row") > 0).select(*docs.columns)

@@ -40,7 +40,7 @@ def _text_counts(docs: DataFrame, text: str, id_column: str) -> DataFrame:
     windows = F.transform("word_hashes", lambda h, i: F.xxhash64(
         h, F.get(F.col("word_hashes"), i + 1), F.get(F.col("word_hashes"), i + 2)))
     rows = rows.select(
-        "row_number", id_column, "word_hashes", n.cast("long").alias("n_words"),
+        "row_number", id_column, F.xxhash64("text").alias("text_hash"), "word_hashes", n.cast("long").alias("n_words"),
         F.length(F.array_join(words_of(F.col("text")), "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
@@ -79,14 +79,14 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prio
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, prior_share: float = PRIOR_SHARE,
           trusted_rows: int = TRUSTED_ROWS, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """Counts and verdict of each row of ``docs``: ``base_failed``, ``log_ratio`` (mean; 0 without words) and ``kept``.
+    """Counts and verdict of each row of ``docs`` (with its number and the hash of its text): ``base_failed``, ``log_ratio`` (mean; 0 without words) and ``kept``.
 
     ``labels`` has the id and ``quality``; rows with quality 1 are trusted.
     """
     good = bounded_labels(labels.filter(F.col("quality") == 1).select(id_column), trusted_rows, id_column)
     model = log_ratios(docs, good, buckets, prior_share, text, id_column)
     counts = _text_counts(docs, text, id_column)
-    keys = ["row_number", id_column, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    keys = ["row_number", id_column, "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     grams = counts.select(*keys, F.explode_outer(gram_buckets(F.col("word_hashes"), buckets)).alias("bucket"))
     # All n-grams of a row are in one task: the sum is finished there but for one row to shuffle.
     scored = grams.join(F.broadcast(model), "bucket", "left").groupBy(*keys).agg(F.avg("log_ratio").alias("mean_ratio"))
@@ -97,3 +97,10 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buck
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
+
+
+def keep_good(docs: DataFrame, verdicts: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with all their columns."""
+    rejected = verdicts.filter(~F.col("kept")).select(F.col(id_column).alias("rejected_id"), F.col("text_hash").alias("rejected_hash"))
+    same = F.col(id_column).eqNullSafe(F.col("rejected_id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("rejected_hash"))
+    return docs.join(rejected, same, "left_anti")

@@ -32,7 +32,7 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and verdict of every text."""
-    return quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("row_number")
+    return quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("row_number", "text_hash")
 
 
 @query
@@ -58,7 +58,7 @@ def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Domain posteriors, rate and copies of every text."""
     labels = table(spark, folder, "labels").withColumn("domain", mixing.domain_of_labels())
-    return mixing.mix(table(spark, folder, "documents"), labels).drop("row_number")
+    return mixing.mix(table(spark, folder, "documents"), labels).drop("row_number", "text_hash")
 
 
 @query

@@ -4,8 +4,9 @@ A naive Bayes classifier over hashed words, learnt from a labelled table, gives
 A document's expected tokens in a domain are its tokens times that posterior. Nonnegative rates of the documents are then
 fitted by projected-gradient least squares, starting from 1, until the expected token totals of the domains match their
 targets: each step takes the domains' misses (a handful of sums over all documents), turns them into a step by the
-domains' own overlap, moves each document's rate along its posteriors and cuts it at 0. The step lowers the least-squares
-objective in the metric of that overlap, for which the step length 1 is safe.
+domains' own overlap, moves each document's rate along its posteriors and cuts it at 0. In the metric of the overlap over all
+documents the step length 1 is safe; the overlap over the documents that are not cut gives longer steps, and is used as long
+as they help.
 
 A rate is a function of the posteriors and of the misses so far, so no rates are stored between the steps: a step is one
 aggregate over the table of posteriors, which is narrow and written once.
@@ -119,21 +120,34 @@ def fit_rates(members: DataFrame, domains: list[str], targets: Mapping[str, floa
     """Steps whose ``rate_of`` brings the domains' expected tokens to their targets. ``members``: posteriors, read once a step."""
     n, tokens = len(domains), F.col("n_tokens")
     masses = [tokens * F.col("p")[i] for i in range(n)]
-    first = members.agg(*(F.sum(m).alias(f"m{i}") for i, m in enumerate(masses)),
-                        *(F.sum(masses[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in range(n) for j in range(i + 1))).first()
-    mass = [float(first[f"m{i}"] or 0.0) for i in range(n)]
-    overlap = [[float(first[f"g{max(i, j)}_{min(i, j)}"] or 0.0) for j in range(n)] for i in range(n)]
+
+    def totals(rate: Column) -> tuple[list[float], list[list[float]]]:
+        """Expected tokens of the domains, and their overlap on rows whose rate is free to move down."""
+        weight = tokens * (F.col("rate") > least).cast("int")
+        row = members.select("n_tokens", "p", rate.alias("rate")).agg(
+            *(F.sum(m * F.col("rate")).alias(f"m{i}") for i, m in enumerate(masses)),
+            *(F.sum(weight * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in range(n) for j in range(i + 1))).first()
+        return ([float(row[f"m{i}"] or 0.0) for i in range(n)],
+                [[float(row[f"g{max(i, j)}_{min(i, j)}"] or 0.0) for j in range(n)] for i in range(n)])
+
+    mass, _ = now, overlap = totals(F.lit(1.0))
+    if least >= 1.0:  # all rows start at their bound
+        whole = members.agg(*(F.sum(masses[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in range(n) for j in range(i + 1))).first()
+        overlap = [[float(whole[f"g{max(i, j)}_{min(i, j)}"] or 0.0) for j in range(n)] for i in range(n)]
+    whole_overlap, miss = overlap, None
     weights = [targets[d] / sum(targets[x] for x in domains) for d in domains]
     total = sum(mass)
     total = max([total, *(mass[i] / weights[i] for i, d in enumerate(domains) if d in keep and weights[i] > 0)])
     aims = [w * total if mass[i] > 1e-9 * total else 0.0 for i, w in enumerate(weights)]
     taken: list[list[float]] = []
-    now = mass
-    while total and len(taken) < steps and max(abs(a - b) for a, b in zip(now, aims)) > close * total:
-        taken.append(solve(overlap, [a - b for a, b in zip(now, aims)]))
-        rate = rate_of(taken, least)
-        row = members.select("n_tokens", "p", rate.alias("rate")).agg(*(F.sum(m * F.col("rate")).alias(f"m{i}") for i, m in enumerate(masses))).first()
-        now = [float(row[f"m{i}"] or 0.0) for i in range(n)]
+    while total and len(taken) < steps:
+        before, miss = miss, max(abs(a - b) for a, b in zip(now, aims))
+        if miss <= close * total:
+            break
+        # The overlap of the free rows gives long steps; where one did not help, that of all rows gives a safe one.
+        metric = overlap if before is None or miss < 0.9 * before else whole_overlap
+        taken.append(solve(metric, [a - b for a, b in zip(now, aims)]))
+        now, overlap = totals(rate_of(taken, least))
     return taken
 
 

@@ -2,8 +2,8 @@
 
 Features are the buckets of words and word pairs (a word that follows itself is one and the same pair), each with its count over the root of the number of n-grams, so that the
 length of a text does not decide. Training rows are labelled rows outside the held-out fold, at most ``train_rows`` of
-them (those with the smallest id hashes). They are dealt to ``shards`` tasks, each runs per-coordinate updates with L1 and
-L2 terms over its rows for some epochs, and the shards' weights are averaged. Scoring is a sparse dot product: the n-grams
+them (those with the smallest id hashes), which fit one task. With more ``shards`` they are dealt to as many tasks, and the
+shards' weights are averaged. A task runs per-coordinate updates with L1 and L2 terms over its rows for some epochs. Scoring is a sparse dot product: the n-grams
 of each text meet the weight table (at most ``buckets`` rows, broadcast) and are summed in the task that reads the text.
 
 Inputs of a score are the words alone: no labels, language, source or id.
@@ -23,11 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicgauge.llm.grams import BUCKETS, bounded_labels, gram_buckets, labelled_once, with_word_hashes
+from civicgauge.llm.tasks import workers_find_package
 from civicgauge.session import durable
 
-TRAIN_ROWS = 20_000
-SHARDS = 4
-EPOCHS = 3
+TRAIN_ROWS = 10_000
+SHARDS = 1
+EPOCHS = 5
 HELD_OUT = 2
 BIAS = -1
 
@@ -39,7 +40,7 @@ def held_out(id_column: str = "doc_id") -> Column:
 class Leader:
     """Follow the regularised leader: weights are a closed form of summed gradients, zero where L1 outweighs them."""
 
-    def __init__(self, size: int, rate: float = 0.5, smooth: float = 1.0, l1: float = 0.02, l2: float = 0.05) -> None:
+    def __init__(self, size: int, rate: float = 2.0, smooth: float = 1.0, l1: float = 0.02, l2: float = 0.05) -> None:
         self.rate, self.smooth, self.l1, self.l2 = rate, smooth, l1, l2
         self.sums, self.squares = np.zeros(size), np.zeros(size)
 
@@ -60,7 +61,7 @@ class Leader:
 def sparse(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct positions and values of a text's n-grams; the last position is the bias."""
     at, counts = np.unique(grams, return_counts=True)
-    return np.append(at, buckets), np.append(counts / max(1.0, np.sqrt(len(grams))), 1.0)
+    return np.append(at, buckets).astype(np.int32), np.append(counts / max(1.0, np.sqrt(len(grams))), 1.0).astype(np.float32)
 
 
 def train(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, train_rows: int = TRAIN_ROWS, shards: int = SHARDS,
@@ -73,7 +74,7 @@ def train(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, train_rows
     rows = with_word_hashes(rows).select("row_id", "label", gram_buckets(F.col("word_hashes"), buckets, doubled=True).alias("grams"))
 
     def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = [(i, y, np.asarray(g, dtype=np.int64)) for frame in frames for i, y, g in zip(frame["row_id"], frame["label"], frame["grams"])]
+        found = [(i, y, np.asarray(g, dtype=np.int32)) for frame in frames for i, y, g in zip(frame["row_id"], frame["label"], frame["grams"])]
         if not found:
             return
         # By id, and by the n-grams where rows share an id: the order rows arrive in does not count.
@@ -87,6 +88,7 @@ def train(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, train_rows
         yield pd.DataFrame({"bucket": np.where(at == buckets, BIAS, at).astype("int32"), "weight": weights[at], "shard": 1})
         yield pd.DataFrame({"bucket": np.array([BIAS - 1], dtype="int32"), "weight": [0.0], "shard": 1})
 
+    workers_find_package(docs.sparkSession)
     shares = rows.repartition(shards, F.xxhash64("row_id")).mapInPandas(fit, "bucket int, weight double, shard int")
     # At most `buckets` + 2 rows, written so that the shards are fitted once.
     summed = durable(shares.groupBy("bucket").agg(F.sum("weight").alias("weight"), F.sum("shard").alias("n")), "weights")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS_AT_ONCE = 256
@@ -18,6 +19,17 @@ def pieces(batch: pa.RecordBatch, rows: int = ROWS_AT_ONCE) -> Iterator[pa.Recor
         yield batch.slice(at, rows)
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Lets Python workers that share this machine's folders import the package from where the driver did.
+
+    On a cluster the package comes with ``--py-files`` or is installed; the extra path then does no harm.
+    """
+    root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[..., list]], rows: int = ROWS_AT_ONCE) -> DataFrame:
     """Rows made from the named columns inside the tasks that read them: no shuffle, a slice of an Arrow batch at a time.
 
@@ -27,6 +39,7 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    workers_find_package(df.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,5 +57,3 @@ def text_or_empty(name: str = "text"):
     """Column with nulls read as the empty text."""
     return F.coalesce(F.col(name), F.lit("")).alias(name)
 
-
-__all__ = ["ROWS_AT_ONCE", "map_rows", "pd", "pieces", "text_or_empty"]

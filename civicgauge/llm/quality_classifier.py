@@ -111,7 +111,7 @@ def score(docs: DataFrame, weights: DataFrame, buckets: int = BUCKETS, text: str
     return dots.select(id_column, (1 / (1 + F.exp(-margin))).alias("score"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **settings) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, buckets: int = BUCKETS, **settings) -> DataFrame:
     """Id, ``held_out``, ``score`` and ``predicted`` (1 from ``threshold`` on) of each row."""
-    scored = score(docs, train(docs, labels, **settings))
+    scored = score(docs, train(docs, labels, buckets, **settings), buckets)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -171,7 +171,8 @@ def test_rates_are_nonnegative_least_squares(spark):
             plain = np.maximum(least, plain - p @ np.array(step))
         assert rates == pytest.approx(plain, abs=1e-9) and rates.min() >= least
         found = (p * (n * rates)[:, None]).sum(0)
-        assert found / found.sum() == pytest.approx([*targets.values()], abs=2e-3)
+        # With a bound of 1 few rows are free to move, so the last steps are short.
+        assert found / found.sum() == pytest.approx([*targets.values()], abs=5e-3 if least else 1e-3)
 
 
 def test_no_document_goes_with_a_least_rate(spark):

@@ -22,7 +22,7 @@ def title_case(text: Column | str) -> Column:
     """``AG11-FOREST SERVICE`` -> ``Ag11-Forest Service``; ``U.S. FISH`` -> ``U.s. Fish``."""
     def capitalise(word: Column) -> Column:
         first = F.upper(word.substr(1, 1))  # may be two letters: one sharp s becomes SS, of which only one stays large
-        return F.concat(first.substr(1, 1), F.lower(F.substring(first, 2, 2)), F.substring(word, 2, 1 << 30))
+        return F.concat(first.substr(1, 1), F.lower(F.substring(first, 2, 2)), F.substr(word, F.lit(2)))
 
     words = F.regexp_extract_all(F.lower(as_column(text)), F.lit(WORD_OR_CHARACTER), F.lit(0))
     return F.array_join(F.transform(words, capitalise), "")
@@ -75,14 +75,15 @@ def has_text(text: Column | str) -> Column:
 def match_any(text: Column | str, terms: Sequence[str], ignore_case: bool = False, regex: bool = False) -> Column:
     """True when any term occurs in the text; null text is no match.
 
-    A few terms without regex characters are looked up as plain text, which is much faster than a regex on long texts.
+    Terms without regex characters are looked up as plain text, which is faster than a regex on long texts.
     """
-    value, patterns = as_column(text), [t if regex else re.escape(t) for t in terms]
-    plain = [t for t in terms if not regex or re.escape(t) == t]
-    if len(plain) == len(patterns) <= 16 and not ignore_case:
-        test = reduce(or_, [F.contains(value, F.lit(t)) for t in plain])
+    value = as_column(text)
+    if not terms:
+        return F.lit(False)
+    if not ignore_case and all(not regex or re.escape(t) == t for t in terms):
+        test = reduce(or_, [F.contains(value, F.lit(t)) for t in terms])
     else:
-        test = value.rlike(("(?i)" if ignore_case else "") + "|".join(patterns))
+        test = value.rlike(("(?i)" if ignore_case else "") + "|".join(t if regex else re.escape(t) for t in terms))
     return F.coalesce(test, F.lit(False))
 
 

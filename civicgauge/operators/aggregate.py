@@ -75,13 +75,15 @@ def texts_by(rows: DataFrame, keys: Sequence[str], names: Sequence[str], separat
     """
     def text(at: int) -> Column:
         values = F.sort_array(F.collect_list(F.when(F.col("__at") == at, F.col("__v"))))
-        return F.nullif(F.array_join(values, separator), F.lit(""))
+        return F.when(F.size(values) > 0, F.array_join(values, separator))
 
     return rows.distinct().groupBy(*keys).agg(*[text(i).alias(name) for i, name in enumerate(names)])
 
 
-def concat_all_by(df: DataFrame, keys: Sequence[str], column: str, name: str, separator: str = ", ") -> DataFrame:
-    """Every value of a group, repeats included, in sorted order; a group of nulls gives null.
+def concat_all_by(df: DataFrame, keys: Sequence[str], column: str, name: str, separator: str = ", ", count: str | None = None) -> DataFrame:
+    """Every value of a group, repeats included, in sorted order; a group of nulls gives null. ``count`` names its rows.
+
+    The text is as long as the group's values together, so it is meant for groups of bounded size.
 
     Repeats are counted per (group, value) first and written out at the end, so one row per distinct value is shuffled.
     """
@@ -89,7 +91,8 @@ def concat_all_by(df: DataFrame, keys: Sequence[str], column: str, name: str, se
     word = F.struct(F.col(column).alias("value"), F.col("__n").alias("n"))
     words = F.sort_array(F.collect_list(F.when(F.col(column).isNotNull(), word)))
     repeated = F.flatten(F.transform(words, lambda w: F.array_repeat(w["value"], w["n"])))
-    return counted.groupBy(*keys).agg(F.nullif(F.array_join(repeated, separator), F.lit("")).alias(name))
+    text = F.when(F.size(repeated) > 0, F.array_join(repeated, separator)).alias(name)
+    return counted.groupBy(*keys).agg(text, *([F.sum("__n").cast("bigint").alias(count)] if count else []))
 
 
 def crosstab_with_totals(

@@ -52,7 +52,8 @@ def enrich_unique(
 ) -> DataFrame:
     """Call an expensive scorer once per distinct value of ``column`` and join its columns back.
 
-    ``score`` takes a batch of distinct values and returns the result columns row by row. The scored table is written to
+    ``score`` takes a batch of distinct values and returns the result columns, a row for each value under the value's
+    index; rows may come in another order, but a missing one stops the job. The scored table is written to
     the shared folder, so a lost executor does not call the scorer again. Rows meet their scores on a SHA-256 digest:
     long texts are shuffled once, to form the distinct values, and not for the join. Null values are not scored.
     """
@@ -63,8 +64,10 @@ def enrich_unique(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for batch in batches:
-            scored = score(batch["value"]).reset_index(drop=True)
-            yield pd.concat([batch["__digest"].reset_index(drop=True), scored], axis=1)
+            scored = score(batch["value"])
+            if len(scored) != len(batch) or not scored.index.sort_values().equals(batch.index.sort_values()):
+                raise ValueError("the scorer must return one row for each value, with the values' index")
+            yield pd.concat([batch["__digest"], scored.loc[batch.index]], axis=1)
 
     scored_schema = T.StructType([T.StructField("__digest", T.StringType()), *schema.fields])
     scored = durable(inputs.mapInPandas(run, scored_schema), "scored")

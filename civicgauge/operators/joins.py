@@ -39,11 +39,11 @@ def join_natural(left: DataFrame, right: DataFrame, how: str = "inner") -> DataF
 
 
 def unique_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``df`` with a check that stops the job if a key occurs twice.
+    """``df`` with a check that stops the job if a key occurs twice. Keys with a null match nothing and may repeat.
 
     The check is a scalar subquery that reads the keys only, so ``df`` itself keeps its size estimate for the join.
     """
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    counted = df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     most = counted.agg(F.max("__n")).scalar()
     error = F.raise_error(F.lit(f"more than one row for a value of {', '.join(keys)}")).cast("boolean")
     return df.filter(F.when(F.coalesce(most, F.lit(0)) <= 1, True).otherwise(error))
@@ -110,8 +110,8 @@ def with_scalar(df: DataFrame, name: str, one_row: DataFrame) -> DataFrame:
 
 
 def align_columns(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Equally keyed results side by side, matched on the key and never on position."""
-    return reduce(lambda a, b: a.join(b, list(keys), "full"), tables)
+    """Equally keyed results side by side, matched on the key (null on null) and never on position."""
+    return reduce(lambda a, b: join_null_safe(a, b, list(keys), "full"), tables)
 
 
 def replace_rows(df: DataFrame, fixed: DataFrame, keys: Sequence[str]) -> DataFrame:

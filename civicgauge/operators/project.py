@@ -14,15 +14,16 @@ from civicgauge.operators.joins import drop_matching, keep_matching
 
 def snake_names(headers: Sequence[str]) -> list[str]:
     """snake_case headers, repeats numbered: ``Prize Amount`` -> ``prize_amount``, ``% IT`` -> ``percent_it``."""
-    taken: dict[str, int] = {}
+    taken: set[str] = set()
     names = []
     for header in headers:
         name = header.replace("%", " percent ").replace("#", " number ").replace("'", "").replace('"', "")
         name = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name)
         name = re.sub(r"[^0-9A-Za-z]+", "_", name).strip("_").lower() or "x"
         name = f"x{name}" if name[0].isdigit() else name
-        taken[name] = taken.get(name, 0) + 1
-        names.append(name if taken[name] == 1 else f"{name}_{taken[name]}")
+        free = next(n for n in (name, *(f"{name}_{k}" for k in range(2, len(headers) + 2))) if n not in taken)
+        taken.add(free)
+        names.append(free)
     return names
 
 

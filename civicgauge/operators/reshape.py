@@ -53,7 +53,7 @@ def item_counts(df: DataFrame, entity: Sequence[str], row_key: str, column: str,
 
 def item_matrix(df: DataFrame, entity: Sequence[str], row_key: str, column: str, items: Sequence[str], separator: str = ", ") -> DataFrame:
     """Entity x item counts with one column per listed item. A row counts once per item however often it repeats it."""
-    present = F.split(F.col(column), separator)
+    present = list_items(column, separator)
     flags = {f"__item_{at}": F.coalesce(F.array_contains(present, item), F.lit(False)).cast("int") for at, item in enumerate(items)}
     per_row = df.groupBy(*entity, F.col(row_key).alias("__row")).agg(*[F.max(f).alias(name) for name, f in flags.items()])
     return per_row.groupBy(*entity).agg(*[F.sum(name).alias(item) for name, item in zip(flags, items)])
@@ -84,7 +84,8 @@ def consolidate_children(
     Higher-order functions replace explode, group and join back, so there is no shuffle.
     """
     out = df.withColumns({
-        name: F.nullif(join_items(_strings(array, field), separator, distinct=True, ordered=True), F.lit(""))
+        name: F.when(F.exists(_strings(array, field), lambda v: v.isNotNull()),
+                     join_items(_strings(array, field), separator, distinct=True, ordered=True))
         for name, (array, field) in lists.items()})
     return out.drop(*{array for array, _ in lists.values()}) if drop else out
 

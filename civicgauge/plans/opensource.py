@@ -28,17 +28,16 @@ def repo_facts(
 ) -> DataFrame:
     """One row per repository from landed records: languages, commits, first and last commit, contributors.
 
-    Each child table is reduced to one row per repository before it is joined, and all four meet on the same key, so
+    Each child table is reduced to one row per repository before it is joined, and all meet on the same key, so
     their shuffles are shared. An empty repository (size 0) keeps its row with nulls; one without commits has 0.
     """
     history = commits.groupBy(key).agg(
         F.count(F.lit(1)).alias("num_commits"), F.min("author_date").alias("first_commit_date"),
         F.max("author_date").alias("last_commit_date"))
-    people = contributors.groupBy(key).agg(F.count(F.lit(1)).alias("num_contributors"))
-    names = concat_all_by(contributors, [key], "login", "contributor_usernames")
+    people = concat_all_by(contributors, [key], "login", "contributor_usernames", count="num_contributors")
     written_in = concat_all_by(languages, [key], "language", "languages")
     out = repos
-    for side in (written_in, history, people, names):
+    for side in (written_in, history, people):
         out = out.join(side, key, "left")
     has_content = F.col("size") > 0
     children = ["languages", "first_commit_date", "last_commit_date", "num_contributors", "contributor_usernames"]

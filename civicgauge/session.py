@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,8 +39,13 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="civicgauge-"))
-    return spark.sparkContext.getCheckpointDir()
+    return _own_folder()
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    """One temporary folder for a driver that is its own cluster; the session's settings stay as they are."""
+    return tempfile.mkdtemp(prefix="civicgauge-")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -53,9 +53,13 @@ def read_many(
 
 
 def with_path_year(df: DataFrame, name: str = "year") -> DataFrame:
-    """The year in the name of the file's folder (``Cube_March2023`` -> 2023)."""
-    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    return df.select("*", F.regexp_extract(folder, r"(\d{4})", 1).try_cast("int").alias(name))
+    """The year in the name of the file's folder (``Cube March 2023`` -> 2023): its first run of just four digits.
+
+    A folder without one stops the job.
+    """
+    folder = F.element_at(F.split(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "/"), -2)
+    year = F.regexp_extract(folder, r"(?<!\d)(\d{4})(?!\d)", 1).try_cast("int")
+    return df.select("*", F.coalesce(year, F.raise_error(F.concat(F.lit("no year in the folder name "), folder)).cast("int")).alias(name))
 
 
 def pick_files(df: DataFrame, prefer: dict[int, str], year: str = "year") -> DataFrame:

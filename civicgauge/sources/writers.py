@@ -44,10 +44,17 @@ def snapshot_versions(spark: SparkSession, root: str) -> list[int]:
 
 
 def snapshot_write(df: DataFrame, root: str) -> int:
-    """Write a new version beside the old ones. Readers see it once it is complete, so ``df`` may read the old version."""
-    versions = snapshot_versions(df.sparkSession, root)
+    """Write a new version beside the old ones. Readers see it once it is complete, so ``df`` may read the old version.
+
+    A version number is claimed by a file that only one writer can create; a writer that fails leaves its number unused.
+    """
+    spark = df.sparkSession
+    hadoop, versions = spark._jvm.org.apache.hadoop.fs, snapshot_versions(spark, root)
+    files = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
     version = versions[-1] + 1 if versions else 1
-    df.write.mode("overwrite").parquet(f"{root}/version={version}")
+    while not files.createNewFile(hadoop.Path(f"{root}/_claims/{version}")):
+        version += 1
+    df.write.mode("error").parquet(f"{root}/version={version}")
     return version
 
 

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from civicgauge import functions as fn
 from civicgauge.operators import aggregate, combine, incremental, joins, project, quality, ranking, reshape, stats
 
 
@@ -284,3 +285,41 @@ def test_scorer_sees_each_text_once(spark, rows, tmp_path):
     out = incremental.enrich_unique(df, "t", score, "n int")
     assert rows(out) == [(1, "aa", 2), (2, "aa", 2), (3, "b", 1), (4, None, None)]
     assert rows(out, "n") and sorted(log.read_text().split()) == ["aa", "b"]
+
+
+def test_names_stay_unique():
+    assert project.snake_names(["a", "a", "a_2", "a"]) == ["a", "a_2", "a_2_2", "a_3"]
+
+
+def test_null_keys_meet_when_aligned(spark, rows):
+    a, b = spark.createDataFrame([(None, 1), ("x", 2)], "k string, a int"), spark.createDataFrame([(None, 3), ("y", 4)], "k string, b int")
+    assert rows(joins.align_columns([a, b], ["k"]), "k", "a", "b") == [(None, 1, 3), ("x", 2, None), ("y", None, 4)]
+
+
+def test_null_keys_of_a_dimension_may_repeat(spark):
+    assert joins.unique_by(spark.createDataFrame([(None, 1), (None, 2), ("x", 3)], "k string, v int"), ["k"]).count() == 3
+
+
+def test_separators_are_plain_text(spark, rows):
+    df = spark.createDataFrame([("e", 1, "HTML|CSS"), ("e", 2, "CSS")], "e string, r int, t string")
+    assert rows(reshape.item_matrix(df, ["e"], "r", "t", ["HTML", "CSS"], "|"), "HTML", "CSS") == [(1, 2)]
+
+
+def test_an_empty_text_is_a_value(spark, rows):
+    df = spark.createDataFrame([("a", ""), ("b", None)], "k string, v string")
+    assert rows(aggregate.concat_distinct_by(df, ["k"], {"t": "v"}), "k", "t") == [("a", ""), ("b", None)]
+    assert rows(aggregate.concat_all_by(df, ["k"], "v", "t", count="n"), "k", "t", "n") == [("a", "", 1), ("b", None, 1)]
+
+
+def test_a_scorer_may_reorder_rows_but_not_lose_any(spark, rows):
+    df = spark.createDataFrame([("a",), ("b",), ("c",)], "t string")
+    backwards = lambda v: pd.DataFrame({"s": v.str.upper()}).iloc[::-1]
+    assert rows(incremental.enrich_unique(df, "t", backwards, "s string"), "t", "s") == [("a", "A"), ("b", "B"), ("c", "C")]
+    short = lambda v: pd.DataFrame({"s": v[v != "a"].str.upper()})
+    with pytest.raises(Exception, match="one row for each value"):
+        incremental.enrich_unique(df, "t", short, "s string").collect()
+
+
+def test_many_plain_terms_are_no_regex(spark):
+    df = spark.createDataFrame([("x9.y",)], "t string").select(fn.match_any("t", [f"{k}." for k in range(40)]).alias("m"))
+    assert df.first().m and "RLike" not in df._jdf.queryExecution().toString()

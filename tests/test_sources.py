@@ -72,3 +72,26 @@ def test_snapshots(spark, rows, tmp_path):
     (tmp_path / "snap" / "version=3").mkdir()  # an unfinished version is not read
     assert rows(writers.snapshot_read(spark, root)) == [(0,), (5,)]
     assert rows(writers.snapshot_read(spark, root, version=1)) == [(0,)]
+
+
+def test_year_of_folders_with_blanks(spark, rows, tmp_path):
+    for year in (2022, 2023):
+        (tmp_path / f"Cube March {year}").mkdir()
+        (tmp_path / f"Cube March {year}" / "a.csv").write_text("v\n1\n")
+    found = readers.with_path_year(readers.read_many(spark, str(tmp_path), "v int", multi_line=False))
+    assert rows(found, "v", "year") == [(1, 2022), (1, 2023)]
+
+
+def test_a_folder_without_year_stops_the_job(spark, tmp_path):
+    (tmp_path / "Cube").mkdir()
+    (tmp_path / "Cube" / "a.csv").write_text("v\n1\n")
+    with pytest.raises(Exception, match="no year"):
+        readers.with_path_year(readers.read_many(spark, str(tmp_path / "Cube"), "v int", multi_line=False)).collect()
+
+
+def test_a_claimed_version_is_not_written_again(spark, tmp_path):
+    root = str(tmp_path / "s")
+    assert writers.snapshot_write(spark.range(1), root) == 1
+    (tmp_path / "s" / "_claims" / "2").write_text("")  # another writer is at it
+    assert writers.snapshot_write(spark.range(2), root) == 3
+    assert writers.snapshot_read(spark, root).count() == 2

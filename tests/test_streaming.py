@@ -39,3 +39,11 @@ def test_a_replayed_batch_does_not_duplicate(spark, rows, tmp_path):
 
 def test_store_is_empty_before_the_first_batch(spark, tmp_path):
     assert read_store(spark, str(tmp_path / "none"), SCHEMA).filter(F.col(BATCH) < 1).count() == 0
+
+
+def test_a_second_checkpoint_keeps_what_is_stored(spark, rows, tmp_path):
+    land(tmp_path / "landing", "p1.json", [("a", 1), ("b", 2)])
+    run(spark, tmp_path)
+    (tmp_path / "landing" / "p1.json").rename(tmp_path / "p1.json")
+    land(tmp_path / "landing", "p2.json", [("b", 7), ("c", 3)])
+    assert rows(run(spark, tmp_path, "second"), "id", "v") == [("a", 1), ("b", 2), ("c", 3)]

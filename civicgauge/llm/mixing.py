@@ -52,19 +52,19 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], buck
                   text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """Classifier table: ``bucket`` (-1 for the prior) and an array: each domain's log odds against the words of all domains."""
     chosen = bounded_labels(labelled, train_rows, id_column).select(F.col(id_column).alias("label_id"), "domain")
-    rows = docs.select(F.col(id_column).alias("row_id"), F.col(text).alias("text")).join(
+    chosen_rows = docs.select(F.col(id_column).alias("row_id"), F.col(text).alias("text")).join(
         F.broadcast(chosen), F.col("row_id") == F.col("label_id"))
-    words = with_word_hashes(rows).select("domain", F.explode(F.concat(
+    grams = with_word_hashes(chosen_rows).select("domain", F.explode(F.concat(
         F.array(F.lit(-1)), gram_buckets(F.col("word_hashes"), buckets, pairs=False))).alias("bucket"))
-    counts = durable(words.groupBy("bucket").agg(*(F.sum((F.col("domain") == d).cast("long")).alias(f"n{i}") for i, d in enumerate(domains))), "domain-counts")
-    sums = counts.agg(*(F.coalesce(F.sum(F.when(F.col("bucket") >= 0, F.col(f"n{i}"))), F.lit(0)).alias(f"words{i}") for i in range(len(domains))),
-                      *(F.coalesce(F.sum(F.when(F.col("bucket") < 0, F.col(f"n{i}"))), F.lit(0)).alias(f"docs{i}") for i in range(len(domains))))
+    counts = durable(grams.groupBy("bucket").agg(*(F.sum((F.col("domain") == d).cast("long")).alias(f"n{i}") for i, d in enumerate(domains))), "domain-counts")
+    words = [counts.agg(F.coalesce(F.sum(F.when(F.col("bucket") >= 0, F.col(f"n{i}"))), F.lit(0))).scalar() for i in range(len(domains))]
+    rows = [counts.agg(F.coalesce(F.sum(F.when(F.col("bucket") < 0, F.col(f"n{i}"))), F.lit(0))).scalar() for i in range(len(domains))]
     # Observed over expected words, both raised by SHRINK: what is rare in the labelled rows speaks for no domain.
     every = sum(F.col(f"n{i}") for i in range(len(domains)))
-    all_words, all_docs = (sum(F.col(f"{x}{i}") for i in range(len(domains))) for x in ("words", "docs"))
-    rates = F.array(*(F.log((F.col(f"n{i}") + SHRINK) / (every * F.col(f"words{i}") / F.greatest(all_words, F.lit(1)) + SHRINK)) for i in range(len(domains))))
-    prior = F.array(*(F.log((F.col(f"docs{i}") + 1) / (all_docs + len(domains))) for i in range(len(domains))))
-    return counts.crossJoin(F.broadcast(sums)).select("bucket", F.when(F.col("bucket") < 0, prior).otherwise(rates).alias("logs"))
+    all_words, all_docs = sum(words), sum(rows)
+    rates = F.array(*(F.log((F.col(f"n{i}") + SHRINK) / (every * words[i] / F.greatest(all_words, F.lit(1)) + SHRINK)) for i in range(len(domains))))
+    prior = F.array(*(F.log((rows[i] + 1) / (all_docs + len(domains))) for i in range(len(domains))))
+    return counts.select("bucket", F.when(F.col("bucket") < 0, prior).otherwise(rates).alias("logs"))
 
 
 def posteriors(docs: DataFrame, model: DataFrame, domains: list[str], buckets: int = BUCKETS, evidence: float = EVIDENCE,

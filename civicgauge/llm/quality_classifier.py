@@ -92,8 +92,8 @@ def train(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, train_rows
     shares = rows.repartition(shards, F.xxhash64("row_id")).mapInPandas(fit, "bucket int, weight double, shard int")
     # At most `buckets` + 2 rows, written so that the shards are fitted once.
     summed = durable(shares.groupBy("bucket").agg(F.sum("weight").alias("weight"), F.sum("shard").alias("n")), "weights")
-    fitted = summed.agg(F.max(F.when(F.col("bucket") == BIAS - 1, F.col("n"))).alias("fitted"))  # one row
-    return summed.filter(F.col("bucket") >= BIAS).crossJoin(F.broadcast(fitted)).select("bucket", (F.col("weight") / F.col("fitted")).alias("weight"))
+    fitted = summed.agg(F.max(F.when(F.col("bucket") == BIAS - 1, F.col("n")))).scalar()
+    return summed.filter(F.col("bucket") >= BIAS).select("bucket", (F.col("weight") / fitted).alias("weight"))
 
 
 def score(docs: DataFrame, weights: DataFrame, buckets: int = BUCKETS, text: str = "text", id_column: str = "doc_id") -> DataFrame:

@@ -69,12 +69,11 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prio
                          F.explode(gram_buckets(F.col("word_hashes"), buckets)).alias("bucket"))
     # At most `buckets` rows, written so that the corpus is counted once.
     counts = durable(grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("is_trusted").alias("good")), "gram-counts")
-    totals = counts.agg(F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good"))
-    raw_share = (F.col("raw") + 1) / (F.col("all_raw") + buckets)
-    good_share = F.col("good") / F.col("all_good")
-    ratio = F.when(F.col("all_good") > 0, F.log((1 - prior_share) * good_share / raw_share + prior_share)).otherwise(0.0)
-    # One row of totals beside at most `buckets` rows.
-    return counts.crossJoin(F.broadcast(totals)).select("bucket", ratio.alias("log_ratio"))
+    all_raw, all_good = counts.agg(F.sum("raw")).scalar(), counts.agg(F.sum("good")).scalar()
+    raw_share = (F.col("raw") + 1) / (all_raw + buckets)
+    good_share = F.col("good") / all_good
+    ratio = F.when(all_good > 0, F.log((1 - prior_share) * good_share / raw_share + prior_share)).otherwise(0.0)
+    return counts.select("bucket", ratio.alias("log_ratio"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, prior_share: float = PRIOR_SHARE,

@@ -27,12 +27,12 @@ from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicgauge.llm.components import components
-from civicgauge.llm.tasks import map_rows
+from civicgauge.llm.tasks import list_column, map_groups, map_rows
 from civicgauge.session import durable
 
 BLOCKS, LISTS, MARGIN, TILE = 4, 16, 0.06, 1024
@@ -77,12 +77,12 @@ def decode(units: np.ndarray, words: int, lists: float = LISTS, margin: float =
 
 
 def classes_of(vectors: DataFrame, id_column: str, vector: str, label: str) -> DataFrame:
-    """Classes of equal usable vectors: ``class_id``, ``label``, ``vector`` (doubles) and ``size``."""
+    """Usable vectors with the class of their equals: ``class_id``, ``label`` and ``vector`` of each usable row."""
     values = F.col(vector).cast("array<double>")
     usable = F.col(label).isNotNull() & (F.size(values) > 0) & F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable &= F.exists(values, lambda x: x != 0)
     rows = vectors.select(F.col(id_column).alias("id"), F.when(F.coalesce(usable, F.lit(False)), class_id(vector, label)).alias("class_id"),
-                          F.col(label).alias("label"), values.alias("vector"))
+                          F.col(label).alias("label"), F.col(vector).alias("vector"))
     return rows.filter(F.col("class_id").isNotNull())
 
 
@@ -90,34 +90,39 @@ def class_id(vector: str, label: str):
     return F.unhex(F.md5(F.concat_ws("|", F.col(label).cast("string"), F.col(vector).cast("array<double>").cast("string"))))
 
 
-def tile_links(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """Links inside one tile (of its block 0 with block 1, or of a block with itself) that count in this filter."""
-    matrix = np.array(rows["vector"].tolist(), dtype=np.float64)
-    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-    sizes, block, here = rows["size"].to_numpy(), rows["block"].to_numpy(), int(rows["filter"].iat[0])
+def tile_links(rows: pa.Table, cosine: float) -> list | None:
+    """Links inside one tile (of its block 0 with block 1, or of a block with itself) that count in this filter.
+
+    For each class with links: its id, the id of a class it is connected with, and its number of links.
+    """
+    values, at = list_column(rows, "vector")
+    matrix = values.reshape(rows.num_rows, -1).astype(np.float64)
+    matrix /= np.abs(matrix).max(axis=1, keepdims=True)
+    matrix /= np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+    block = rows.column("block").to_numpy()
+    two = bool(block.any())
     left = np.flatnonzero(block == 0)
-    right = np.flatnonzero(block == 1) if block.any() else left
+    right = np.flatnonzero(block) if two else left
     linked = matrix[left] @ matrix[right].T >= cosine
-    if not block.any():
-        linked &= np.triu(np.ones(linked.shape, dtype=bool), 1)
+    if not two:
+        linked &= np.arange(len(left))[:, None] < np.arange(len(left))
+    if not linked.any():
+        return None
     at_left, at_right = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
-    none = pd.DataFrame({"class_id": [], "other": [], "links": []})
-    if not len(at_left):
-        return none
     # A smaller filter that both have makes a pair count there.
-    lists = [np.asarray(x) for x in rows["filters"]]
-    lists = [x[x < here] for x in lists]
-    _, number = np.unique(np.concatenate([lists[i] for i in np.concatenate((left[at_left], right[at_right]))]), return_inverse=True)
-    lengths = np.array([len(lists[i]) for i in np.concatenate((left[at_left], right[at_right]))])
-    has = np.zeros((len(lengths), number.max(initial=-1) + 1), dtype=np.float32)
-    has[np.repeat(np.arange(len(lengths)), lengths), number] = 1
+    here, (numbers, at) = rows.column("here")[0].as_py(), list_column(rows, "filters")
+    lists = [x[x < here] for x in (numbers[at[k]:at[k + 1]] for k in np.concatenate((left[at_left], right[at_right])))]
+    _, number = np.unique(np.concatenate(lists), return_inverse=True)
+    has = np.zeros((len(lists), number.max(initial=-1) + 1), dtype=np.float32)
+    has[np.repeat(np.arange(len(lists)), [len(x) for x in lists]), number] = 1
     own = linked[np.ix_(at_left, at_right)] & (has[:len(at_left)] @ has[len(at_left):].T == 0)
     i, j = np.nonzero(own)
     if not len(i):
-        return none
+        return None
     i, j = left[at_left[i]], right[at_right[j]]
-    counts = np.bincount(i, weights=sizes[j], minlength=len(rows)) + np.bincount(j, weights=sizes[i], minlength=len(rows))
-    root = np.arange(len(rows))
+    sizes, n = rows.column("size").to_numpy(), rows.num_rows
+    counts = np.bincount(i, weights=sizes[j], minlength=n) + np.bincount(j, weights=sizes[i], minlength=n)
+    root = np.arange(n)
     while True:  # smallest position reachable inside the tile
         least = root.copy()
         np.minimum.at(least, i, root[j])
@@ -126,9 +131,8 @@ def tile_links(rows: pd.DataFrame, cosine: float) -> pd.DataFrame:
         if (least == root).all():
             break
         root = least
-    members = np.flatnonzero(counts)
-    ids = rows["class_id"].to_numpy()
-    return pd.DataFrame({"class_id": ids[members], "other": ids[root[members]], "links": counts[members].astype("int64")})
+    members, ids = np.flatnonzero(counts), rows.column("class_id").to_pylist()
+    return [[ids[m] for m in members], [ids[root[m]] for m in members], [int(counts[m]) for m in members]]
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.98, lists: float = LISTS, margin: float = MARGIN, tile: int = TILE,
@@ -144,7 +148,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, lists: float = LISTS,
         def run(ids, rows):
             out: list = [None] * len(ids)
             sizes = np.array([len(r) for r in rows])
-            for size in set(sizes.tolist()):
+            for size in sorted(set(sizes.tolist())):
                 at = np.flatnonzero(sizes == size)
                 matrix = np.array([rows[k] for k in at], dtype=np.float64)
                 matrix /= np.abs(matrix).max(axis=1, keepdims=True)
@@ -165,8 +169,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, lists: float = LISTS,
     tiles = tiles.select("class_id", "label", "length", "filter", F.least("own", "beside").alias("low"), F.greatest("own", "beside").alias("high"),
                          (F.col("own") > F.col("beside")).cast("int").alias("block"))
     tiles = tiles.join(listed.select("class_id", "vector", "size", "filters"), "class_id")
-    found = durable(tiles.groupBy("label", "length", "filter", "low", "high").applyInPandas(
-        lambda rows: tile_links(rows, cosine), "class_id binary, other binary, links long"), "vector-links")
+    tiles = tiles.withColumn("here", F.col("filter"))
+    found = durable(map_groups(tiles, ["label", "length", "filter", "low", "high"], "class_id binary, other binary, links long",
+                               lambda rows: tile_links(rows, cosine)), "vector-links")
     roots = components(found.select(F.col("class_id").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("class_id").agg(F.sum("links").alias("links"))
     named = classes.select("class_id", "size", "least").join(links, "class_id", "left").join(roots, F.col("class_id") == F.col("node"), "left").select(

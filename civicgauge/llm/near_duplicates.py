@@ -24,16 +24,14 @@ read. The smallest id of a component is its name.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicgauge.llm.components import components
-from civicgauge.llm.tasks import map_rows, text_or_empty
+from civicgauge.llm.tasks import list_column, map_groups, map_rows, text_or_empty
 from civicgauge.session import durable
 
 SHINGLE, PER_CENT = 5, 80
@@ -145,15 +143,18 @@ def full_sets(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame:
     return map_rows(docs, [text_or_empty(text)], "set_id binary, elements array<long>", make)
 
 
-def tile_links(rows: pd.DataFrame, per_cent: int) -> pd.DataFrame:
+def tile_links(rows: pa.Table, per_cent: int) -> list | None:
     """Links that join components among the sets of one tile. ``block`` 0 or 1 tells the two blocks of a tile apart;
 
     sets of one block are compared with each other only in the tile of that block with itself (where all are 0).
     """
-    sets = [np.asarray(x, dtype=np.int64) for x in rows["elements"]]
-    sizes, block = np.array([len(s) for s in sets]), rows["block"].to_numpy()
-    name = {c: i for i, c in enumerate(dict.fromkeys(rows["root"]))}
-    root, parent = [name[c] for c in rows["root"]], list(range(len(name)))
+    elements, at = list_column(rows, "elements")
+    ids, sizes, block = rows.column("set_id").to_pylist(), np.diff(at), rows.column("block").to_numpy()
+    roots = rows.column("root").to_pylist()
+    name = {c: i for i, c in enumerate(dict.fromkeys(roots))}
+    root, parent = [name[c] for c in roots], list(range(len(name)))
+    if len(name) == 1:
+        return None
 
     def top(x: int) -> int:
         while parent[x] != x:
@@ -161,30 +162,28 @@ def tile_links(rows: pd.DataFrame, per_cent: int) -> pd.DataFrame:
             x = parent[x]
         return x
 
-    _, number = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(number, kind="stable")
-    owner_of = owner[order]
+    _, number = np.unique(elements, return_inverse=True)
+    owner_of = np.repeat(np.arange(len(ids)), sizes)[np.argsort(number, kind="stable")]
     starts = np.concatenate(([0], np.cumsum(np.bincount(number))))
-    at = np.concatenate(([0], np.cumsum(sizes)))
-    out = []
-    two_blocks = block.max() > 0
-    for u in range(len(sets)):
+    out: list = [[], []]
+    two_blocks = bool(block.any())
+    for u in range(len(ids)):
         if two_blocks and block[u]:
             continue
         mine = number[at[u]:at[u + 1]]
         # Sets that hold u's elements, one entry for each element shared.
         lengths = starts[mine + 1] - starts[mine]
         spots = np.repeat(starts[mine] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
-        common = np.bincount(owner_of[spots], minlength=len(sets))
+        common = np.bincount(owner_of[spots], minlength=len(ids))
         fits = 100 * common >= per_cent * (sizes[u] + sizes - common)
-        fits &= (block == 1) if two_blocks else (np.arange(len(sets)) > u)
+        fits &= (block == 1) if two_blocks else (np.arange(len(ids)) > u)
         for v in np.flatnonzero(fits).tolist():
             a, b = top(root[u]), top(root[v])
             if a != b:
                 parent[max(a, b)] = min(a, b)
-                out.append((rows["set_id"].iat[u], rows["set_id"].iat[v]))
-    return pd.DataFrame(out, columns=["a", "b"])
+                out[0].append(ids[u])
+                out[1].append(ids[v])
+    return out if out[0] else None
 
 
 def links(docs: DataFrame, sketches: DataFrame, shingle: int = SHINGLE, per_cent: int = PER_CENT, text: str = "text",
@@ -222,7 +221,7 @@ def links(docs: DataFrame, sketches: DataFrame, shingle: int = SHINGLE, per_cent
     tiled = tiled.select("key", "set_id", "root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
                          (F.col("own") > F.col("other")).cast("int").alias("block"))
     tiled = tiled.join(sets, "set_id")
-    rest = tiled.groupBy("key", "low", "high").applyInPandas(lambda rows: tile_links(rows, per_cent), "a binary, b binary")
+    rest = map_groups(tiled, ["key", "low", "high"], "a binary, b binary", lambda rows: tile_links(rows, per_cent))
     return starred.unionAll(rest)
 
 

@@ -8,7 +8,8 @@ format (digits, groups, separators, check digit) and context (neighbouring chara
 for each kind select, and selected spans that overlap no base span and no better one are added.
 
 The trees learn from base spans themselves: windows around them, in half of which another base span is put beside the
-first, so the truth is known where the patterns fail. They come from at most ``train_texts`` texts that hold digits or an at
+first, so the truth is known where the patterns fail; and from what is none: spoiled values (wrong check digit, part over
+255, domain without a dot) and proposals of texts without base spans. They come from at most ``train_texts`` texts that hold digits or an at
 sign (smallest id hashes). Thresholds are the lowest that reach ``precision`` on windows not learnt from.
 
 Defined results: a null or empty text has no spans; texts of any length are searched whole; a corpus without base spans
@@ -213,24 +214,44 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-self.start - sum(self._leaves(t, binned) for t in self.grown)))
 
 
+#: Values of the same form that are none: a wrong check digit, a part over 255, a domain without a dot.
+SPOILED = {
+    "card": lambda v: v[:-1] + str((int(v[-1]) + 1) % 10),
+    "ip": lambda v: "3" + v.partition(".")[0].zfill(2)[-2:] + "." + v.partition(".")[2],
+    "email": lambda v: v.replace(".", "").replace("%", ""),
+}
+
+
 class Model:
     """Trees and the threshold of each kind."""
 
     def __init__(self, windows: list[tuple[str, str, int, int]], precision: float = PRECISION) -> None:
-        """``windows``: text, kind, start and end of a base span in it."""
+        """``windows``: text, kind, start and end of a base span in it; kind is empty where the text has none."""
         order = np.random.default_rng(0)
         x, y, group = [], [], []
-        for k, (text, kind, start, end) in enumerate(windows):
-            truth = {(kind, start, end)}
-            if order.random() < 0.5:  # another base span beside the first
-                other_text, other_kind, a, b = windows[int(order.integers(len(windows)))]
-                value = other_text[a:b]
-                text = f"{text[:end]} {value}{text[end:]}"
-                truth.add((other_kind, end + 1, end + 1 + len(value)))
+        def examples(k: int, text: str, truth: set[Span]) -> None:
+            truth = truth | set(base_spans(text))
             for span in proposals(text):
                 x.append(features(text, span))
                 y.append(span in truth)
                 group.append(k % 4 == 0)
+
+        real = [w for w in windows if w[1]]
+        for k, (text, kind, start, end) in enumerate(windows):
+            if not kind:
+                examples(k, text, set())
+                continue
+            beside, value = ("", "", 0, 0), text[start:end]
+            if order.random() < 0.5:  # another base span beside the first
+                beside = real[int(order.integers(len(real)))]
+            spoiled = kind in SPOILED and order.random() < 0.5  # and the same place with a value that fails its check
+            for value, holds in [(value, True), *([(SPOILED[kind](value), False)] if spoiled else [])]:
+                stop, (other_text, other_kind, a, b) = start + len(value), beside
+                after = f" {other_text[a:b]}" if other_kind else ""
+                truth = {(kind, start, stop)} if holds else set()
+                if other_kind:
+                    truth.add((other_kind, stop + 1, stop + 1 + b - a))
+                examples(k, text[:start] + value + after + text[end:], truth)
         x, y, held = np.array(x, dtype=float), np.array(y, dtype=float), np.array(group)
         self.trees = BoostedTrees().fit(x[~held], y[~held])
         scores, self.thresholds = self.trees.predict(x[held]), {}
@@ -272,7 +293,8 @@ def learn(docs: DataFrame, train_texts: int = TRAIN_TEXTS, precision: float = PR
         def run(keys, texts):
             out = [[], [], [], [], []]
             for key, value in zip(keys, texts):
-                for kind, start, end in base_spans(value):
+                # Of a text without base spans, the place of its first proposal: what is no personal data.
+                for kind, start, end in base_spans(value) or [("", a, b) for _, a, b in proposals(value)[:1]]:
                     at = max(0, start - WINDOW)
                     for column, x in zip(out, (key, value[at:end + WINDOW], kind, start - at, end - at)):
                         column.append(x)
@@ -285,7 +307,7 @@ def learn(docs: DataFrame, train_texts: int = TRAIN_TEXTS, precision: float = PR
     kind = dict(sample.dtypes)["id"]
     rows = map_rows(sample, ["id", "text"], f"id {kind}, window string, kind string, start int, end int", make)
     windows = sorted((r.window, r.kind, r.start, r.end) for r in rows.filter(F.length("window") < 1000).orderBy("id", "start", "kind").limit(4 * train_texts).collect())
-    return Model(windows, precision) if len(windows) >= 20 else None
+    return Model(windows, precision) if sum(w[1] != "" for w in windows) >= 20 else None
 
 
 def find(docs: DataFrame, model: Model | None, text: str = "text", id_column: str = "doc_id") -> DataFrame:

@@ -4,8 +4,9 @@ Two multinomials over the buckets of hashed words and word pairs are compared: t
 raw corpus. A text's verdict is the mean of its n-grams' log ratios (so length does not count) against a fixed threshold:
 no sampling, each document is judged. The raw counts are over all documents; the trusted ones are over the documents
 labelled as good, at most ``trusted_rows`` of them (those with the smallest id hashes, so the same ones in every run).
-A bucket the trusted texts never use counts as ``prior_share`` of its share in the raw corpus, which bounds what one
-n-gram can do. The bucket table has ``buckets`` rows whatever the input's size, so it may be broadcast.
+An n-gram's ratio is that of its trusted count to the count the raw corpus lets expect, both raised by ``shrink``: what is
+rare anywhere speaks neither for nor against a text, so a good text that is not among the trusted ones is not rejected for
+words of its own. The bucket table has ``buckets`` rows whatever the input's size, so it may be broadcast.
 
 Plain counts come with the verdict (``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``) and rejections by
 two base rules: under 50 words, or over half of the words in repeated 3-word windows.
@@ -27,8 +28,8 @@ from civicgauge.session import durable
 
 SYMBOLS = "[#*$%&|<>]"
 TRUSTED_ROWS = 50_000
-PRIOR_SHARE = 0.01
-THRESHOLD = -0.3
+SHRINK = 5.0
+THRESHOLD = -0.12
 
 
 def _text_counts(docs: DataFrame, text: str, id_column: str) -> DataFrame:
@@ -59,7 +60,7 @@ def _text_counts(docs: DataFrame, text: str, id_column: str) -> DataFrame:
     return rows.withColumn("n_repeat_words", F.aggregate(new_words, F.lit(0).cast("long"), lambda s, x: s + x)).drop("repeated")
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prior_share: float = PRIOR_SHARE, text: str = "text",
+def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, shrink: float = SHRINK, text: str = "text",
                id_column: str = "doc_id") -> DataFrame:
     """``bucket`` and ``log_ratio`` of each bucket the corpus uses. ``trusted``: a bounded table of ids."""
     ids = trusted.select(F.col(id_column).alias("trusted_id"))
@@ -70,20 +71,18 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, prio
     # At most `buckets` rows, written so that the corpus is counted once.
     counts = durable(grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("is_trusted").alias("good")), "gram-counts")
     all_raw, all_good = counts.agg(F.sum("raw")).scalar(), counts.agg(F.sum("good")).scalar()
-    raw_share = (F.col("raw") + 1) / (all_raw + buckets)
-    good_share = F.col("good") / all_good
-    ratio = F.when(all_good > 0, F.log((1 - prior_share) * good_share / raw_share + prior_share)).otherwise(0.0)
+    ratio = F.when(all_good > 0, F.log((F.col("good") + shrink) / (F.col("raw") * all_good / all_raw + shrink))).otherwise(0.0)
     return counts.select("bucket", ratio.alias("log_ratio"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, prior_share: float = PRIOR_SHARE,
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, shrink: float = SHRINK,
           trusted_rows: int = TRUSTED_ROWS, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """Counts and verdict of each row of ``docs`` (with its number and the hash of its text): ``base_failed``, ``log_ratio`` (mean; 0 without words) and ``kept``.
 
     ``labels`` has the id and ``quality``; rows with quality 1 are trusted.
     """
     good = bounded_labels(labels.filter(F.col("quality") == 1).select(id_column), trusted_rows, id_column)
-    model = log_ratios(docs, good, buckets, prior_share, text, id_column)
+    model = log_ratios(docs, good, buckets, shrink, text, id_column)
     counts = _text_counts(docs, text, id_column)
     keys = ["row_number", id_column, "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     grams = counts.select(*keys, F.explode_outer(gram_buckets(F.col("word_hashes"), buckets)).alias("bucket"))

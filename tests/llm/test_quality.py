@@ -59,13 +59,13 @@ def made_texts():
 
 def test_quality_rules_against_brute_force(spark):
     texts = [*made_texts(), *AWKWARD]
-    buckets, prior = 4096, 0.01
+    buckets = 4096
     known = [(i, 1, 0) for i in range(15)] + [(i, 0, 0) for i in range(30, 40)] + [(3, None, 0), (None, 1, 0)]
     found = {r.doc_id: r for r in quality_rules.judge(documents(spark, texts, extra=True), labels(spark, known), buckets=buckets).collect()}
     raw = Counter(g for t in texts for g in grams(t, buckets))
     good = Counter(g for t in texts[:15] for g in grams(t, buckets))
     n_raw, n_good = sum(raw.values()), sum(good.values())
-    ratio = {b: math.log((1 - prior) * (good[b] / n_good) / ((raw[b] + 1) / (n_raw + buckets)) + prior) for b in raw}
+    ratio = {b: math.log((good[b] + quality_rules.SHRINK) / (raw[b] * n_good / n_raw + quality_rules.SHRINK)) for b in raw}
     for i, text in enumerate(texts):
         r, g = found[i], grams(text, buckets)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base_counts(text)

@@ -38,6 +38,7 @@ SHINGLE, PER_CENT = 5, 80
 BANDS, BAND_ROWS = 20, 5
 #: Elements signed at once, and shingles of a block in a tile.
 ELEMENTS_AT_ONCE, BLOCK_SHINGLES = 60_000, 300_000
+SLOTS = 1 << 18
 KEPT_WORDS = 400_000
 _U = np.uint64
 
@@ -194,9 +195,12 @@ def links(docs: DataFrame, sketches: DataFrame, shingle: int = SHINGLE, per_cent
     keyed = classes.select("set_id", "n", "id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("set_id", "n")).alias("lead")).filter("size > 1")
     members = durable(keyed.join(shared, "key").select("key", "set_id", "n", "id", F.col("lead.set_id").alias("lead"), F.col("lead.n").alias("lead_n")), "band-members")
-    # The full sets of candidate classes, from one row of each: ids are narrow, texts are read again.
+    # The full sets of candidate classes, from one row of each: ids are narrow, texts are read again. Most texts are no
+    # candidates and stay where they are: the slots that the candidates' ids hash to, at most `SLOTS`, are known to all tasks.
     wanted = members.select(F.col("id").alias("wanted_id")).distinct()
-    texts = docs.select(F.col(id_column).alias("row_id"), F.col(text).alias("text")).join(
+    slots = wanted.select(F.pmod(F.xxhash64("wanted_id"), F.lit(SLOTS)).alias("slot")).distinct()
+    texts = docs.select(F.col(id_column).alias("row_id"), F.col(text).alias("text"))
+    texts = texts.join(F.broadcast(slots), F.pmod(F.xxhash64("row_id"), F.lit(SLOTS)) == F.col("slot"), "left_semi").join(
         wanted, F.col("row_id").eqNullSafe(F.col("wanted_id")), "left_semi")
     sets = durable(full_sets(texts, shingle).dropDuplicates(["set_id"]), "full-sets")
     near = (100 * F.least("n", "lead_n") >= per_cent * F.greatest("n", "lead_n")) & (F.col("set_id") != F.col("lead"))

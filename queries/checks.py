@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicgauge.operators import incremental, quality
+from civicgauge.operators.combine import union_by_name, union_strict
 from civicgauge.operators.reshape import flatten_struct
+from civicgauge.plans import hiring
 from civicgauge.session import scratch_path
 from civicgauge.sources import readers, writers
 from civicgauge.streaming.first_seen import BATCH, RUN, append_landed_pulls, read_store
@@ -116,6 +118,23 @@ def consolidate_hits(spark: SparkSession, folder: str) -> DataFrame:
     return incremental.consolidate_hits(hits, ["user_id"], "event_type", volatile=["event_id"], distinct=True)
 
 
+@query("""
+WITH hits AS (SELECT user_id AS id, event_type AS keyword, CAST(ts AS DATE) AS day FROM events),
+first AS (SELECT * FROM hits WHERE day < DATE '2024-01-02'), second AS (SELECT * FROM hits WHERE day >= DATE '2024-01-02'),
+store AS (SELECT DISTINCT id, day, k AS all_keywords FROM first JOIN (SELECT id, string_agg(keyword, ', ' ORDER BY keyword) AS k FROM first GROUP BY id) USING (id)),
+pull AS (SELECT DISTINCT id, day, k AS all_keywords FROM second JOIN (SELECT id, string_agg(keyword, ', ' ORDER BY keyword) AS k FROM second GROUP BY id) USING (id))
+SELECT * FROM store UNION ALL SELECT * FROM pull WHERE id NOT IN (SELECT id FROM store)
+""")
+def daily_pull(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole daily job: stacked searches, one row per record with all terms that found it, first-seen rows appended."""
+    hits = load(spark, folder, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("keyword"), F.to_date("ts").alias("day"), F.col("event_id").alias("page"))
+    early = F.col("day") < "2024-01-02"
+    searches = [hits.filter(F.col("keyword") == k) for k in ("click", "view")] + [hits.filter(~F.col("keyword").isin("click", "view"))]
+    stacked = union_by_name(union_by_name(*searches[:2]), searches[2])
+    store, pull = (hiring.postings_consolidated(stacked.filter(x)) for x in (early, ~early))
+    return incremental.append_first_seen(store, pull, "id")
+
+
 # ---- sources and sinks ----
 
 @query("SELECT doc_id, text, lang, CASE WHEN source <> 'src0' THEN source END AS source FROM documents")
@@ -138,6 +157,16 @@ def ragged_rows(spark: SparkSession, folder: str) -> DataFrame:
     return readers.read_ragged(spark, path, fields, header=False)
 
 
+@query("SELECT o_orderkey, o_orderstatus FROM orders")
+def stacked_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of two folders, with the index column of data-frame exports, stacked by position."""
+    orders = load(spark, folder, "orders").select(F.lit(1).alias("index"), "o_orderkey", "o_orderstatus")
+    paths = [scratch_path(spark, "stacked") for _ in range(2)]
+    for path, rows in zip(paths, (orders.filter("o_orderstatus = 'F'"), orders.filter("o_orderstatus <> 'F'"))):
+        writers.write_table_csv(rows, path)
+    return union_strict(*[readers.read_many(spark, p, "o_orderkey bigint, o_orderstatus string", index_column=True, multi_line=False) for p in paths])
+
+
 @query("SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders")
 def year_folders(spark: SparkSession, folder: str) -> DataFrame:
     """A tree of year folders read in one scan; the year comes from the folder name."""

@@ -19,6 +19,22 @@ def _list(template: str, separator: str = ", ", names: list[str] = data.KEYWORDS
 
 # ---- tidy tables ----
 
+@query("""
+SELECT o_orderkey || '--' || o_custkey AS unique_id, CAST(o_orderdate AS DATE) AS open_date_clean, CAST(o_orderdate AS DATE) + 10 AS close_date_clean,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN 'IT' ELSE 'not_IT' END AS it_flag, CAST(year(o_orderdate) AS INTEGER) AS open_year
+FROM orders
+""")
+def history_tidy(spark: SparkSession, folder: str) -> DataFrame:
+    """Announcement history with dates as text and nested series."""
+    series = F.when(F.col("o_orderpriority") == "1-URGENT", "2210").otherwise("0301")
+    history = load(spark, folder, "orders").select(
+        F.col("o_orderkey").cast("string").alias("usajobs_control_number"), F.col("o_custkey").cast("string").alias("announcement_number"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("position_open_date"),
+        F.date_format(F.date_add("o_orderdate", 10), "yyyy-MM-dd").alias("position_close_date"),
+        F.lit(None).cast("string").alias("position_expire_date"), F.array(F.struct(series.alias("series"))).alias("job_categories"))
+    return jobs.history_tidy(history).select("unique_id", "open_date_clean", "close_date_clean", "it_flag", "open_year")
+
+
 @query("""
 WITH d AS (
   SELECT *, 'U.s. ' || CASE lang WHEN 'en' THEN 'Fish And Wildlife' ELSE 'Forest-Service' END AS subagency,

@@ -85,6 +85,18 @@ def row_filters(spark: SparkSession, folder: str) -> DataFrame:
         "l_returnflag_code")
 
 
+@query("""
+SELECT p_partkey, p_type || CASE p_type WHEN 'SMALL' THEN ', PROMO, Little' WHEN 'LARGE' THEN ', Big' ELSE '' END AS labelled FROM part
+""")
+def first_code_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The label of the first listed code only."""
+    codes = F.when(F.col("p_type") == "SMALL", "SMALL, PROMO").otherwise(F.col("p_type"))
+    labels = {"SMALL": "Little", "PROMO": "Offer", "LARGE": "Big", "STAND": "Never"}
+    labelled = fn.label_codes(codes, labels, first_only=True)
+    return load(spark, folder, "part").select(
+        "p_partkey", F.when(F.col("p_type") == "PROMO", F.lit("PROMO")).otherwise(labelled).alias("labelled"))
+
+
 @query("""
 SELECT p_partkey, p_type || CASE p_type WHEN 'SMALL' THEN ', PROMO, Little, Offer' WHEN 'LARGE' THEN ', Big' ELSE '' END AS labelled
 FROM part

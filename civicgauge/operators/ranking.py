@@ -86,8 +86,8 @@ def top_n_global(
     top = df.orderBy(*order).limit(n)
     if also is None:
         return top
-    named = df.filter(also)
-    return top.unionByName(named).distinct()
+    # Counted per row, so that equal rows of the table stay as many as they are.
+    return top.unionAll(df.filter(also).select(*top.columns).exceptAll(top))
 
 
 def with_order_rank(df: DataFrame, label: str, measure: str, last: str | None = None, name: str = "sort_rank") -> DataFrame:

@@ -14,24 +14,32 @@ from civicgauge.operators.joins import join_null_safe, keep_matching
 from civicgauge.session import durable
 
 
-def pivot_wide(df: DataFrame, keys: Sequence[str], name: str, values: Mapping[str, str] | Sequence[str], measure: str | None = None) -> DataFrame:
+def pivot_wide(
+    df: DataFrame, keys: Sequence[str], name: str, values: Mapping[str, str] | Sequence[str], measure: str | None = None,
+    other: str | None = None,
+) -> DataFrame:
     """One column per listed value (``{value: column}`` to rename), missing cells 0; counts rows without a measure.
 
     The values are given, so no extra job looks for them and the schema is fixed. Conditional sums make it one shuffle.
+    ``other`` names a column for values off the list, nulls too; without it they are left out.
     """
     columns = dict(values) if isinstance(values, Mapping) else {v: v for v in values}
     cell = F.lit(1) if measure is None else F.col(measure)
-    return df.groupBy(*keys).agg(*[sum_when(F.col(name) == v, cell).alias(c) for v, c in columns.items()])
+    rest = [sum_when(~F.coalesce(F.col(name).isin(list(columns)), F.lit(False)), cell).alias(other)] if other else []
+    return df.groupBy(*keys).agg(*[sum_when(F.col(name) == v, cell).alias(c) for v, c in columns.items()], *rest)
 
 
 def unpivot_long(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str = "name", value: str = "value") -> DataFrame:
     return df.unpivot([F.col(f"`{c}`") for c in ids], [F.col(f"`{c}`") for c in columns], name, value)
 
 
-def densify(df: DataFrame, keys: Sequence[str], name: str, values: Sequence[str], measure: str) -> DataFrame:
-    """Every (key, listed value) pair, absent ones as 0: conditional sums, then back to long. No join."""
-    wide = pivot_wide(df, keys, name, values, measure)
-    return unpivot_long(wide, keys, values, name, measure)
+def densify(df: DataFrame, keys: Sequence[str], name: str, values: Sequence[str], measure: str, other: str | None = None) -> DataFrame:
+    """Every (key, listed value) pair, absent ones as 0: conditional sums, then back to long. No join.
+
+    ``other`` adds a pair for all values off the list.
+    """
+    wide = pivot_wide(df, keys, name, values, measure, other)
+    return unpivot_long(wide, keys, [*values, *([other] if other else [])], name, measure)
 
 
 def complete_entities(df: DataFrame, entities: DataFrame, keys: Sequence[str], fill: Mapping[str, object]) -> DataFrame:

@@ -323,3 +323,14 @@ def test_a_scorer_may_reorder_rows_but_not_lose_any(spark, rows):
 def test_many_plain_terms_are_no_regex(spark):
     df = spark.createDataFrame([("x9.y",)], "t string").select(fn.match_any("t", [f"{k}." for k in range(40)]).alias("m"))
     assert df.first().m and "RLike" not in df._jdf.queryExecution().toString()
+
+
+def test_values_off_the_list_have_a_place(spark, rows):
+    df = spark.createDataFrame([("e", "a", 1), ("e", "z", 2), ("e", None, 4)], "k string, t string, n int")
+    assert rows(reshape.pivot_wide(df, ["k"], "t", ["a", "b"], "n", other="rest"), "a", "b", "rest") == [(1, 0, 6)]
+    assert rows(reshape.densify(df, ["k"], "t", ["a"], "n", other="rest"), "t", "n") == [("a", 1), ("rest", 6)]
+
+
+def test_named_rows_beside_the_top_are_not_merged(spark, rows):
+    df = spark.createDataFrame([("a", 5), ("b", 1), ("b", 1)], "k string, n int")
+    assert rows(ranking.top_n_global(df, "n", ["k"], 1, F.col("k").isin("a", "b")), "k", "n") == [("a", 5), ("b", 1), ("b", 1)]

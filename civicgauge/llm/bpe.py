@@ -230,10 +230,8 @@ def encoder(path: str) -> Encoder:
 
 def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """Token ids of each whole text: the id column and ``ids`` (array<int>)."""
-    path = tokenizer or default_path()
-
     def make():
-        work = encoder(path)
+        work = encoder(tokenizer or default_path())
         return lambda keys, texts: [keys, [np.frombuffer(x, dtype="<u4").astype("int32") for x in work.encode(texts)]]
 
     kind = dict(docs.dtypes)[id_column]
@@ -242,10 +240,8 @@ def encode(docs: DataFrame, tokenizer: str | None = None, text: str = "text", id
 
 def decode(encoded: DataFrame, tokenizer: str | None = None, id_column: str = "doc_id") -> DataFrame:
     """Text of each row's ``ids``: the id column and ``text``. Null ids give a null text."""
-    path = tokenizer or default_path()
-
     def make():
-        work = encoder(path)
+        work = encoder(tokenizer or default_path())
         return lambda keys, ids: [keys, [None if x is None else work.decode(np.array(x, dtype="<u4").tobytes()) for x in ids]]
 
     kind = dict(encoded.dtypes)[id_column]
@@ -257,10 +253,8 @@ def round_trip_digests(docs: DataFrame, tokenizer: str | None = None, text: str
 
     (of the ids as little-endian 32-bit numbers), ``decoded_sha256`` (of the decoded text in UTF-8), ``lossless``.
     """
-    path = tokenizer or default_path()
-
     def make():
-        work = encoder(path)
+        work = encoder(tokenizer or default_path())
 
         def run(keys, texts):
             ids = work.encode(texts)

@@ -41,10 +41,18 @@ def gram_buckets(hashes: Column, buckets: int = BUCKETS, pairs: bool = True, dou
     return F.concat(single, F.slice(F.transform(hashes, pair), 1, F.greatest(F.size(hashes) - 1, F.lit(0))))
 
 
+def hash_share(id_column: str, most: int, rows: int) -> Column:
+    """Whether a row is in the share of all rows, by the hash of its id, that holds about twice ``most`` of ``rows``.
+
+    It keeps what a task hands on to the choice of the smallest hashes in proportion to its part of the choice.
+    """
+    return F.pmod(F.xxhash64(id_column), F.lit(1 << 30)) < int(min(1.0, 2 * most / max(1, rows)) * (1 << 30))
+
+
 def bounded_labels(labels: DataFrame, most: int, id_column: str = "doc_id") -> DataFrame:
-    """At most ``most`` labelled ids, the same ones in every run: those whose hashes are smallest. Small enough to broadcast."""
-    order = F.xxhash64(id_column)
-    return labels.filter(F.col(id_column).isNotNull()).dropDuplicates([id_column]).orderBy(order, id_column).limit(most)
+    """At most ``most`` labelled ids, the same ones in every run, chosen by their hashes. Small enough to broadcast."""
+    share = hash_share(id_column, most, labels.count())
+    return labels.filter(F.col(id_column).isNotNull() & share).dropDuplicates([id_column]).orderBy(F.xxhash64(id_column), id_column).limit(most)
 
 
 def labelled_once(labels: DataFrame, columns: dict[str, Column], id_column: str = "doc_id") -> DataFrame:

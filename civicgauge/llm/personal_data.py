@@ -26,6 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from civicgauge.llm.grams import hash_share
 from civicgauge.llm.tasks import map_rows, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
@@ -302,8 +303,11 @@ def learn(docs: DataFrame, train_texts: int = TRAIN_TEXTS, precision: float = PR
 
         return run
 
-    sample = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).filter(
-        F.col("text").rlike("@|[0-9]{3}")).orderBy(F.xxhash64("id"), "id").limit(train_texts)
+    texts = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
+    # Of fifty times as many ids as wanted, those whose texts may hold something; the ids alone are sorted and broadcast.
+    some = texts.filter(hash_share("id", 25 * train_texts, docs.count()) & F.col("text").rlike("@|[0-9]{3}"))
+    chosen = some.select(F.col("id").alias("chosen")).distinct().orderBy(F.xxhash64("chosen"), "chosen").limit(train_texts)
+    sample = texts.join(F.broadcast(chosen), F.col("id") == F.col("chosen"), "left_semi")
     kind = dict(sample.dtypes)["id"]
     rows = map_rows(sample, ["id", "text"], f"id {kind}, window string, kind string, start int, end int", make)
     windows = sorted((r.window, r.kind, r.start, r.end) for r in rows.filter(F.length("window") < 1000).orderBy("id", "start", "kind").limit(4 * train_texts).collect())

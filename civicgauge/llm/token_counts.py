@@ -65,10 +65,10 @@ def _checked(rule: str) -> str:
 def line_token_counts(docs: DataFrame, tokenizer: str | None = None, rule: str = "first", text: str = "text",
                       id_column: str = "doc_id") -> DataFrame:
     """A row for each line of each text: ``section`` (from 0), ``start`` and ``end`` (characters), ``n_tokens`` (double)."""
-    path, rule = tokenizer or default_path(), _checked(rule)
+    rule = _checked(rule)
 
     def make():
-        work = encoder(path)
+        work = encoder(tokenizer or default_path())
 
         def run(keys, texts):
             out = [[], [], [], [], []]
@@ -96,10 +96,10 @@ def line_token_counts(docs: DataFrame, tokenizer: str | None = None, rule: str =
 def field_token_counts(rows: DataFrame, fields: list[str], tokenizer: str | None = None, rule: str = "first",
                        id_column: str = "doc_id") -> DataFrame:
     """Each row with the tokens of each field, the fields being encoded as one text: ``tokens_<field>`` (double)."""
-    path, rule = tokenizer or default_path(), _checked(rule)
+    rule = _checked(rule)
 
     def make():
-        work = encoder(path)
+        work = encoder(tokenizer or default_path())
 
         def run(keys, *columns):
             whole = ["".join(parts) for parts in zip(*columns)]

@@ -6,8 +6,8 @@ every stage as a table in the shared folder and reads it again, so that a lost e
 - Rows of one id and one text stay or go together; rows without an id have no group to be named by and go with the
   near-duplicates.
 - Personal data is replaced by its kind in brackets, and ``n_chars`` follows the new text.
-- Mixing repeats documents of a domain that falls short of its share of the tokens; it drops none, and the total is not raised
-  for a domain that holds more than its share.
+- Mixing repeats documents until every domain holds its target share of the expected tokens; it drops none, so the total is
+  raised for a domain that holds more than its share.
 """
 
 from __future__ import annotations
@@ -43,10 +43,15 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return hidden.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
+def rates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Posteriors, rate and copies of each document. No domain loses tokens: the total grows with that over its share."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("domain", mixing.domain_of_labels())
+    return mixing.mix(docs, labels, TARGETS, keep=tuple(TARGETS), least=1.0)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their fitted rates say, at least once."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("domain", mixing.domain_of_labels())
-    return mixing.repeat(docs, mixing.mix(docs, labels, TARGETS, keep=(), least=1.0))
+    return mixing.repeat(docs, rates(spark, docs, sf_dir))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

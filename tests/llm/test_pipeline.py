@@ -68,6 +68,25 @@ def test_stages_one_by_one(spark, folder, tmp_path):
             assert found == sorted((i, len(p) // 4, tuple(int.from_bytes(p[k:k + 4], "little") for k in range(0, len(p), 4))) for i, p in packed)
 
 
+def expected_shares(members):
+    """Share of each domain in the expected tokens."""
+    rows = members.collect()
+    mass = {d: sum(r.n_tokens * r.rate * r[f"p_{d}"] for r in rows) for d in corpus_pipeline.TARGETS}
+    assert all(r.rate >= 1 and r.copies >= 1 for r in rows)
+    return {d: m / sum(mass.values()) for d, m in mass.items()}
+
+
+def test_mixing_meets_its_targets(spark, tmp_path):
+    """Toxic texts hold more than their share and none is dropped."""
+    rng = random.Random(5)
+    mild, rude = "river stone house tree green walk light year town".split(), "idiot stupid moron trash loser creep".split()
+    texts = [" ".join(rng.choice(rude if i % 5 < 2 else mild) for _ in range(60)) for i in range(200)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCUMENT)
+    spark.createDataFrame([(i, 1, int(i % 5 < 2)) for i in range(100)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert expected_shares(corpus_pipeline.rates(spark, docs, str(tmp_path))) == pytest.approx(corpus_pipeline.TARGETS, abs=0.002)
+    assert {r.doc_id for r in corpus_pipeline.mix(spark, docs, str(tmp_path)).select("doc_id").collect()} == {*range(200)}
+
+
 def test_run_is_the_stages_in_order(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert {"doc_id", "ids", "n_tokens"} <= set(out.columns)

@@ -108,12 +108,13 @@ def postings_of(tidy: DataFrame, **lists: Iterable[str]) -> DataFrame:
     return keep_members_of_any(tidy, lists)
 
 
-def children_consolidated(history: DataFrame) -> DataFrame:
-    """Series, places and hiring paths of each announcement as text, within the row: no shuffle, no row lost."""
-    return consolidate_children(history, {
+def children_consolidated(history: DataFrame, key: str = "usajobs_control_number") -> DataFrame:
+    """Series, places and hiring paths of each announcement as text, over all rows of its control number; no row is lost."""
+    lists = {
         "job_series": ("job_categories", "series"), "job_city": ("position_locations", "positionLocationCity"),
         "job_state": ("position_locations", "positionLocationState"),
-        "job_country": ("position_locations", "positionLocationCountry"), "hiring_paths_all": ("hiring_paths", "hiringPath")})
+        "job_country": ("position_locations", "positionLocationCountry"), "hiring_paths_all": ("hiring_paths", "hiringPath")}
+    return consolidate_children_across(history, [key], lists).drop(*{array for array, _ in lists.values()})
 
 
 def history_tidy(history: DataFrame, it_series: Iterable[str] = tuple(fixed.IT_SERIES)) -> DataFrame:

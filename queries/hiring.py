@@ -132,7 +132,7 @@ SELECT doc_id AS usajobs_control_number, array_to_string(list_sort(list_distinct
 FROM w
 """)
 def children_consolidated(spark: SparkSession, folder: str) -> DataFrame:
-    """Words and lines of a text as the nested children of an announcement; the lists are built within the row."""
+    """Words and lines of a text as the nested children of an announcement that comes in one row."""
     lines = F.transform(F.split("text", "\n"), lambda t: F.struct(
         t.alias("positionLocationCity"), t.substr(1, 1).alias("positionLocationState"), F.length(t).alias("positionLocationCountry")))
     nested = load(spark, folder, "documents").select(
@@ -142,6 +142,29 @@ def children_consolidated(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.children_consolidated(nested)
 
 
+@query("""
+WITH o AS (
+  SELECT o_custkey AS c, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ', ') AS job_series,
+    array_to_string(list_sort(list(DISTINCT CAST(CAST(o_orderdate AS DATE) AS VARCHAR))), ', ') AS job_city,
+    array_to_string(list_sort(list(DISTINCT o_orderstatus)), ', ') AS job_state,
+    array_to_string(list_sort(list(DISTINCT CAST(year(o_orderdate) AS VARCHAR))), ', ') AS job_country
+  FROM orders GROUP BY o_custkey
+)
+SELECT o_custkey AS usajobs_control_number, o_orderkey, job_series, job_city, job_state, job_country, 'public' AS hiring_paths_all
+FROM orders JOIN o ON o_custkey = c
+""")
+def children_consolidated_over_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as announcements: a customer's rows share a control number, and each gets the children of all of them."""
+    day = F.to_date("o_orderdate")
+    nested = load(spark, folder, "orders").select(
+        F.col("o_custkey").alias("usajobs_control_number"), "o_orderkey",
+        F.array(F.struct(F.col("o_orderpriority").alias("series"))).alias("job_categories"),
+        F.array(F.struct(day.cast("string").alias("positionLocationCity"), F.col("o_orderstatus").alias("positionLocationState"),
+                         F.year(day).cast("string").alias("positionLocationCountry"))).alias("position_locations"),
+        F.array(F.struct(F.lit("public").alias("hiringPath"))).alias("hiring_paths"))
+    return jobs.children_consolidated(nested)
+
+
 @query("""
 WITH h AS (
   SELECT user_id, CAST(ts AS DATE) AS day, string_agg(event_type, ', ' ORDER BY event_type) AS all_keywords FROM events GROUP BY ALL

@@ -216,6 +216,17 @@ def test_announcement_history(spark, rows):
     assert rows(hiring.it_share_latest(yearly), "clean_name", "period") == [("EPA", 2025)]
 
 
+def test_children_of_an_announcement_in_several_rows(spark, rows):
+    schema = ("usajobs_control_number string, part int, job_categories array<struct<series: string>>, position_locations array<struct<positionLocationCity: string, "
+              "positionLocationState: string, positionLocationCountry: string>>, hiring_paths array<struct<hiringPath: string>>")
+    data = [("1", 1, [("2210",)], [("Denver", "CO", "US")], None), ("1", 2, [("0301",), ("2210",)], [], [("public",)]), ("1", 3, None, None, None),
+            ("2", 1, [("0401",)], [("Boise", "ID", "US")], [("vet",)]), (None, 1, [("0801",)], None, None), (None, 2, [("0802",)], None, None)]
+    flat = hiring.children_consolidated(spark.createDataFrame(data, schema))
+    assert flat.columns == ["usajobs_control_number", "part", "job_series", "job_city", "job_state", "job_country", "hiring_paths_all"]
+    assert rows(flat) == [(None, 1, "0801, 0802", None, None, None, None), (None, 2, "0801, 0802", None, None, None, None)] + [
+        ("1", n, "0301, 2210", "Denver", "CO", "US", "public") for n in (1, 2, 3)] + [("2", 1, "0401", "Boise", "ID", "US", "vet")]
+
+
 def test_openings_and_core_stats(spark, rows):
     schema = ("id bigint, subagency string, openings string, it_specialist boolean, user_research boolean, agile_startup_ux boolean, use_ai boolean, "
               "stem_job boolean, innovative_score double")

@@ -7,6 +7,10 @@ cheapest way to build the value from common words, dates, repeats, keyboard walk
 dynamic programming, and the value counts as a secret from ``least_guesses`` (as a power of ten) on. So ``hunter22`` in
 prose about passwords is left alone where ``xK9#vQ2m`` is not. Added spans overlap no base span.
 
+Common words are a fixed list of what passwords are built of, and the words of the table itself by the number of texts that
+have them: ``learn_words`` counts every text in its task, and the ``TABLE_WORDS`` most usual go to the tasks. A word that
+stands in credential contexts as often as outside them is no word of the language and is not taken.
+
 A step of the programme looks back over one word, date, walk or repeat; brute force goes character by character. So a value
 of any length is priced in time in proportion to it.
 
@@ -20,14 +24,20 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from civicgauge.llm.tasks import map_rows, text_or_empty
 
 KINDS = ("assign", "access", "hex")
 ADDED = "guess"
 LEAST_GUESSES = 8.0
+#: Words learnt from a table: how many, and the least number of texts that have one.
+TABLE_WORDS, LEAST_TEXTS = 50_000, 5
+LONGEST_WORD = 24
 Span = tuple[str, int, int]
 
 # Words that passwords are built of, most usual first, and rows of a keyboard.
@@ -46,14 +56,26 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # of a run, all or nothing: a shorter run is a match that fails
 _CONTEXT = re.compile(rf"(?<![A-Za-z])(?:{CREDENTIAL_NAMES})[\"'`]?\s{{0,3}}(?:[:=]|->|=>|\bis\b|\bwas\b)\s{{0,3}}[\"'`]?([^\s\"'`,;<>]+)|://[^\s/:@]+:([^\s/@]+)@|\bbearer\s+([^\s\"'`,;<>]+)", re.I | re.A)
 _CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "pin", "://")
-_RANK = {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
-_LONGEST = max(map(len, COMMON_WORDS))
+_WORD = re.compile(rf"\b[^\W\d_]{{3,{LONGEST_WORD}}}\b")  # letters only: no piece of a longer mix of characters
 _PLAIN = str.maketrans("@$01345!", "asoieasi")
 _NEXT = {row[i:i + 2] for row in KEY_ROWS for i in range(len(row) - 1)} | {row[i + 1] + row[i] for row in KEY_ROWS for i in range(len(row) - 1)}
 _DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
 
 
-def guess_cost(value: str) -> float:
+class Words:
+    """Ranks of common words: the fixed ones and those of a table, most usual first; a word on both has the lower rank."""
+
+    def __init__(self, learnt: Iterable[str] = ()):
+        self.rank = {w: i + 1 for i, w in enumerate(learnt)}
+        for i, w in enumerate(COMMON_WORDS):
+            self.rank[w] = min(i + 1, self.rank.get(w, i + 1))
+        self.longest = max(map(len, self.rank))
+
+
+FIXED = Words()
+
+
+def guess_cost(value: str, words: Words = FIXED) -> float:
     """Decimal power of the guesses needed for the cheapest segmentation of ``value``."""
     n, lower = len(value), value.lower()
     lower = lower if len(lower) == n else value
@@ -80,11 +102,11 @@ def guess_cost(value: str) -> float:
             if same[period - 1] >= max(2, period):
                 start = end - same[period - 1]
                 cost = min(cost, best[start] + math.log10(period * same[period - 1]))
-        for size in range(3, min(_LONGEST, end) + 1):
-            rank = _RANK.get(lower[end - size:end]) or _RANK.get(plain[end - size:end])
+        for size in range(3, min(words.longest, end) + 1):
+            rank = words.rank.get(lower[end - size:end]) or words.rank.get(plain[end - size:end])
             if rank:
                 word = value[end - size:end]
-                changed = (word != word.lower()) + (word.lower() not in _RANK)
+                changed = (word != word.lower()) + (word.lower() not in words.rank)
                 cost = min(cost, best[end - size] + math.log10(rank * 10 ** changed + 1))
         for start in dates.get(end, ()):
             cost = min(cost, best[start] + math.log10(365 * 100 if end - start > 4 else 100))
@@ -119,9 +141,40 @@ def context_values(text: str) -> list[tuple[int, int]]:
     return found
 
 
-def added_spans(text: str, base: list[Span], least_guesses: float = LEAST_GUESSES) -> list[Span]:
+def added_spans(text: str, base: list[Span], least_guesses: float = LEAST_GUESSES, words: Words = FIXED) -> list[Span]:
     return [(ADDED, a, b) for a, b in context_values(text)
-            if all(b <= start or a >= end for _, start, end in base) and guess_cost(text[a:b]) >= least_guesses]
+            if all(b <= start or a >= end for _, start, end in base) and guess_cost(text[a:b], words) >= least_guesses]
+
+
+def words_of(text: str) -> tuple[set[str], set[str]]:
+    """Words outside the values in credential contexts, and words of these values."""
+    outside, inside, at = set(), set(), 0
+    for a, b in sorted(context_values(text)):
+        outside.update(_WORD.findall(text[at:a].lower()))
+        inside.update(_WORD.findall(text[a:b].lower()))
+        at = b
+    outside.update(_WORD.findall(text[at:].lower()))
+    return outside, inside
+
+
+def learn_words(docs: DataFrame, text: str = "text", size: int = TABLE_WORDS, least_texts: int = LEAST_TEXTS) -> list[str]:
+    """The most usual words of all texts by the number of texts that have them, ties by the word."""
+    def make():
+        def run(texts):
+            outside, inside = Counter(), Counter()
+            for value in texts:
+                here, there = words_of(value)
+                outside.update(here)
+                inside.update(there)
+            found = outside.keys() | inside.keys()
+            return [list(found), [outside[w] for w in found], [inside[w] for w in found]]
+
+        return run
+
+    counts = map_rows(docs, [text_or_empty(text)], "word string, outside long, inside long", make).groupBy("word").agg(
+        F.sum("outside").alias("outside"), F.sum("inside").alias("inside"))
+    usual = counts.filter((F.col("outside") >= least_texts) & (F.col("outside") > F.col("inside")))
+    return [r.word for r in usual.orderBy(F.desc("outside"), "word").limit(size).select("word").collect()]
 
 
 def as_text(spans: list[Span]) -> str:
@@ -130,19 +183,22 @@ def as_text(spans: list[Span]) -> str:
 
 def find(docs: DataFrame, least_guesses: float = LEAST_GUESSES, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """Of each row: id, base counts, ``base_sha256``, all spans, and the largest guess cost of a value in a credential context."""
+    learnt = learn_words(docs, text)
     order = {k: i for i, k in enumerate((*KINDS, ADDED))}
 
     def make():
+        words = Words(learnt)
+
         def run(keys, texts):
             counts, digests, spans, costs = {k: [] for k in KINDS}, [], [], []
             for value in texts:
                 base = base_spans(value)
-                every = sorted(base + added_spans(value, base, least_guesses), key=lambda s: (s[1], order[s[0]]))
+                every = sorted(base + added_spans(value, base, least_guesses, words), key=lambda s: (s[1], order[s[0]]))
                 for k in KINDS:
                     counts[k].append(sum(s[0] == k for s in base))
                 digests.append(hashlib.sha256(as_text(base).encode()).hexdigest())
                 spans.append(as_text(every))
-                costs.append(max((round(guess_cost(value[a:b]), 6) for a, b in context_values(value)), default=None))
+                costs.append(max((round(guess_cost(value[a:b], words), 6) for a, b in context_values(value)), default=None))
             return [keys, *counts.values(), digests, spans, costs]
 
         return run

@@ -158,3 +158,16 @@ def test_added_secrets_and_rows(spark):
     assert found[n + 3].n_assign == 1 and found[n + 3].base_sha256 == hashlib.sha256(b"assign:0:18").hexdigest()
     assert found[0].base_sha256 == hashlib.sha256(b"").hexdigest() and found[0].max_guess_cost is None
     assert secrets.find(documents(spark, texts).limit(0)).count() == 0
+
+
+def test_words_of_the_table_are_common(spark):
+    """Prose about passwords is no secret; a value that is often there as one stays a secret."""
+    prose = ["the token is required", "the secret was revealed.", "the password is optional"]
+    texts = [*prose, *[f"an answer is required, revealed or optional in case {i}" for i in range(6)],
+             *["my password is zkvqxbjw"] * 9, "zkvqxbjw " * 3, *["pwd is x7zkvqxbjw9"] * 6]
+    found = {r.doc_id: r.spans for r in secrets.find(documents(spark, texts)).collect()}
+    assert [found[i] for i in range(9)] == [""] * 9
+    assert found[9] == "guess:15:23" and found[19] == "guess:7:18"
+    words = secrets.learn_words(documents(spark, texts))
+    assert {"required", "revealed", "optional"} <= set(words) and "zkvqxbjw" not in words
+    assert secrets.learn_words(documents(spark, texts), size=2) == words[:2] and secrets.learn_words(documents(spark, []).limit(0)) == []

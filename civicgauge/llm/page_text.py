@@ -4,12 +4,13 @@ A page is read into blocks of text, each with the zone its elements put it in: d
 sidebars, notices, adverts, forms, scripts, comments), main (inside an article or main element), or open. Pages are ordered by
 host, path and content, and each is paired with the neighbour on its host whose path shares more with its own, the earlier
 one of equals. The lines of the two are aligned by their longest common subsequence, and shared lines are template: they are
-deleted, unless they are inside an article, where a shared line is a quotation or a copy of the article and belongs to it.
-A neighbour that has all of a page's lines is a copy of it and tells nothing of templates; then the other neighbour serves.
-The text of a page with an article is what its articles hold; of another page, what is left of its open blocks.
+deleted. A neighbour that has all of a page's lines is a copy of it and tells nothing of templates; then the next of two
+neighbours on either side serves. Inside an article a shared line can be a quotation, or the article a copy: there it is
+template if two of these four neighbours share it, and if of the article text of these three pages no two have more than
+half in common. The text of a page is what is left of its article and open blocks.
 
 Neighbours come from a range partitioning by host and path, so a host with a third of all pages spans many tasks, and the
-first and last page of each range are handed over to the ranges beside it: the pairs do not depend on where ranges end. What
+first and last two pages of each range are handed over to the ranges beside it: the pairs do not depend on where ranges end. What
 moves is a hash for each line, not the pages.
 
 Defined results: a null or empty html gives an empty text; a page without a host in its URL, and one alone on its host, is
@@ -157,14 +158,37 @@ def shared_path(a: str, b: str) -> int:
     return n
 
 
-def template_lines(path: str, lines: list[int], neighbours: list[tuple[str, list[int]] | None]) -> list[int]:
-    """Positions of the lines shared with the nearest neighbour that is not a copy."""
-    near = sorted((n for n in neighbours if n), key=lambda n: -shared_path(path, n[0]))
-    for _, others in near:
-        shared = common_lines(lines, others)
-        if len(shared) < len(lines):
-            return shared
-    return []
+Page = tuple[str, list[int], list[int]]  # path, lines, and the characters of each line inside an article (0 outside)
+
+
+def main_size(sizes: list[int], at: list[int] | None = None) -> int:
+    return sum(sizes if at is None else (sizes[i] for i in at))
+
+
+def differ(a: Page, b: Page, shared: list[int]) -> bool:
+    """Whether at most half of the article text of either page is in ``shared``, positions in ``a``: no copy, no new version."""
+    return 2 * main_size(a[2], shared) <= min(main_size(a[2]), main_size(b[2]))
+
+
+def template_lines(own: Page, neighbours: list[Page | None]) -> list[int]:
+    """Positions of template lines.
+
+    Outside articles: the lines shared with the nearest neighbour that is not a copy. Inside: those shared with two
+    neighbours, where the articles of all three differ.
+    """
+    lines, sizes = own[1:]
+    near = sorted((n for n in neighbours if n), key=lambda n: -shared_path(own[0], n[0]))
+    shared = [(n, x) for n in near if len(x := common_lines(lines, n[1])) < len(lines)]
+    deleted = {i for i in shared[0][1] if not sizes[i]} if shared else set()
+    seen: list[Page] = []
+    times: dict[int, int] = {}
+    for other, at in shared if any(sizes) else ():
+        inside = [i for i in at if sizes[i]]
+        if inside and differ(own, other, at) and all(differ(other, x, common_lines(other[1], x[1])) for x in seen):
+            seen.append(other)
+            for i in inside:
+                times[i] = times.get(i, 0) + 1
+    return sorted(deleted | {i for i, n in times.items() if n > 1})
 
 
 def _page_key(page_id: str, url: str, html: str) -> Column:
@@ -179,43 +203,44 @@ def template_of(pages: DataFrame, page_id: str = "page_id", url: str = "url", ht
 
     def make():
         def run(keys, hosts, paths, texts):
-            lines = [[xxhash.xxh64_intdigest(t.encode()) - 2 ** 63 for _, t in blocks(x)] for x in texts]
-            return [keys, hosts, paths, [np.array(x, dtype=np.int64) for x in lines]]
+            read = [blocks(x) for x in texts]
+            lines = [[xxhash.xxh64_intdigest(t.encode()) - 2 ** 63 for _, t in x] for x in read]
+            return [keys, hosts, paths, [np.array(x, dtype=np.int64) for x in lines], [[len(t) if main else 0 for main, t in x] for x in read]]
 
         return run
 
     lines = map_rows(rows.filter((F.col("host") != "") & (F.length("html") > 0)), ["key", "host", "path", "html"],
-                     "key long, host string, path string, lines array<long>", make)
+                     "key long, host string, path string, lines array<long>, sizes array<int>", make)
     # Ranges of neighbours; a page that is there more than once counts once.
     ranged = durable(lines.dropDuplicates(["host", "path", "key"]).repartitionByRange("host", "path", "key").withColumn(
         "part", F.spark_partition_id()), "page-lines")
-    page = F.struct("host", "path", "key", "lines")
-    ends = ranged.groupBy("part").agg(F.min(page).alias("first"), F.max(page).alias("last"))  # a row for each range
-    beside = Window.orderBy("part")
-    ends = ends.select("part", F.lag("last").over(beside).alias("from_before"), F.lead("first").over(beside).alias("from_after"))
-    order = Window.partitionBy("part").orderBy("host", "path", "key")
-    seen = ranged.select("part", "host", "path", "key", "lines", F.lag(page).over(order).alias("before"), F.lead(page).over(order).alias("after"))
-    seen = seen.join(ends, "part")
-    before, after = F.coalesce("before", "from_before"), F.coalesce("after", "from_after")
-    same = [F.when(x["host"] == F.col("host"), x) for x in (before, after)]
-    pairs = seen.select("key", "path", "lines", *(x[f].alias(f"{f}{i}") for i, x in enumerate(same) for f in ("path", "lines")))
+    page, place = F.struct("host", "path", "lines", "sizes"), ["host", "path", "key"]
+    steps = {"before0": F.lag(page), "after0": F.lead(page), "before1": F.lag(page, 2), "after1": F.lead(page, 2)}
+    order, beside = Window.partitionBy("part").orderBy(*place), Window.orderBy(*place)
+    seen = ranged.select("part", *place, "lines", "sizes", *(x.over(order).alias(name) for name, x in steps.items()))
+    # The first and last two pages of each range find among themselves what their own range lacks.
+    ends = seen.filter(F.col("before1").isNull() | F.col("after1").isNull()).select(*place, "lines", "sizes")
+    ends = durable(ends.select(F.col("key").alias("end_key"), *(x.over(beside).alias(f"beside_{name}") for name, x in steps.items())), "page-ends")
+    seen = seen.join(ends, F.col("key") == F.col("end_key"), "left")
+    found = {name: F.coalesce(name, f"beside_{name}") for name in steps}
+    pairs = seen.select("key", "path", "lines", "sizes", *(
+        F.when(x["host"] == F.col("host"), x[f]).alias(f"{f}_{name}") for name, x in found.items() for f in ("path", "lines", "sizes")))
 
     def align():
-        def run(keys, paths, own, path0, lines0, path1, lines1):
-            found = [template_lines(p, x, [(a, b) if b is not None else None for a, b in ((p0, x0), (p1, x1))])
-                     for p, x, p0, x0, p1, x1 in zip(paths, own, path0, lines0, path1, lines1)]
-            return [keys, found]
+        def run(keys, paths, lines, sizes, *others):
+            columns = [zip(*others[i:i + 3]) for i in range(0, len(others), 3)]
+            return [keys, [template_lines(own, [n if n[1] is not None else None for n in near]) for own, *near in zip(zip(paths, lines, sizes), *columns)]]
 
         return run
 
-    found = map_rows(pairs, ["key", "path", "lines", "path0", "lines0", "path1", "lines1"], "key long, deleted array<int>", align)
+    found = map_rows(pairs, pairs.columns, "key long, deleted array<int>", align)
     return found.filter(F.size("deleted") > 0)
 
 
 def main_text(found: list[tuple[bool, str]], deleted: set[int]) -> str:
-    """The articles' blocks; without an article, the blocks that are not template."""
-    inside = [text for main, text in found if main]
-    return "\n\n".join(inside or [text for i, (_, text) in enumerate(found) if i not in deleted])
+    """The blocks that are not template. Next to an article, an open block that repeats one of its blocks adds nothing."""
+    inside = {text for main, text in found if main}
+    return "\n\n".join(text for i, (main, text) in enumerate(found) if i not in deleted and (main or text not in inside))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -60,6 +60,20 @@ def test_copies_and_articles_lose_nothing(spark):
     assert set(texts(spark, rows).values()) == {"Welcome\n\nstory"}
 
 
+def test_template_inside_articles(spark):
+    """What all pages of a host have in their articles goes, from the first and the last one too; quotations and versions stay."""
+    def page(i, *more):
+        return "<article>" + "".join(f"<p>{x}</p>" for x in ("Subscribe now", f"a long story {i} of its own", f"and its end {i}", *more, "Read more")) + "</article>"
+
+    rows = [(f"http://h/{i}", page(i, "Quoted") if i < 2 else page(i)) for i in range(6)]
+    rows += [(f"http://v/{i}", f"<main><p>one story in versions</p><p>the same end</p><p>version {i}</p></main>") for i in range(4)]
+    rows += [(f"http://o/{i}", f"<article><p>story {i}</p></article><div>Shared</div><div>own note {i}</div>") for i in range(3)]
+    found = texts(spark, rows)
+    assert [found[i] for i in range(6)] == [f"a long story {i} of its own\n\nand its end {i}" + "\n\nQuoted" * (i < 2) for i in range(6)]
+    assert [found[6 + i] for i in range(4)] == [f"one story in versions\n\nthe same end\n\nversion {i}" for i in range(4)]
+    assert [found[10 + i] for i in range(3)] == [f"story {i}\n\nown note {i}" for i in range(3)]
+
+
 def slow_common(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a)):

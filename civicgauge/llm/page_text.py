@@ -1,7 +1,7 @@
 """Operator 4: main text of web pages, by markup and by differencing with the page of the nearest URL.
 
 A page is read into blocks of text, each with the zone its elements put it in: dropped (menus, page headers and footers,
-sidebars, notices, adverts, forms, scripts, comments), main (inside an article or main element), or open. Pages are ordered by
+sidebars, notices, adverts, forms, scripts, comments; by a class or id only if the whole name says so and no article is inside), main (inside an article or main element), or open. Pages are ordered by
 host, path and content, and each is paired with the neighbour on its host whose path shares more with its own, the earlier
 one of equals. The lines of the two are aligned by their longest common subsequence, and shared lines are template: they are
 deleted. A neighbour that has all of a page's lines is a copy of it and tells nothing of templates; then the next of two
@@ -47,30 +47,44 @@ DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement banner sponsor sponsored promo promotion nav navbar navigation menu sidebar breadcrumb breadcrumbs footer comment "
     "comments discussion disqus respond reply cookie cookies consent gdpr notice notices alert newsletter subscribe subscription popup modal overlay share "
     "sharing social related recommended login signup search toolbar pagination pager masthead".split())
+# What the other parts of a compound name may be, as in share-buttons or site-footer; has-sidebar or related-work are no such names.
+NAME_PARTS = frozenset(
+    "area bar block body bottom box button buttons container content form global group header icons inner item items left link links list main outer page "
+    "panel primary right row secondary section site top widget wrap wrapper".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 
 
-def _dropped(tag: str, attributes: str, in_main: bool) -> bool:
+def _dropped_name(name: str) -> bool:
+    """Whether a class or id is a dropped name, alone or with parts that only say where or what box it is."""
+    parts = [p for p in re.split("[_-]+", name) if p]
+    named = [p for p in parts if p in DROPPED_NAMES]
+    return bool(named) and all(p in DROPPED_NAMES or p in NAME_PARTS or p.isdigit() for p in parts)
+
+
+def _dropped(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
+    """Whether an element is dropped: for what it is, for a name it has."""
     if tag in DROPPED or tag == "header" and not in_main:
-        return True
+        return True, False
     if tag in ("html", "body") or not attributes or attributes.isspace():
-        return False
+        return False, False
+    named = False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m.group(1).lower(), unescape(m.group(2) or m.group(3) or m.group(4) or "").lower()
-        if name in ("class", "id") and not DROPPED_NAMES.isdisjoint(re.split(r"[\s_-]+", value)):
-            return True
+        if name in ("class", "id") and any(map(_dropped_name, value.split())):
+            named = True
         if name == "role" and value.strip() in DROPPED_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return True, False
+    return False, named and (in_main or tag != "main")
 
 
 def blocks(html: str) -> list[tuple[bool, str]]:
     """Blocks of text outside dropped elements, in page order: whether inside an article, and the text."""
     found: list[tuple[bool, str]] = []
     held: list[str] = []
-    open_holders: list[tuple[str, bool, bool]] = []  # tag, dropped, main
+    open_holders: list[tuple[str, bool, bool]] = []  # tag, and what was so before it: dropped, main
+    named: list[tuple[int, int]] = []  # elements dropped for a name: depth, first block; one that holds an article is not dropped
     dropped = main = False
     at, n = 0, len(html)
 
@@ -105,15 +119,22 @@ def blocks(html: str) -> list[tuple[bool, str]]:
                 if (m.group("attributes") or "").rstrip().endswith("/") and tag == "svg":
                     continue
                 open_holders.append((tag, dropped, main))
-                dropped = dropped or _dropped(tag, m.group("attributes") or "", main)
-                main = main or tag in MAIN
+                is_dropped, has_name = (True, False) if dropped else _dropped(tag, m.group("attributes") or "", main)
+                dropped = is_dropped
+                if has_name:
+                    named.append((len(open_holders), len(found)))
+                if tag in MAIN and not (main or dropped or has_name):
+                    named.clear()
+                    main = True
             elif any(h[0] == tag for h in open_holders):
                 while True:
+                    if named and named[-1][0] == len(open_holders):
+                        del found[named.pop()[1]:]
                     name, dropped, main = open_holders.pop()
                     if name == tag:
                         break
     flush()
-    return found
+    return found[:named[0][1]] if named else found
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:

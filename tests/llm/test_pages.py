@@ -74,6 +74,20 @@ def test_template_inside_articles(spark):
     assert [found[10 + i] for i in range(3)] == [f"story {i}\n\nown note {i}" for i in range(3)]
 
 
+def test_names_drop_only_what_they_name():
+    def text(html):
+        return [t for _, t in page_text.blocks(html)]
+
+    for name in ("layout has-sidebar", "no-comments", "with-banner", "search-results-article", "sidebar"):
+        assert text(f'<div class="{name}"><article><p>story</p></article></div>') == ["story"], name
+    for name in ("related-work", "social-policy", "no-comments"):
+        assert text(f'<article><section id="{name}"><p>part</p></section></article>') == ["part"], name
+    for name in ("share-buttons", "site-footer", "ad", "x sidebar", "comments", "left_nav"):
+        assert text(f'<article><p>a</p><div class="{name}"><p>no</p><article>no</article></div><p>b</p></article>') == ["a", "b"], name
+        assert text(f'<p>a</p><div class="{name}"><p>no</p><div>no</div></div><p>b</p>') == ["a", "b"], name
+    assert text('<p>a</p><div class="sidebar"><p>never closed') == ["a"]
+
+
 def slow_common(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a)):

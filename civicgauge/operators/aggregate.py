@@ -87,12 +87,19 @@ def concat_all_by(df: DataFrame, keys: Sequence[str], column: str, name: str, se
 
     Repeats are counted per (group, value) first and written out at the end, so one row per distinct value is shuffled.
     """
-    counted = df.groupBy(*keys, column).agg(F.count(F.lit(1)).cast("int").alias("__n"))
-    word = F.struct(F.col(column).alias("value"), F.col("__n").alias("n"))
+    counted = df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("__n"))
+    return texts_by_count(counted, keys, column, "__n", name, separator, count)
+
+
+def texts_by_count(
+    counted: DataFrame, keys: Sequence[str], column: str, times: str, name: str, separator: str = ", ", count: str | None = None,
+) -> DataFrame:
+    """Rows (keys, value, times) to one text per key with each value as often as ``times`` says, in sorted order."""
+    word = F.struct(F.col(column).alias("value"), F.col(times).cast("int").alias("n"))
     words = F.sort_array(F.collect_list(F.when(F.col(column).isNotNull(), word)))
     repeated = F.flatten(F.transform(words, lambda w: F.array_repeat(w["value"], w["n"])))
     text = F.when(F.size(repeated) > 0, F.array_join(repeated, separator)).alias(name)
-    return counted.groupBy(*keys).agg(text, *([F.sum("__n").cast("bigint").alias(count)] if count else []))
+    return counted.groupBy(*keys).agg(text, *([F.sum(times).cast("bigint").alias(count)] if count else []))
 
 
 def crosstab_with_totals(

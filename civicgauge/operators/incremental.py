@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from civicgauge.operators.aggregate import concat_all_by, concat_distinct_by
+from civicgauge.operators.aggregate import concat_all_by, concat_distinct_by, count_by
 from civicgauge.operators.combine import distinct_rows, union_by_name
 from civicgauge.operators.joins import drop_matching, join_null_safe, keep_matching
 from civicgauge.session import durable
@@ -40,13 +40,19 @@ def consolidate_hits(
 ) -> DataFrame:
     """The same record found by several searches -> one row with all search terms.
 
-    By default a term found twice for an id is listed twice. Rows of an id that differ in a lasting column stay apart.
+    By default a term found twice for an id is listed twice. Rows of an id that differ in a lasting column stay apart, each with
+    the whole text: where an id has many records and hits, take ``hit_counts``.
     """
     terms = concat_distinct_by(pulls, key, {name: term}) if distinct else concat_all_by(pulls, key, term, name)
     records = distinct_rows(pulls, [term, *volatile])
     return join_null_safe(records, terms, key, "left")
 
 
+def hit_counts(pulls: DataFrame, key: Sequence[str], term: str, volatile: Sequence[str] = (), name: str = "n") -> tuple[DataFrame, DataFrame]:
+    """The same in two tables that do not grow with each other: how often each term found an id, and the distinct records."""
+    return count_by(pulls, [*key, term], name), distinct_rows(pulls, [term, *volatile])
+
+
 def enrich_unique(
     df: DataFrame, column: str, score: Callable[[pd.Series], pd.DataFrame], result: T.StructType | str,
 ) -> DataFrame:

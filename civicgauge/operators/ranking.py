@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from civicgauge.functions.numbers import ratio
 from civicgauge.operators.aggregate import sum_or_zero
-from civicgauge.operators.joins import with_group_total
+from civicgauge.operators.joins import join_null_safe, with_group_total
+from civicgauge.operators.ordered import number_rows
+from civicgauge.session import durable
 
 
 def top_n_per_group(
@@ -83,9 +85,10 @@ def top_n_global(
     is not repeated.
     """
     order = [F.desc(measure), *[F.asc(t) for t in tiebreak]]
-    top = df.orderBy(*order).limit(n)
     if also is None:
-        return top
+        return df.orderBy(*order).limit(n)
+    df = durable(df, "items")  # one row per item, written once instead of worked out three times
+    top = df.orderBy(*order).limit(n)
     # Counted per row, so that equal rows of the table stay as many as they are.
     return top.unionAll(df.filter(also).select(*top.columns).exceptAll(top))
 
@@ -93,16 +96,20 @@ def top_n_global(
 def with_order_rank(df: DataFrame, label: str, measure: str, last: str | None = None, name: str = "sort_rank") -> DataFrame:
     """Number the labels of a result for display: by descending total, with one label (``Other``) last.
 
-    The numbering window has no partition key and so runs in one task. It is meant for a finished result, such as a top-n
-    per group or one row per entity, and never for raw rows.
+    The result is written once; its labels are numbered over ranges (``number_rows``), so no task sees all of them.
     """
+    df = durable(df, "ranked")
+    totals = df.groupBy(label).agg(F.sum(measure).alias("__total"))
+    return join_null_safe(df, _numbered(totals, label, last, name), [label], "left")
+
+
+def _numbered(totals: DataFrame, label: str, last: str | None, name: str) -> DataFrame:
+    """The label and its number, of one row per label."""
     is_last = (F.col(label) == last).cast("int") if last else F.lit(0)
-    total = F.sum(measure).over(Window.partitionBy(label))
-    order = Window.orderBy(is_last, F.desc("__total"), F.asc(label))
-    return df.withColumn("__total", total).withColumn(name, F.dense_rank().over(order)).drop("__total")
+    numbered = number_rows(totals.withColumn("__last", is_last), [], ["__last", F.desc("__total"), F.asc(label)], name)
+    return numbered.select(label, F.col(name).cast("int").alias(name))
 
 
 def order_rank(df: DataFrame, label: str, measure: str, last: str | None = None, name: str = "sort_rank") -> DataFrame:
     """One row per label with its display number; the labels are aggregated before they are numbered."""
-    totals = df.groupBy(label).agg(sum_or_zero(measure).alias("__sum"))
-    return with_order_rank(totals, label, "__sum", last, name).drop("__sum")
+    return _numbered(df.groupBy(label).agg(sum_or_zero(measure).alias("__total")), label, last, name)

@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 
 from civicgauge.functions import active_in_window, parse_date, percent_text, ratio, recode
 from civicgauge.operators.aggregate import concat_all_by, count_when, sum_or_zero
-from civicgauge.operators.combine import union_strict
 from civicgauge.operators.joins import join_natural
 from civicgauge.operators.project import drop_incomplete, drop_members
 from civicgauge.operators.ranking import share_in_group, top_n_with_other, with_order_rank
 from civicgauge.operators.reshape import item_counts, item_matrix
 from civicgauge.plans import fixed_values as fixed
-from civicgauge.sources.readers import read_many
+from civicgauge.sources.headers import read_by_header
 
 REPO_SCHEMA = (
     "repo_url string, description string, languages string, num_commits bigint, first_commit_date string, "
@@ -47,8 +46,8 @@ def repo_facts(
 
 
 def read_repos(spark: SparkSession, *folders: str) -> DataFrame:
-    """The per-organisation CSV files of several folder trees, stacked."""
-    return union_strict(*[read_many(spark, f, REPO_SCHEMA) for f in folders])
+    """The per-organisation CSV files of several folder trees, stacked by their headers."""
+    return read_by_header(spark, list(folders), REPO_SCHEMA, multi_line=True)
 
 
 def with_commit_days(repos: DataFrame) -> DataFrame:
@@ -86,6 +85,12 @@ def language_counts(repos: DataFrame) -> DataFrame:
     return item_counts(repos, ["agency"], "repo_url", "languages")
 
 
+def language_counts_of(repos: DataFrame, languages: DataFrame, key: str = "repo") -> DataFrame:
+    """The same from the landed rows of (repository, language), where the repositories keep their key: no text is taken apart."""
+    held = languages.select(key, F.col("language").alias("languages")).join(repos.select(key, "agency"), key)
+    return held.groupBy("agency", "languages").agg(F.count_distinct(key).alias("count"))
+
+
 def language_matrix(repos: DataFrame, languages: Sequence[str]) -> DataFrame:
     """Agency x language counts of repositories, one column per listed language."""
     return item_matrix(repos, ["agency"], "repo_url", "languages", languages)

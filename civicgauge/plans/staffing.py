@@ -16,7 +16,7 @@ from civicgauge.operators.project import clean_names, relocate
 from civicgauge.operators.ranking import latest_per_group, top_n_global, with_order_rank
 from civicgauge.operators.reshape import unpivot_long
 from civicgauge.plans import fixed_values as fixed
-from civicgauge.sources.readers import pick_files, read_ragged, with_path_year
+from civicgauge.sources.headers import read_by_header
 
 CUBE_COLUMNS = [
     "loslvl", "agysub", "occ", "loc", "agelvl", "edlvl", "gsegrd", "patco", "ppgrd", "sallvl", "stemocc", "supervis", "toa",
@@ -30,16 +30,23 @@ CLASSES = ["STEM", "Tech", "Not STEM"]
 
 def read_cube(
     spark: SparkSession, root: str, fact_schema: str, occupation_schema: str, agency_schema: str, service_schema: str,
-    prefer: Mapping[int, str] | None = None, folders: str = "/*",
+    prefer: Mapping[int, str] | None = None, folders: str = "/*", years: Iterable[int] | None = None, check_unique: bool = True,
+    columns: Sequence[str] | None = CUBE_COLUMNS,
 ) -> DataFrame:
-    """All year folders below ``root`` as one cube. Each table is one scan over the folders; the year comes from the path."""
-    def scan(schema: str, glob: str) -> DataFrame:
-        return with_path_year(read_ragged(spark, root + folders, schema, glob=glob))
-
-    fact = scan(fact_schema, "*FACTDATA*")
-    fact = pick_files(fact, dict(prefer)) if prefer else fact
-    return assemble_cube(*map(clean_names, (
-        fact, scan(occupation_schema, "DTocc.txt"), scan(agency_schema, "DTagy.txt"), scan(service_schema, "DTloslvl.txt"))))
+    """The year folders below ``root`` as one cube: all of them, or those of ``years`` and nothing else.
+
+    Years are told by the folders' names before anything is read, so files of other years are in no scan; ``prefer`` names the
+    file of a year that has several. Columns go by the files' headers, so years may order them differently. Each fact row
+    meets the dimensions of its own year.
+    """
+    asked = None if years is None else list(years)
+
+    def scan(schema: str, table: str, one_of: Mapping[int, str] | None = None) -> DataFrame:
+        return clean_names(read_by_header(spark, f"{root}{folders}/{table}", schema, "*", unknown="drop", year="year", years=asked, prefer=one_of))
+
+    return assemble_cube(
+        scan(fact_schema, "*FACTDATA*", prefer), scan(occupation_schema, "DTocc.txt"), scan(agency_schema, "DTagy.txt"),
+        scan(service_schema, "DTloslvl.txt"), columns, check_unique)
 
 
 def assemble_cube(

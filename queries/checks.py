@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from civicgauge.operators import incremental, quality
 from civicgauge.operators.combine import union_by_name, union_strict
+from civicgauge.operators.score_store import ScoreStore
 from civicgauge.operators.reshape import flatten_struct
 from civicgauge.plans import hiring
 from civicgauge.session import scratch_path
-from civicgauge.sources import readers, writers
+from civicgauge.sources import headers, readers, writers
+from civicgauge.streaming.consolidated import ConsolidatedStore, consolidate_landed_pulls
 from civicgauge.streaming.first_seen import BATCH, RUN, append_landed_pulls, read_store
 from queries.registry import load, query
 
@@ -135,6 +137,83 @@ def daily_pull(spark: SparkSession, folder: str) -> DataFrame:
     return incremental.append_first_seen(store, pull, "id")
 
 
+HIT = "id bigint, keyword string, day date, pull int, page bigint"
+PULLS_SQL = """
+hits AS (
+  SELECT user_id AS id, event_type AS keyword, CAST(ts AS DATE) AS day, CASE WHEN ts < TIMESTAMP '2024-01-02' THEN 1 WHEN ts < TIMESTAMP '2024-01-09' THEN 2 ELSE 3 END AS pull
+  FROM events
+),
+first AS (SELECT id, min(pull) AS pull FROM hits GROUP BY id),
+taken AS (SELECT hits.* FROM hits JOIN first USING (id, pull))"""
+
+
+def landed_pulls(spark: SparkSession, folder: str) -> ConsolidatedStore:
+    """Three pulls land one after the other, the last one in two batches; the store is compacted in between, and all lands again."""
+    root = scratch_path(spark, "landed-hits")
+    hits = load(spark, folder, "events").select(
+        F.col("user_id").alias("id"), F.col("event_type").alias("keyword"), F.to_date("ts").alias("day"),
+        F.when(F.col("ts") < "2024-01-02", 1).when(F.col("ts") < "2024-01-09", 2).otherwise(3).alias("pull"), F.col("event_id").alias("page"))
+    store = ConsolidatedStore(spark, f"{root}/store", HIT, "id", "keyword", "pull", ["page"], buckets=4)
+
+    def take(rows: DataFrame | None, checkpoint: str = "checkpoint") -> None:
+        if rows is not None:
+            rows.coalesce(1).write.mode("append").parquet(f"{root}/landing")
+        consolidate_landed_pulls(store, f"{root}/landing", HIT, f"{root}/{checkpoint}", "parquet").awaitTermination()
+
+    last = hits.filter("pull = 3")
+    for rows in (hits.filter("pull = 1"), hits.filter("pull = 2"), last.filter("keyword = 'click'"), last.filter("keyword <> 'click'")):
+        take(rows)
+        store.compact(2)
+    take(None, "another-checkpoint")
+    return store
+
+
+@query("WITH" + PULLS_SQL + """,
+terms AS (SELECT id, string_agg(keyword, ', ' ORDER BY keyword) AS all_keywords FROM taken GROUP BY id)
+SELECT DISTINCT id, day, pull, all_keywords FROM taken JOIN terms USING (id)
+""")
+def daily_pull_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The daily job as a stream: each record with all terms that found it in the pull that saw its id first."""
+    return landed_pulls(spark, folder).consolidated()
+
+
+@query("WITH" + PULLS_SQL + " SELECT id, keyword, count(*) AS n FROM taken GROUP BY id, keyword")
+def daily_pull_terms(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as (id, term, count) rows, which do not grow with an id's records."""
+    return landed_pulls(spark, folder).term_counts()
+
+
+@query("""
+WITH hits AS (SELECT user_id AS id, event_type AS keyword, CAST(ts AS DATE) AS day FROM events),
+terms AS (SELECT id, keyword, count(*) AS n FROM hits GROUP BY id, keyword),
+days AS (SELECT id, count(DISTINCT day) AS n_records FROM hits GROUP BY id)
+SELECT id, keyword, n, n_records FROM terms JOIN days USING (id)
+""")
+def hit_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Terms of an id once, with counts, beside its number of records."""
+    hits = load(spark, folder, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("keyword"), F.to_date("ts").alias("day"))
+    terms, records = incremental.hit_counts(hits, ["id"], "keyword")
+    return terms.join(records.groupBy("id").agg(F.count(F.lit(1)).alias("n_records")), "id")
+
+
+def _letters(texts):
+    """A stand-in for an expensive scorer."""
+    return texts.str.replace(r"\s", "", regex=True).str.len().rename("letters").to_frame()
+
+
+@query("""
+WITH seen AS (SELECT DISTINCT text FROM documents WHERE lang = 'en' AND text IS NOT NULL)
+SELECT doc_id, CAST(length(regexp_replace(text, '\\s', '', 'g')) AS BIGINT) AS letters,
+  CASE WHEN text IN (SELECT text FROM seen) THEN 'first' WHEN text IS NOT NULL THEN 'second' END AS scored_by FROM documents
+""")
+def kept_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores kept between runs: the first run scores one pull's texts, the second the unseen texts of the whole table."""
+    docs = load(spark, folder, "documents").select("doc_id", "text", "lang")
+    store = ScoreStore(spark, scratch_path(spark, "scores"), _letters, "letters bigint", buckets=2)
+    store.update(docs.filter(F.col("lang") == "en"), "text", run="first")
+    return store.enrich(docs, "text", run="second").select("doc_id", "letters", "scored_by")
+
+
 # ---- sources and sinks ----
 
 @query("SELECT doc_id, text, lang, CASE WHEN source <> 'src0' THEN source END AS source FROM documents")
@@ -176,6 +255,25 @@ def year_folders(spark: SparkSession, folder: str) -> DataFrame:
     return readers.with_path_year(readers.read_many(spark, path, "o_orderkey bigint", multi_line=False))
 
 
+@query("""
+SELECT o_orderkey, o_orderstatus, o_orderpriority, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS o_totalprice, CAST(year(o_orderdate) AS INTEGER) AS year
+FROM orders
+""")
+def headers_stacked(spark: SparkSession, folder: str) -> DataFrame:
+    """Yearly folders of files in three column orders, one with other names and an index column, one without the price."""
+    path = scratch_path(spark, "headers")
+    orders = load(spark, folder, "orders").withColumn("cube", F.concat(F.lit("Cube March "), F.year("o_orderdate")))
+    shapes = {
+        "F": ["o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice"],
+        "O": [F.monotonically_increasing_id().alias(" "), F.col("o_totalprice").alias("O Totalprice"), F.col("o_orderpriority").alias("Priority"), "o_orderkey", "o_orderstatus"],
+        "P": ["o_orderpriority", "o_orderkey", "o_orderstatus"]}
+    for status, columns in shapes.items():
+        writers.write_partitioned(orders.filter(F.col("o_orderstatus") == status).select(*columns, "cube"), f"{path}/{status}", ["cube"], file_format="csv")
+    return headers.read_by_header(
+        spark, [f"{path}/{status}" for status in shapes], "o_orderkey bigint, o_orderstatus string, o_orderpriority string, o_totalprice double",
+        aliases={"priority": "o_orderpriority"}, required=["o_orderkey", "o_orderstatus"], index_column=True, year="year")
+
+
 @query("SELECT user_id, event_id AS id, event_type AS kind, event_id // 500 AS page FROM events")
 def json_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Landed result pages of 500 records, one page per line, to one row per record with nested fields flattened."""
@@ -203,6 +301,16 @@ def partitioned_write(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("o_orderkey bigint, o_totalprice double, o_orderstatus string").parquet(path)
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN -1 ELSE o_totalprice END AS o_totalprice, o_orderstatus FROM orders")
+def absent_keys_written(spark: SparkSession, folder: str) -> DataFrame:
+    """A table that holds one status is filled up: the others are written, the one it has is left as it is."""
+    path = scratch_path(spark, "absent")
+    orders = load(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    writers.write_absent(orders.filter(F.col("o_orderstatus") == "F").withColumn("o_totalprice", F.lit(-1.0)), path, ["o_orderstatus"])
+    writers.write_partitioned(orders, path, ["o_orderstatus"], mode="absent")
+    return spark.read.schema("o_orderkey bigint, o_totalprice double, o_orderstatus string").parquet(path)
+
+
 @query("SELECT c_custkey, c_name, 2 AS version FROM customer")
 def snapshot_swap(spark: SparkSession, folder: str) -> DataFrame:
     """A snapshot rewritten from its own last version."""

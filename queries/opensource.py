@@ -131,4 +131,5 @@ FROM t JOIN o ON o.languages = t.languages JOIN spend ON replace(sub_agency, 'NA
 """)
 def language_top5(spark: SparkSession, folder: str) -> DataFrame:
     flags = data.spend(spark, folder).select("sub_agency", "benchmark")
-    return jobs.language_top(jobs.language_counts(kept(spark, folder)), names(spark, folder), 5, NOT_LANGUAGES, flags)
+    counts = jobs.language_counts_of(kept(spark, folder), data.repo_records(spark, folder)["languages"])
+    return jobs.language_top(counts, names(spark, folder), 5, NOT_LANGUAGES, flags)

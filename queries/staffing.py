@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from civicgauge.functions import pad_code
 from civicgauge.operators.ranking import order_rank
 from civicgauge.plans import staffing as jobs
+from civicgauge.session import scratch_path
 from civicgauge.sources.readers import literal_table
+from civicgauge.sources.writers import write_table_csv
 from queries import stand_ins as data
 from queries.registry import load, query
 
@@ -60,6 +62,38 @@ def assemble_cube(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.assemble_cube(fact, occupations, agencies, service, columns, per_year=False)
 
 
+FACT = "AGYSUB string, LOSLVL string, OCC string, EMPLOYMENT string"
+CUBE_YEARS = [1996, 1998]
+
+
+@query("""
+SELECT lpad(CAST(l_partkey % 50 AS VARCHAR), 4, '0') AS occ, CAST(l_suppkey AS VARCHAR) AS agysub, l_returnflag AS loslvl, CAST(year(l_shipdate) AS INTEGER) AS year,
+  CAST(l_quantity AS DOUBLE) AS employment, 'O' || (l_partkey % 50) || ' of ' || year(l_shipdate) AS occt, s_name AS agysubt,
+  CASE WHEN l_returnflag <> 'R' THEN 'level ' || l_returnflag END AS loslvlt
+FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey WHERE year(l_shipdate) IN (1996, 1998)
+""")
+def read_cube_years(spark: SparkSession, folder: str) -> DataFrame:
+    """Two years of a tree of yearly cubes, one of which holds a second file, with columns in two orders and dimensions of each year."""
+    root = scratch_path(spark, "cubes")
+    lines = load(spark, folder, "lineitem").withColumns({"year": F.year("l_shipdate"), "occ": F.col("l_partkey") % 50})
+    fact = lines.select(F.col("l_suppkey").alias("AGYSUB"), F.col("l_returnflag").alias("LOSLVL"), pad_code("occ", 4).alias("OCC"), F.col("l_quantity").cast("int").alias("EMPLOYMENT"), "year")
+
+    def put(rows: DataFrame, year: int, table: str) -> None:
+        write_table_csv(rows, f"{root}/Cube March {year}/{table}")
+
+    for year in (1996, 1997, 1998):
+        rows = fact.filter(F.col("year") == year).drop("year")
+        put(rows if year < 1998 else rows.select("OCC", "EMPLOYMENT", "AGYSUB", "LOSLVL"), year, f"FACTDATA_MAR{year}.TXT")
+        put(lines.select(F.col("occ").cast("string").alias("OCC"), F.concat(F.lit("O"), "occ", F.lit(f" of {year}")).alias("OCCT")).distinct(), year, "DTocc.txt")
+        put(load(spark, folder, "supplier").select(F.col("s_suppkey").alias("AGYSUB"), F.col("s_name").alias("AGYSUBT")), year, "DTagy.txt")
+        put(lines.filter("l_returnflag <> 'R'").select(F.col("l_returnflag").alias("LOSLVL"), F.concat(F.lit("level "), "l_returnflag").alias("LOSLVLT")).distinct(), year, "DTloslvl.txt")
+    put(fact.filter("year = 1997").drop("year"), 1998, "FACTDATA_SEP1998.TXT")
+    cube = jobs.read_cube(
+        spark, root, FACT, "OCC string, OCCT string", "AGYSUB string, AGYSUBT string", "LOSLVL string, LOSLVLT string", {1998: "FACTDATA_MAR1998.TXT"},
+        years=CUBE_YEARS, columns=["occ", "agysub", "loslvl", "year", "employment", "occt", "agysubt", "loslvlt"])
+    return jobs.with_measures(cube)
+
+
 @query("""
 WITH s AS (SELECT s_name, n_name, n_nationkey, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey
   JOIN region ON n_regionkey = r_regionkey)

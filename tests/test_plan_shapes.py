@@ -27,6 +27,12 @@ def test_fact_table_is_read_once(spark, name):
     assert len(re.findall(r"FileScan parquet[^\n]*lineitem", plan(queries()[name](spark, FOLDER)))) <= 1
 
 
+@needs_data
+@pytest.mark.parametrize("name", ["tech_pct_latest", "entity_display_order", "language_top5"])
+def test_ranks_are_not_numbered_in_one_task(spark, name):
+    assert "SinglePartition" not in plan(queries()[name](spark, FOLDER))
+
+
 @needs_data
 @pytest.mark.parametrize("name", ["tech_ratio", "share_by_quarter", "repo_activity", "language_top5", "append_first_seen", "indicator_summary"])
 def test_no_cross_join(spark, name):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicgauge.functions.numbers import ratio, share
+from civicgauge.operators.ordered import number_rows
 
 
 def count_by(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
@@ -80,6 +81,17 @@ def texts_by(rows: DataFrame, keys: Sequence[str], names: Sequence[str], separat
     return rows.distinct().groupBy(*keys).agg(*[text(i).alias(name) for i, name in enumerate(names)])
 
 
+def texts_in_parts(df: DataFrame, keys: Sequence[str], column: str, name: str, most: int = 1000, separator: str = ", ") -> DataFrame:
+    """Distinct values of each group in sorted order, as texts of at most ``most`` values: (keys, part, name).
+
+    Parts are numbered from 1. Values are numbered over ranges of (keys, value) and meet in a task one part at a time, so a
+    group may have any number of them. Nulls are no values, and a group of nulls has no part.
+    """
+    values = df.select(*keys, F.col(column).cast("string").alias("__v")).filter(F.col("__v").isNotNull()).distinct()
+    placed = number_rows(values, keys, ["__v"], "__n").withColumn("part", F.ceil(F.col("__n") / most).cast("int"))
+    return placed.groupBy(*keys, "part").agg(F.array_join(F.sort_array(F.collect_list("__v")), separator).alias(name))
+
+
 def concat_all_by(df: DataFrame, keys: Sequence[str], column: str, name: str, separator: str = ", ", count: str | None = None) -> DataFrame:
     """Every value of a group, repeats included, in sorted order; a group of nulls gives null. ``count`` names its rows.
 

@@ -102,11 +102,7 @@ def consolidate_children_by(
     df: DataFrame, keys: Sequence[str], lists: Mapping[str, tuple[str, str | None]], separator: str = ", ",
 ) -> DataFrame:
     """As above, but over all rows that share the keys: one row per key with the texts."""
-    def tagged(at: int, array: str, field: str | None) -> Column:
-        values = F.coalesce(_strings(array, field), F.array().cast("array<string>"))
-        return F.transform(values, lambda v: F.struct(F.lit(at).alias("at"), v.alias("v")))
-
-    children = F.flatten(F.array(*[tagged(i, array, field) for i, (array, field) in enumerate(lists.values())]))
+    children = F.flatten(F.array(*[_tagged(i, array, field) for i, (array, field) in enumerate(lists.values())]))
     rows = df.select(*keys, F.explode_outer(children).alias("__t")).select(
         *keys, F.col("__t.at").alias("__at"), F.col("__t.v").alias("__v"))
     return texts_by(rows, keys, list(lists), separator)
@@ -114,20 +110,46 @@ def consolidate_children_by(
 
 def consolidate_children_across(
     df: DataFrame, keys: Sequence[str], lists: Mapping[str, tuple[str, str | None]], separator: str = ", ",
+    more_keys: Sequence[str] = (), more_lists: Mapping[str, tuple[str, str | None]] | None = None,
 ) -> DataFrame:
     """Every row with the texts of all rows that share its keys; the arrays stay.
 
+    ``more_lists`` are texts over the rows that share ``more_keys`` as well. Both come from one aggregate: rows that repeat in
+    the finer keys repeat in the coarser ones, so one count tells which rows share anything.
+
     Most rows have keys of their own and get their texts within the row. Keys that repeat are worked out from the key and
     array columns alone and written to the shared folder: their size is then known, and Spark broadcasts them if they are
     few, so that wide rows (long duty texts) need no shuffle, and joins by shuffle if they are many.
     """
-    narrow = df.select(*keys, *dict.fromkeys(array for array, _ in lists.values()))
+    more = dict(more_lists or {})
+    every = {**lists, **more}
+    narrow = df.select(*keys, *more_keys, *dict.fromkeys(array for array, _ in every.values()))
     repeated = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1)
-    shared = durable(consolidate_children_by(keep_matching(narrow, repeated, keys), keys, lists, separator), "shared-children")
-    shared = shared.select(*keys, F.struct(*lists).alias("__shared"))
-    rows = join_null_safe(consolidate_children(df, lists, drop=False, separator=separator), shared, keys, "left")
-    own = {name: F.when(F.col("__shared").isNull(), F.col(name)).otherwise(F.col("__shared")[name]) for name in lists}
-    return rows.withColumns(own).drop("__shared")
+    sharing = keep_matching(narrow, repeated, keys)
+    if more:
+        # Children of the finer lists carry the finer keys, those of the others none of them.
+        values = [_tagged(i, array, field).alias(f"__c{i}") for i, (array, field) in enumerate(every.values())]
+        no_key = F.lit(None).cast(T.StructType([df.schema[k] for k in more_keys]))
+        sides = [F.struct((F.struct(*more_keys) if fine else no_key).alias("own"), F.lit(fine).alias("fine"), F.flatten(F.array(*[
+            F.col(f"__c{i}") for i, name in enumerate(every) if (name in more) == fine])).alias("children")) for fine in (False, True)]
+        rows = sharing.select(*keys, *more_keys, *values).select(*keys, F.explode(F.array(*sides)).alias("__s")).select(
+            *keys, F.col("__s.own").alias("__own"), F.col("__s.fine").alias("__fine"), F.explode_outer("__s.children").alias("__t")).select(
+            *keys, "__own", "__fine", F.col("__t.at").alias("__at"), F.col("__t.v").alias("__v"))
+        texts = durable(texts_by(rows, [*keys, "__own", "__fine"], list(every), separator), "shared-children")
+        fine = texts.filter("__fine").select(*keys, *[F.col("__own")[k].alias(k) for k in more_keys], F.struct(*more).alias("__shared_more"))
+        shared = texts.filter("NOT __fine").select(*keys, F.struct(*lists).alias("__shared"))
+    else:
+        shared = durable(consolidate_children_by(sharing, keys, lists, separator), "shared-children").select(*keys, F.struct(*lists).alias("__shared"))
+    rows = join_null_safe(consolidate_children(df, every, drop=False, separator=separator), shared, keys, "left")
+    rows = join_null_safe(rows, fine, [*keys, *more_keys], "left") if more else rows
+    own = {name: F.when(F.col(held).isNull(), F.col(name)).otherwise(F.col(held)[name])
+           for held, names in (("__shared", lists), ("__shared_more", more)) for name in names}
+    return rows.withColumns(own).drop("__shared", "__shared_more")
+
+
+def _tagged(at: int, array: str, field: str | None) -> Column:
+    values = F.coalesce(_strings(array, field), F.array().cast("array<string>"))
+    return F.transform(values, lambda v: F.struct(F.lit(at).alias("at"), v.alias("v")))
 
 
 def _strings(array: str, field: str | None) -> Column:

@@ -57,8 +57,7 @@ def postings_tidy(
     if unique_ids:
         merged = consolidate_children(dated, {**series, **paths}, drop=False)
     else:
-        merged = consolidate_children_across(dated, keys, series)
-        merged = consolidate_children_across(merged, [*keys, "date_posted", "date_closes"], paths)
+        merged = consolidate_children_across(dated, keys, series, more_keys=["date_posted", "date_closes"], more_lists=paths)
     merged = merged.filter(F.col("all_series_code").isNotNull() & F.col("hiring_paths").isNotNull())
     flagged = merged.withColumns({
         **hit_flags("all_keywords", keywords), "subagency": expand_abbreviations("subagency", {"U.s.": "U.S."}),
@@ -202,7 +201,9 @@ def top_series(
     counted = count_by(
         explode_delimited(summary.select(*keys, "all_series_code"), "all_series_code", into="value"), [*keys, "value"], "totals")
     top = top_n_per_group(counted, keys, "totals", ["value"], n)
-    names = summary.filter(F.length("all_series_code") == 4).select("all_series_code", "all_series").distinct()
+    # One name for each code: the most usual one, of equally usual ones the first.
+    single = count_by(summary.filter((F.length("all_series_code") == 4) & F.col("all_series").isNotNull()), ["all_series_code", "all_series"], "__n")
+    names = single.groupBy("all_series_code").agg(F.min_by("all_series", F.struct(-F.col("__n"), F.col("all_series"))).alias("all_series"))
     named = join_on(top.drop("all_series_code"), names, {"value": "all_series_code"}, "left")
     named = named.withColumn("all_series", recode(F.coalesce(F.col("all_series"), F.lit(unnamed)), short_names))
     is_it = F.col("all_series") == it_name

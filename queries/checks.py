@@ -64,6 +64,27 @@ def vocabulary_report(spark: SparkSession, folder: str) -> DataFrame:
     return quality.vocabulary_report(rows, "quality")
 
 
+@query("""
+WITH r AS (
+  SELECT o_orderkey, l_linenumber, l_returnflag, l_shipdate, l_suppkey, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS days
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+f AS (
+  SELECT count(*) AS n_rows, count(*) FILTER (days < 2) AS too_short, count(*) FILTER (l_suppkey IS NULL) AS null_l_suppkey,
+    min(days) AS min_days, max(days) AS max_days, count(*) FILTER (l_returnflag = 'A') AS l_returnflag_A, count(*) FILTER (l_returnflag = 'N') AS l_returnflag_N,
+    count(*) FILTER (l_returnflag NOT IN ('A', 'N') OR l_returnflag IS NULL) AS l_returnflag_other, count(*) FILTER (l_linenumber = 1) AS first_lines FROM r)
+SELECT metric, CAST(value AS VARCHAR) AS value FROM (UNPIVOT (SELECT * FROM f) ON COLUMNS(*) INTO NAME metric VALUE value)
+""")
+def checks_on_the_way(spark: SparkSession, folder: str) -> DataFrame:
+    """Violations, nulls, coverage and vocabulary of a join, counted while it is written."""
+    rows = load(spark, folder, "orders").join(load(spark, folder, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "o_orderkey", "l_linenumber", "l_returnflag", "l_suppkey", F.datediff("l_shipdate", "o_orderdate").alias("days"))
+    checks = quality.Checks(
+        ranges={"too_short": ("days", 2, None)}, filled=["l_suppkey"], periods=["days"], vocabulary={"l_returnflag": ["A", "N"]},
+        flags={"first_lines": F.col("l_linenumber") == 1})
+    written, figures = quality.written_with_checks(rows, checks)
+    return quality.report_of(written, figures)
+
+
 # ---- daily pulls ----
 
 PULL = "l_orderkey bigint, l_linenumber int, l_suppkey bigint, l_quantity double, l_shipdate timestamp_ntz"

@@ -212,6 +212,16 @@ def concat_distinct(spark: SparkSession, folder: str) -> DataFrame:
         load(spark, folder, "orders"), ["o_custkey"], {"priorities": "o_orderpriority", "states": "o_orderstatus"})
 
 
+@query("""
+WITH named AS (SELECT DISTINCT o_orderpriority, CAST(o_custkey AS VARCHAR) AS v FROM orders),
+placed AS (SELECT *, CAST((row_number() OVER (PARTITION BY o_orderpriority ORDER BY v) - 1) // 100 + 1 AS INTEGER) AS part FROM named)
+SELECT o_orderpriority, part, string_agg(v, ', ' ORDER BY v) AS customers FROM placed GROUP BY o_orderpriority, part
+""")
+def concat_in_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Five groups of very many values, in texts of a hundred."""
+    return aggregate.texts_in_parts(load(spark, folder, "orders"), ["o_orderpriority"], "o_custkey", "customers", most=100)
+
+
 @query("""
 SELECT c_mktsegment, o_orderpriority, CAST(count(*) AS BIGINT) AS n, count(*) / CAST(sum(count(*)) OVER (PARTITION BY c_mktsegment) AS DOUBLE) AS share
 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment, o_orderpriority

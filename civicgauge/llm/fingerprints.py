@@ -10,12 +10,12 @@ at the largest width both have: the share of equal slots among those filled in e
 distinct spans that they have in common (about a third for a text whose second half is replaced). Moved or repeated
 passages count as much as ones in place.
 
-``with_following`` hands each document the next one in descending order of ids. Documents are dealt to ranges of that order
-with their texts, once; a task reads its range in order and holds two texts at a time. What lies on both sides of a border
-between ranges, two texts a border, is written and joined afterwards. Equal ids may fill many ranges.
+``with_following`` hands each document the next one in descending order of ids. Ids are dealt to ranges first, which gives
+the bounds; then documents are dealt to these ranges with their texts, once, the first one of each range also to the range
+before. A task reads its ranges in order and holds two texts at a time. Equal ids may fill many ranges.
 
 Defined results: a null text is empty; an empty text has an empty list of slots, is like another empty text (1) and unlike any
-other (0); a text of one character is its own edited text. Of rows with equal ids the one with the smaller text hash comes
+other (0); a text of one character is its own edited text. Of rows with equal ids the one with the larger text hash comes
 first; rows without an id come last. A single row follows itself. Repeated rows are one row each; an empty table gives an
 empty table; only id and text are read, so other columns do not clash.
 """
@@ -27,13 +27,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civicgauge.llm.tasks import map_rows, pieces, text_or_empty, workers_find_package
-from civicgauge.operators.ordered import PART, ROW
 from civicgauge.session import durable
-from civicgauge.sources.readers import literal_table
 
 #: Two primes whose products fit 64 bits, and a base for each.
 PRIMES = (2_147_483_647, 2_147_483_629)
@@ -159,7 +157,6 @@ class Reading:
 
 
 FOUND = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_start long"
-INNER, HEAD, TAIL = 0, 1, 2
 
 
 def fingerprints(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
@@ -178,47 +175,68 @@ def with_following(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    kind = dict(docs.dtypes)[id_column]
-    schema = f"`{id_column}` {kind}, {FOUND}, {PART} int, edge int, text string"
+    schema = f"`{id_column}` {dict(docs.dtypes)[id_column]}, {FOUND}"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     workers_find_package(docs.sparkSession)
-    place = [F.col("id").desc_nulls_last(), "mark", ROW]
     rows = docs.select(F.col(id_column).alias("id"), text_or_empty(text).alias("text")).select(
-        "id", "text", F.xxhash64("text").alias("mark"), F.monotonically_increasing_id().alias(ROW))
-    ranged = rows.repartitionByRange(*place).sortWithinPartitions(*place).select("id", "text", F.spark_partition_id().alias(PART))
+        F.struct(F.col("id"), F.xxhash64("text").alias("mark"), F.monotonically_increasing_id().alias("row")).alias("place"), "text")
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = first_places(rows, parts)
+    part = _part_of(F.col("place"), F.col("bounds"))
+    placed = rows.withColumn("bounds", bounds).withColumn("part", part).withColumn(
+        "first", F.col("place") == _get(F.col("bounds"), F.col("part"))).withColumn("parts", _count(F.col("bounds")))
+    # The first row of a part goes to the part before as well, as the one that follows its last row.
+    here = F.struct(F.col("part").alias("part"), F.lit(False).alias("guest"))
+    before = F.struct(F.pmod(F.col("part") - 1, F.col("parts")).alias("part"), F.lit(True).alias("guest"))
+    dealt = placed.select("place", "text", F.explode(F.when(F.col("first"), F.array(here, before)).otherwise(F.array(here))).alias("to"))
+    ordered = dealt.select(F.col("to.part").alias("part"), F.col("to.guest").alias("guest"), "place", "text").repartition(parts, "part").sortWithinPartitions(
+        "part", "guest", F.col("place").desc())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None
         for batch in batches:
             for piece in pieces(batch):
                 found = []
-                for key, value, part in zip(*(piece.column(i).to_pylist() for i in range(3))):
+                for part, guest, key, value in zip(*(piece.column(i).to_pylist() for i in range(4))):
                     now = Reading(value)
-                    if last is None:
-                        found.append((key, *[None] * 7, part, HEAD, value))
-                    else:
-                        found.append((last[0], *last[1].beside(now), part, INNER, None))
-                    last = key, now, part
-                yield _batch(found, arrow)
+                    if last and last[0] != part:
+                        raise RuntimeError("a range of documents has no end")
+                    if last:
+                        found.append((last[1], *last[2].beside(now)))
+                    last = None if guest else (part, key, now)
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], field.type) for i, field in enumerate(arrow)], schema=arrow)
         if last:
-            yield _batch([(last[0], *[None] * 7, last[2], TAIL, last[1].text)], arrow)
+            raise RuntimeError("a range of documents has no end")
 
-    found = durable(ranged.mapInArrow(run, schema), "fingerprints")
-    # One head and one tail for each range with rows; the last tail is followed by the first head.
-    parts = [r[PART] for r in found.filter(F.col("edge") == HEAD).select(PART).orderBy(PART).collect()]
-    follows = literal_table(docs.sparkSession, list(zip(parts, [*parts[1:], *parts[:1]])), f"{PART} int, __next int")
-    heads = found.filter(F.col("edge") == HEAD).select(F.col(PART).alias("__next"), F.col("text").alias("following"))
-    tails = found.filter(F.col("edge") == TAIL).select(id_column, "text", PART).join(F.broadcast(follows), PART)
+    return ordered.select("part", "guest", F.col("place.id").alias("id"), "text").mapInArrow(run, schema)
 
-    def make():
-        def finish(keys, texts, following):
-            return [keys, *map(list, zip(*(Reading(a).beside(Reading(b)) for a, b in zip(texts, following))))]
 
-        return finish
+# ---- ranges that all know: the first places of each, in blocks of about as many as there are blocks ----
+
+def first_places(rows: DataFrame, parts: int) -> Column:
+    """The places, from the largest on, at which ranges of about equal size begin: a constant for every row.
+
+    Spark deals the places alone to ranges; the first of each is a bound. Two levels of lists make the search short.
+    """
+    placed = durable(rows.select("place").repartitionByRange(parts, F.col("place").desc()).withColumn("part", F.spark_partition_id()), "places")
+    firsts = placed.groupBy("part").agg(F.max("place").alias("place"))
+    blocks = firsts.agg(F.array_sort(F.collect_list("place")).alias("up")).select(F.reverse("up").alias("all"))
+    size = F.ceil(F.sqrt(F.size("all"))).cast("int")
+    starts = F.when(F.size("all") > 0, F.sequence(F.lit(1), F.size("all"), size)).otherwise(F.array().cast("array<int>"))
+    return blocks.select(F.transform(starts, lambda at: F.slice("all", at, size)).alias("bounds")).scalar()
+
+
+def _part_of(place: Column, bounds: Column) -> Column:
+    """Number of the range of a place: the last one that begins at the place or before it."""
+    block = F.size(F.filter(bounds, lambda b: b[0] >= place)) - 1
+    size = F.size(bounds[0])
+    return block * size + F.size(F.filter(bounds[block], lambda first: first >= place)) - 1
+
 
-    borders = map_rows(tails.join(heads, "__next"), [id_column, "text", "following"], f"`{id_column}` {kind}, {FOUND}", make)
-    return found.filter(F.col("edge") == INNER).drop(PART, "edge", "text").unionByName(borders)
+def _get(bounds: Column, part: Column) -> Column:
+    size = F.size(bounds[0])
+    return bounds[F.floor(part / size).cast("int")][part % size]
 
 
-def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], field.type) for i, field in enumerate(arrow)], schema=arrow)
+def _count(bounds: Column) -> Column:
+    return (F.size(bounds) - 1) * F.size(bounds[0]) + F.size(F.element_at(bounds, -1))

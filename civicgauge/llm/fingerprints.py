@@ -1,7 +1,7 @@
 """Operator 11: document fingerprints by prefix polynomial hashes.
 
-``Prefixes`` holds, for each place of a text, the hash of all before it: the code points as coefficients of a polynomial,
-modulo each of two primes. The hash of any span is then a difference of two entries, brought to a common power, so two
+``Prefixes`` holds, for each place of a text, the hash of all before it: the code points as coefficients of a polynomial at
+each of two bases, modulo a prime. The hash of any span is then a difference of two entries, brought to a common power, so two
 spans are compared in constant time, and the longest common extension of two places is found by binary search.
 
 A fingerprint has the hash of the whole text, and for each of a few widths (2 to 32 characters, as far as the text has
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from civicgauge.llm.tasks import map_rows, pieces, text_or_empty, workers_find_package
 from civicgauge.session import durable
 
-#: Two primes whose products fit 64 bits, and a base for each.
-PRIMES = (2_147_483_647, 2_147_483_629)
+#: A prime whose products fit 64 bits, and two bases: a hash is one of each, 62 bits.
+PRIME = (1 << 31) - 1
 BASES = (911_382_323, 972_663_749)
 WIDTHS = (2, 4, 8, 16, 32)
 SPANS_PER_WIDTH = 8
@@ -42,47 +42,50 @@ SLOTS = 64
 EMPTY = "---"
 
 
-_POWERS: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(PRIMES)
+_P = np.uint64(PRIME)
+_POWERS = [np.ones((len(BASES), 1), dtype=np.uint64)] * 2
+_HEX = [f"{m:03x}" for m in range(1 << 12)]
 
 
-def _powers(lane: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """At least ``size`` powers of the base and of its inverse, from the zeroth on; made once and doubled when too few."""
-    if (held := _POWERS[lane]) is None or len(held[0]) < size:
-        size, found = 1 << max(12, size.bit_length()), []
-        for base in (BASES[lane], pow(BASES[lane], -1, PRIMES[lane])):
-            powers, known = np.ones(size, dtype=np.uint64), 1
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``size`` powers of the bases and of their inverses, from the zeroth on; made once and doubled when too few."""
+    if _POWERS[0].shape[1] < size:
+        size = 1 << max(12, size.bit_length())
+        for k, bases in enumerate((BASES, [pow(b, -1, PRIME) for b in BASES])):
+            powers, known = np.ones((len(BASES), size), dtype=np.uint64), 1
             while known < size:
-                powers[known:2 * known] = powers[:known] * np.uint64(pow(base, known, PRIMES[lane])) % np.uint64(PRIMES[lane])
+                step = np.array([[pow(b, known, PRIME)] for b in bases], dtype=np.uint64)
+                powers[:, known:2 * known] = powers[:, :known] * step % _P
                 known *= 2
-            found.append(powers)
-        _POWERS[lane] = tuple(found)
-    return _POWERS[lane]
+            _POWERS[k] = powers
+    return _POWERS[0], _POWERS[1]
 
 
 class Prefixes:
     """Hashes of all prefixes of a text. Spans are (start, end), ends exclusive."""
 
     def __init__(self, text: str) -> None:
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
-        self.size = len(codes)
-        self.powers = [_powers(lane, self.size + 1) for lane in range(len(PRIMES))]
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.size = n = len(codes)
+        up, self.down = _powers(n + 1)
         # Terms are below 2**31, so a sum of 2**33 of them fits.
-        self.sums = [
-            np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(codes * up[:self.size] % np.uint64(p)) % np.uint64(p)])
-            for (up, _), p in zip(self.powers, PRIMES)]
+        self.sums = np.zeros((len(BASES), n + 1), dtype=np.uint64)
+        np.cumsum((codes + np.uint64(1)) * up[:, :n] % _P, axis=1, out=self.sums[:, 1:])
+        self.sums %= _P
 
     def spans(self, width: int) -> np.ndarray:
         """Hash of every span of that width, in order: 62 bits."""
-        if width > self.size:
+        n = self.size - width + 1
+        if n < 1:
             return np.empty(0, dtype=np.uint64)
-        low, high = (
-            (s[width:] + np.uint64(p) - s[:len(s) - width]) % np.uint64(p) * down[:len(s) - width] % np.uint64(p)
-            for s, (_, down), p in zip(self.sums, self.powers, PRIMES))
-        return high << np.uint64(31) | low
+        differences = self.sums[:, width:] + _P
+        differences -= self.sums[:, :n]
+        differences *= self.down[:, :n]  # below 2**32 times below 2**31
+        differences %= _P
+        return differences[1] << np.uint64(31) | differences[0]
 
     def span(self, start: int, end: int) -> int:
-        low, high = (
-            (int(s[end]) - int(s[start])) * int(down[start]) % p for s, (_, down), p in zip(self.sums, self.powers, PRIMES))
+        low, high = ((int(s[end]) - int(s[start])) * int(d[start]) % PRIME for s, d in zip(self.sums, self.down))
         return high << 31 | low
 
     def extension(self, start: int, other: Prefixes, at: int) -> int:
@@ -103,37 +106,48 @@ def _largest(most: int, holds) -> int:
     return low
 
 
-def fingerprint(prefixes: Prefixes) -> str:
-    """``hash.slots.slots...``: the whole text's hash and length, then the slots of each width, smallest width first."""
-    parts = [f"{prefixes.span(0, prefixes.size):016x}{prefixes.size:x}"]
+def slots_of(prefixes: Prefixes) -> list[list[str]]:
+    """The slots of each width, smallest width first."""
+    found = []
     for k, width in enumerate(WIDTHS if prefixes.size else ()):
         if k and prefixes.size < SPANS_PER_WIDTH * width:
             break
-        hashes = prefixes.spans(min(width, prefixes.size))
-        mixed = (hashes ^ hashes >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
-        slot, value = (mixed >> np.uint64(58)).astype(np.int64), mixed << np.uint64(6)
+        mixed = prefixes.spans(min(width, prefixes.size))
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        slot = (mixed >> np.uint64(58)).view(np.int64)
+        mixed <<= np.uint64(6)  # ends in zeros, so no value is as large as an empty slot's
         least = np.full(SLOTS, np.iinfo(np.uint64).max, dtype=np.uint64)
-        np.minimum.at(least, slot, value)
-        filled = np.zeros(SLOTS, dtype=bool)
-        filled[slot] = True
+        np.minimum.at(least, slot, mixed)
+        filled = least != np.iinfo(np.uint64).max
         # Twelve middle bits tell the smallest ones apart; their first bits are zeros in long texts.
         marks = (least >> np.uint64(20) & np.uint64(0xFFF)).tolist()
-        parts.append("".join(f"{m:03x}" if f else EMPTY for m, f in zip(marks, filled.tolist())))
-    return ".".join(parts)
+        found.append([_HEX[m] for m in marks] if filled.all() else [_HEX[m] if f else EMPTY for m, f in zip(marks, filled.tolist())])
+    return found
+
+
+def _name(prefixes: Prefixes, slots: list[list[str]]) -> str:
+    return ".".join([f"{prefixes.span(0, prefixes.size):016x}{prefixes.size:x}", *map("".join, slots)])
+
+
+def fingerprint(prefixes: Prefixes) -> str:
+    """``hash.slots.slots...``: the whole text's hash and length, then the slots of each width, smallest width first."""
+    return _name(prefixes, slots_of(prefixes))
 
 
 def likeness(a: str, b: str) -> float:
     """Likeness of two fingerprints, 0 to 1: 1 for equal ones."""
-    if a == b:
-        return 1.0
-    a_slots, b_slots = a.split(".")[1:], b.split(".")[1:]
-    level = min(len(a_slots), len(b_slots)) - 1
+    return 1.0 if a == b else _likeness(*([[p[i:i + 3] for i in range(0, 3 * SLOTS, 3)] for p in mark.split(".")[1:]] for mark in (a, b)))
+
+
+def _likeness(a: list[list[str]], b: list[list[str]]) -> float:
+    level = min(len(a), len(b)) - 1
     if level < 0:
         return 0.0
-    one, two = a_slots[level], b_slots[level]
-    pairs = [(one[i:i + 3], two[i:i + 3]) for i in range(0, 3 * SLOTS, 3)]
-    either = sum(x != EMPTY or y != EMPTY for x, y in pairs)
-    return sum(x == y != EMPTY for x, y in pairs) / either
+    one, two = a[level], b[level]
+    equal = sum(map(str.__eq__, one, two))
+    both_empty = sum(x == y == EMPTY for x, y in zip(one, two)) if EMPTY in one and EMPTY in two else 0
+    return (equal - both_empty) / (SLOTS - both_empty)
 
 
 class Reading:
@@ -141,7 +155,11 @@ class Reading:
 
     def __init__(self, text: str) -> None:
         self.text, self.prefixes = text, Prefixes(text)
-        self.mark = fingerprint(self.prefixes)
+        self.slots = slots_of(self.prefixes)
+        self.mark = _name(self.prefixes, self.slots)
+
+    def near(self, other: Reading) -> float:
+        return 1.0 if self.mark == other.mark else _likeness(self.slots, other.slots)
 
     def edited(self, following: str) -> str:
         """The last half of the characters (rounded down) replaced by the first as many of the following text."""
@@ -152,8 +170,7 @@ class Reading:
         """The columns of ``FOUND`` but the id."""
         edited = Reading(self.edited(following.text))
         start = self.prefixes.extension(0, edited.prefixes, 0)
-        return (len(self.text), hashlib.sha256(edited.text.encode()).hexdigest(), self.mark, edited.mark, likeness(self.mark, edited.mark),
-                likeness(self.mark, following.mark), start)
+        return (len(self.text), hashlib.sha256(edited.text.encode()).hexdigest(), self.mark, edited.mark, self.near(edited), self.near(following), start)
 
 
 FOUND = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_start long"

@@ -200,6 +200,40 @@ def test_children(spark, rows):
     assert reshape.unnest(df, "c", keep_empty=True).count() == 6
 
 
+def test_children_by_nested_keys_equal_two_rounds(spark, rows):
+    schema = "id int, name string, day int, c array<struct<f: string>>, a array<string>, wide string"
+    rng = random.Random(8)
+    data = [(rng.choice([1, 2, None]) if i % 2 else 10 + i, rng.choice(["x", None]) if i % 2 else "y", rng.choice([1, 2, None]),
+             rng.choice([None, [], [("p",), ("q",)], [("r",), (None,)]]), rng.choice([None, [], ["u"], ["v", "u"]]), f"w{i}") for i in range(40)]
+    df = spark.createDataFrame(data, schema)
+    lists, more = {"fs": ("c", "f")}, {"as": ("a", None)}
+    once = reshape.consolidate_children_across(df, ["id", "name"], lists, more_keys=["day"], more_lists=more)
+    twice = reshape.consolidate_children_across(reshape.consolidate_children_across(df, ["id", "name"], lists), ["id", "name", "day"], more)
+    assert sorted(once.columns) == sorted(twice.columns)
+    names = ["wide", "id", "name", "day", "fs", "as"]
+    assert rows(once, *names) == rows(twice, *names) and once.count() == 40
+
+
+def test_texts_of_a_large_group_come_in_parts(spark, rows):
+    df = spark.range(2500).select(F.when(F.col("id") % 5 > 0, "hot").otherwise(F.lit(None)).alias("k"), F.lpad((F.col("id") % 1000).cast("string"), 4, "0").alias("v"))
+    found = rows(aggregate.texts_in_parts(df.union(spark.createDataFrame([("none", None)], "k string, v string")), ["k"], "v", "t", most=300))
+    assert [(k, part, t.count(",") + 1) for k, part, t in found] == [(None, 1, 200), ("hot", 1, 300), ("hot", 2, 300), ("hot", 3, 200)]
+    assert found[1][2].startswith("0001, 0002, 0003, 0004, 0006") and found[2][2].split(", ")[0] > found[1][2].split(", ")[-1]
+
+
+def test_checks_run_with_the_job(spark, rows):
+    df = spark.createDataFrame([(1, "a", None), (5, "b", 1.0), (9, None, 2.0), (None, "a", 3.0)], "n int, k string, v double")
+    checks = quality.Checks(
+        ranges={"outside": ("n", 2, 8)}, filled=["v", "k"], periods=["n"], vocabulary={"k": ["a"]}, flags={"large": F.col("v") > 1}, distinct={"keys": ["k"]})
+    written, figures = quality.written_with_checks(df.filter("n IS NULL OR n > 0"), checks)
+    assert figures == {"n_rows": 4, "outside": 2, "null_v": 1, "null_k": 1, "min_n": 1, "max_n": 9, "k_a": 2, "k_other": 2, "large": 2, "keys": 3}
+    assert written.count() == 4 and quality.range_violations(df, "n", 2, 8).count() == figures["outside"]
+    observed, _ = quality.observed(spark.read.schema("n int, k string, v double").parquet(written.inputFiles()[0].rsplit("/", 1)[0]), checks)
+    text = observed._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 1 and "Exchange" not in text
+    assert rows(quality.report_of(df, {"a": 1, "b": None})) == [("a", "1"), ("b", None)]
+
+
 def test_flatten_and_twins(spark, rows):
     df = spark.createDataFrame([(1, (2, (3,)), [4])], "a int, s struct<b: int, t: struct<c: int>>, l array<int>")
     flat = reshape.flatten_struct(df)

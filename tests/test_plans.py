@@ -196,6 +196,12 @@ def test_postings(postings, rows):
     assert rows(hiring.mission_critical_share(tidy), "subagency", "percent_mco")[0] == ("Forest Service", 100.0)
 
 
+def test_a_series_code_has_one_name(spark, rows):
+    data = [("A", "f", "0301", "Clerk"), ("A", "f", "0301", "Admin"), ("A", "f", "0301", "Admin"), ("A", "f", "0303", "B"), ("A", "f", "0303", "C"), ("A", "f", "0301, 0303", "x")]
+    top = hiring.top_series(spark.createDataFrame(data, "clean_name string, analysis_flag string, all_series_code string, all_series string"), short_names={})
+    assert rows(top, "value", "totals", "all_series") == [("0301", 4, "Admin"), ("0303", 3, "B")]
+
+
 def test_announcement_history(spark, rows):
     schema = ("usajobs_control_number string, announcement_number string, position_open_date string, position_close_date string, position_expire_date string, "
               "job_categories array<struct<series: string>>, position_locations array<struct<positionLocationCity: string, positionLocationState: string, "

@@ -1,22 +1,22 @@
 """Operator 5: quality classifier, a logistic regression over hashed word n-grams trained by follow-the-regularised-leader.
 
-Features are the buckets of words and word pairs (a word that follows itself is one and the same pair), each with its count over the root of the number of n-grams, so that the
-length of a text does not decide. Training rows are labelled rows outside the held-out fold, at most ``train_rows`` of
-them (those with the smallest id hashes), which fit one task. With more ``shards`` they are dealt to as many tasks, and the
-shards' weights are averaged. A task runs per-coordinate updates with L1 and L2 terms over its rows for some epochs. Scoring is a sparse dot product: the n-grams
-of each text meet the weight table (at most ``buckets`` rows, broadcast) and are summed in the task that reads the text.
+Features are the buckets of words and word pairs (a word that follows itself is one and the same pair), each with its count
+over the root of the number of n-grams, so that the length of a text does not decide. Training texts are those of labelled
+ids outside the held-out fold, one for each of at most ``train_rows`` ids (those with the smallest hashes). They are one
+group, so one task runs per-coordinate updates with L1 and L2 terms over them for some epochs, in an order that follows from
+the ids: the model is the same however many partitions there are. Scoring is a sparse dot product: the n-grams of each text
+meet the weight table (at most ``buckets`` + 1 rows, broadcast) and are summed in the task that reads the text.
 
 Inputs of a score are the words alone: no labels, language, source or id.
 
 Defined results: a null or empty text has the score of the bias; without training rows every score is 0.5; a label that is
-null is none, and of several labels of one id the smallest counts; repeated rows are scored each on their own; an empty
+null is none, and of several labels of one id the smallest counts, of several texts of one labelled id the one with the
+smallest hash; repeated rows are scored each on their own; an empty
 table gives an empty table; only id and text are read, so other columns do not clash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,7 +27,6 @@ from civicgauge.llm.tasks import workers_find_package
 from civicgauge.session import durable
 
 TRAIN_ROWS = 10_000
-SHARDS = 1
 EPOCHS = 5
 HELD_OUT = 2
 BIAS = -1
@@ -64,36 +63,32 @@ def sparse(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return np.append(at, buckets).astype(np.int32), np.append(counts / max(1.0, np.sqrt(len(grams))), 1.0).astype(np.float32)
 
 
-def train(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, train_rows: int = TRAIN_ROWS, shards: int = SHARDS,
-          epochs: int = EPOCHS, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """Weight table: ``bucket`` (BIAS for the bias) and ``weight``, without zeros."""
+def train(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, train_rows: int = TRAIN_ROWS, epochs: int = EPOCHS,
+          text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """Weight table: ``bucket`` (BIAS for the bias) and ``weight``, without zeros; at most ``buckets`` + 1 rows."""
     known = labelled_once(labels.filter(~held_out(id_column)), {"label": F.col("quality")}, id_column).filter(F.col("label").isin(0, 1))
     chosen = bounded_labels(known, train_rows, id_column).select(F.col(id_column).alias("label_id"), "label")
     rows = docs.select(F.col(id_column).alias("row_id"), F.col(text).alias("text")).join(
         F.broadcast(chosen), F.col("row_id") == F.col("label_id"))
+    # Of several texts of one id one is learnt from, so that there are `train_rows` of them at most.
+    rows = rows.groupBy("row_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = with_word_hashes(rows).select("row_id", "label", gram_buckets(F.col("word_hashes"), buckets, doubled=True).alias("grams"))
 
-    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = [(i, y, np.asarray(g, dtype=np.int32)) for frame in frames for i, y, g in zip(frame["row_id"], frame["label"], frame["grams"])]
-        if not found:
-            return
-        # By id, and by the n-grams where rows share an id: the order rows arrive in does not count.
-        found = [(sparse(g, buckets), y) for _, y, g in sorted(found, key=lambda x: (x[0], x[2].tobytes()))]
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        found = [(i, y, np.asarray(g, dtype=np.int32)) for i, y, g in zip(frame["row_id"], frame["label"], frame["grams"])]
+        # By id: the order rows arrive in does not count.
+        found = [(sparse(g, buckets), y) for _, y, g in sorted(found, key=lambda x: x[0])]
         model, order = Leader(buckets + 1), np.random.default_rng(0)
         for _ in range(epochs):
             for k in order.permutation(len(found)):
                 model.update(*found[k][0], int(found[k][1]))
         weights = model.weights()
         at = np.flatnonzero(weights)
-        yield pd.DataFrame({"bucket": np.where(at == buckets, BIAS, at).astype("int32"), "weight": weights[at], "shard": 1})
-        yield pd.DataFrame({"bucket": np.array([BIAS - 1], dtype="int32"), "weight": [0.0], "shard": 1})
+        return pd.DataFrame({"bucket": np.where(at == buckets, BIAS, at).astype("int32"), "weight": weights[at]})
 
     workers_find_package(docs.sparkSession)
-    shares = rows.repartition(shards, F.xxhash64("row_id")).mapInPandas(fit, "bucket int, weight double, shard int")
-    # At most `buckets` + 2 rows, written so that the shards are fitted once.
-    summed = durable(shares.groupBy("bucket").agg(F.sum("weight").alias("weight"), F.sum("shard").alias("n")), "weights")
-    fitted = summed.agg(F.max(F.when(F.col("bucket") == BIAS - 1, F.col("n")))).scalar()
-    return summed.filter(F.col("bucket") >= BIAS).select("bucket", (F.col("weight") / fitted).alias("weight"))
+    # Written so that the model is fitted once.
+    return durable(rows.groupBy(F.lit(0).alias("model")).applyInPandas(fit, "bucket int, weight double"), "weights")
 
 
 def score(docs: DataFrame, weights: DataFrame, buckets: int = BUCKETS, text: str = "text", id_column: str = "doc_id") -> DataFrame:
@@ -111,7 +106,8 @@ def score(docs: DataFrame, weights: DataFrame, buckets: int = BUCKETS, text: str
     return dots.select(id_column, (1 / (1 + F.exp(-margin))).alias("score"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, buckets: int = BUCKETS, **settings) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, buckets: int = BUCKETS, text: str = "text", id_column: str = "doc_id",
+             **settings) -> DataFrame:
     """Id, ``held_out``, ``score`` and ``predicted`` (1 from ``threshold`` on) of each row."""
-    scored = score(docs, train(docs, labels, buckets, **settings), buckets)
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = score(docs, train(docs, labels, buckets, text=text, id_column=id_column, **settings), buckets, text, id_column)
+    return scored.select(id_column, held_out(id_column).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

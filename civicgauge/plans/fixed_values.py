@@ -44,7 +44,6 @@ YEARLY_CHALLENGE_TYPES = {
     "Ideas, Plans, Nominations": ["Ideas", "Business plans", "Nominations"],
     "Creative": ["Creative (multimedia & design)"],
 }
-LARGE_CHALLENGE_DEPARTMENTS = ["Department of Health and Human Services", "Department of Defense"]
 ENVIRONMENTAL_NAME_PARTS = [
     "Department of the Interior", "Department of Agriculture", "Environmental Protection Agency",
     "National Oceanic and Atmospheric Administration", "Army Corps",

@@ -279,3 +279,13 @@ SELECT env_flag, department, count FROM r WHERE rn <= 20 OR department = 'Custom
 def top_departments(spark: SparkSession, folder: str) -> DataFrame:
     """A top-20 report plus one named department."""
     return jobs.top_departments(data.challenges(spark, folder), 20, also=F.col("department") == "Customer#000000004")
+
+
+@query("WITH" + data.CHALLENGE_SQL + """
+SELECT CASE WHEN contains(primary_agency_name, 'BUILD') OR contains(primary_agency_name, '_12') THEN 'Environmental / Natural Resource Agencies' ELSE 'All Other Agencies' END AS name_flag,
+  count(*) AS n FROM challenge GROUP BY ALL
+""")
+def flags_by_name(spark: SparkSession, folder: str) -> DataFrame:
+    """The earlier flag, by parts of the agency name."""
+    flagged = data.challenges(spark, folder).withColumn("name_flag", jobs.name_based_group("primary_agency_name", ["BUILD", "_12"]))
+    return flagged.groupBy("name_flag").agg(F.count(F.lit(1)).alias("n"))

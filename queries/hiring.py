@@ -490,3 +490,11 @@ def normalised_booleans(spark: SparkSession, folder: str) -> DataFrame:
     text = F.when(F.col("quality") == 1, '"Yes"}').otherwise(' "false"')
     value = normalise_bool(text)
     return load(spark, folder, "labels").select("doc_id", value.alias("quality_ok"), value.cast("int").alias("flag"))
+
+
+@query("""
+SELECT doc_id AS id, lang AS agency, source AS subagency FROM documents WHERE lang IN ('en', 'fr') OR source IN ('src1', 'src2')
+""")
+def postings_selected(spark: SparkSession, folder: str) -> DataFrame:
+    """Postings with the agency on one list or the subagency on another."""
+    return jobs.postings_of(data.postings(spark, folder), agency=["en", "fr"], subagency=["src1", "src2"]).select("id", "agency", "subagency")

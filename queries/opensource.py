@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicgauge.plans import opensource as jobs
+from civicgauge.session import scratch_path
 from civicgauge.sources.readers import literal_table
+from civicgauge.sources.writers import write_table_csv
 from queries import stand_ins as data
 from queries.registry import load, query
 
@@ -133,3 +135,27 @@ def language_top5(spark: SparkSession, folder: str) -> DataFrame:
     flags = data.spend(spark, folder).select("sub_agency", "benchmark")
     counts = jobs.language_counts_of(kept(spark, folder), data.repo_records(spark, folder)["languages"])
     return jobs.language_top(counts, names(spark, folder), 5, NOT_LANGUAGES, flags)
+
+
+@query("WITH" + data.SPEND_SQL + """
+SELECT DISTINCT replace(sub_agency, 'NATION_', 'N') AS sub_agency_abbrev, benchmark FROM spend WHERE sub_agency <> 'NATION_24'
+""")
+def agency_display_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Agencies in display order: unmarked before marked, then by name."""
+    return jobs.agency_order(data.spend(spark, folder).join(names(spark, folder), "sub_agency"))
+
+
+@query("WITH" + data.REPO_SQL + """
+SELECT repo_url, CAST(NULL AS VARCHAR) AS description, languages, num_commits, CAST(first_commit_date AS DATE) AS first_commit_date, CAST(last_commit_date AS DATE) AS last_commit_date,
+  num_contributors, CAST(NULL AS VARCHAR) AS contributor_usernames, agency, CASE WHEN num_commits > 10 THEN 'large' ELSE 'small' END AS organization
+FROM repo
+""")
+def repos_landed(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of two organisations, with columns in two orders and without some, read by their headers; commit times as dates."""
+    path, time = scratch_path(spark, "repos"), "yyyy-MM-dd'T'HH:mm:ss'Z'"
+    rows = data.repos(spark, folder).select("repo_url", "agency", "languages", "num_commits", "num_contributors", *[
+        F.date_format(c, time).alias(c) for c in ("first_commit_date", "last_commit_date")])
+    rows = rows.withColumn("organization", F.when(F.col("num_commits") > 10, "large").otherwise("small"))
+    write_table_csv(rows.filter("organization = 'large'"), f"{path}/large")
+    write_table_csv(rows.filter("organization = 'small'").select(*reversed(rows.columns)), f"{path}/small")
+    return jobs.with_commit_days(jobs.read_repos(spark, f"{path}/large", f"{path}/small"))

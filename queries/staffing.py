@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicgauge.functions import pad_code
+from civicgauge.operators.aggregate import mean_by
 from civicgauge.operators.ranking import order_rank
 from civicgauge.plans import staffing as jobs
 from civicgauge.session import scratch_path
@@ -312,3 +313,23 @@ SELECT clean_name, CAST(row_number() OVER (ORDER BY sum("Tech") DESC, clean_name
 """)
 def entity_display_order(spark: SparkSession, folder: str) -> DataFrame:
     return order_rank(totals(spark, folder), "clean_name", "Tech")
+
+
+@query("WITH" + data.WORKFORCE_SQL + """
+SELECT CASE WHEN stemocc IN ('STANDARD', 'ECONOMY') THEN 'NOT_STEM' ELSE 'STEM' END AS broad_class, clean_name, avg(employment) AS mean_employment, avg(los) AS mean_los
+FROM workforce GROUP BY ALL
+""")
+def broad_class_means(spark: SparkSession, folder: str) -> DataFrame:
+    """STEM or not, with means."""
+    rows = data.workforce(spark, folder).withColumn("broad_class", jobs.job_class_broad("stemocc", data.OUTSIDE_TYPES))
+    return mean_by(rows, ["broad_class", "clean_name"], {"mean_employment": "employment", "mean_los": "los"})
+
+
+@query("""
+SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS loc, n_name AS loct FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey < 20
+""")
+def located_staff(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows with a known duty location and its name."""
+    staff = load(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("loc"))
+    places = load(spark, folder, "nation").filter("n_nationkey < 20").select(F.col("n_nationkey").cast("string").alias("loc"), F.col("n_name").alias("loct"))
+    return jobs.add_location(staff, places).select("c_custkey", "loc", "loct")

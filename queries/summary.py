@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicgauge.plans import challenges, hiring, opensource, staffing, summary
+from civicgauge.sources.readers import year_range
 from queries import hiring as hiring_queries
 from queries import opensource as repo_queries
 from queries import staffing as staffing_queries
@@ -46,3 +47,13 @@ def indicator_summary(spark: SparkSession, folder: str) -> DataFrame:
     activity = opensource.repo_activity(repo_queries.kept(spark, folder), repo_queries.RECENT)
     repos = opensource.repos_per_million(activity, data.spend(spark, folder), complete=False)
     return summary.indicator_summary(entities, tech, named(prizes, "tidy_agy"), posted, named(repos, "sub_agency"))
+
+
+@query("WITH" + staffing_queries.RATIO_SQL + """
+SELECT clean_name, arg_max(tech_pct, year) AS "'01 Workforce Tech %" FROM ratio GROUP BY clean_name
+""")
+def summary_titles(spark: SparkSession, folder: str) -> DataFrame:
+    """A title with the year it covers, which is looked up in the data."""
+    tech = staffing.tech_pct_latest(staffing.tech_ratio(staffing_queries.totals(spark, folder)))
+    newest = year_range(tech).first()["max_year"]
+    return summary.with_titles(tech.select("clean_name", "tech_pct"), {"tech_pct": f"'{newest % 100:02d} Workforce Tech %"})

@@ -3,7 +3,7 @@
 Each stage takes all rows its predecessor kept and, but for the last, returns the columns of ``documents``. ``run`` writes
 every stage as a table in the shared folder and reads it again, so that a lost executor repeats one stage at most.
 
-- Rows of one id and one text stay or go together; rows without an id have no group to be named by and go with the
+- Of rows with the same id and text one stays; rows without an id have no group to be named by and go with the
   near-duplicates.
 - Personal data is replaced by its kind in brackets, and ``n_chars`` follows the new text.
 - Mixing repeats documents until every domain holds its target share of the expected tokens; it drops none, so the total is
@@ -34,7 +34,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """One document of each group of near-duplicates: the one with the smallest id. Shingles of five words, similarity 0.8."""
     found = near_duplicates.near_duplicates(docs, shingle=5, per_cent=80, bands=25, band_rows=4)
     kept = found.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    # Rows of a kept id with one text are copies; the join has brought them together.
+    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

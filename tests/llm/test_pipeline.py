@@ -68,6 +68,15 @@ def test_stages_one_by_one(spark, folder, tmp_path):
             assert found == sorted((i, len(p) // 4, tuple(int.from_bytes(p[k:k + 4], "little") for k in range(0, len(p), 4))) for i, p in packed)
 
 
+def test_one_row_stays_of_repeated_ones(spark, folder):
+    texts = ["one two three four five six seven", "quite another text of seven words here", "one two three four five six seven", None]
+    rows = [(1, texts[0]), (1, texts[0]), (1, texts[1]), (2, texts[2]), (3, texts[3]), (3, texts[3]), (1, texts[0])]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", len(t or "")) for k, (i, t) in enumerate(rows)], DOCUMENT)
+    kept = corpus_pipeline.one_of_each_group(spark, docs, folder)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(1, texts[0]), (1, texts[1]), (3, "")]
+
+
 def expected_shares(members):
     """Share of each domain in the expected tokens."""
     rows = members.collect()

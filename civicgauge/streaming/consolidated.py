@@ -22,10 +22,11 @@ class ConsolidatedStore:
     """Hits (id, term, pull, landed file, count) and records (id, pull, lasting columns), in ``buckets`` parts by id.
 
     An id belongs to the pull that brought it first, of several in one batch the smallest; what later pulls bring of it is
-    left out. Hits of a pull that comes in several batches are added up. A micro-batch reads the parts its ids are in, id and pull only, writes folders of its own and commits
-    them; a batch that runs again writes the same folders, or finds itself committed. A file that lands again under a new checkpoint counts
-    once, as counts are kept by file. ``compact`` merges the folders of each part beside running batches: what they commit
-    meanwhile stays beside the merged folder. Null is an id as any other.
+    left out. Hits of a pull that comes in several batches are added up. A micro-batch reads the parts its ids are in, id and
+    pull only, writes folders of its own and commits them; a batch that runs again writes the same folders, or finds itself
+    committed. A file that lands again under a new checkpoint counts once, as counts are kept by file. ``compact`` merges the
+    folders of each part beside a running batch: what that commits meanwhile stays beside the merged folder. One stream at a
+    time may feed a store. Null is an id as any other.
     """
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType | str, key: str, term: str, pull: str, volatile: Sequence[str] = (), buckets: int = 64) -> None:

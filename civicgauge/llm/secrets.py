@@ -11,8 +11,9 @@ Common words are a fixed list of what passwords are built of, and the words of t
 have them: ``learn_words`` counts every text in its task, and the ``TABLE_WORDS`` most usual go to the tasks. A word that
 stands in credential contexts as often as outside them is no word of the language and is not taken.
 
-A step of the programme looks back over one word, date, walk or repeat; brute force goes character by character. So a value
-of any length is priced in time in proportion to it.
+A step of the programme looks back over one word, date, walk or repeat; brute force goes character by character. A walk or a
+repeat may begin anywhere within its run: of the starts only those that can still be the cheapest are held (``Starts``), so a
+value of any length is priced in time about in proportion to it.
 
 Defined results: a null or empty text has no spans and no cost; texts of any length are searched whole; repeated rows are
 searched each on their own; an empty table gives an empty table; other columns are not read. Positions are characters, ends
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civicgauge.llm.tasks import map_rows, text_or_empty
+from civicgauge.operators.ordered import number_rows
 
 KINDS = ("assign", "access", "hex")
 ADDED = "guess"
@@ -75,6 +77,43 @@ class Words:
 FIXED = Words()
 
 
+PERIODS = (1, 2, 3, 4)
+#: A walk is one of so many: a row to start on, a place, a direction; its length comes on top.
+WALK_CHOICES = len(KEY_ROWS) * 10 * 2
+
+
+class Starts:
+    """The cheapest ``best[start] + log10(end - start)`` over the starts of a run that grows at its end.
+
+    Of two starts the one with the larger ``best`` loses for good if it is also the earlier one; if it is the later one, it
+    loses for good at the first end where it costs as much, as the lengths draw near each other. So few stay in the list.
+    """
+
+    def __init__(self, best: list[float]) -> None:
+        self.best, self.added, self.held = best, 0, []
+
+    def clear(self, begin: int) -> None:
+        """No run that ends here or later begins before ``begin``."""
+        self.added, self.held = begin, []
+
+    def add_up_to(self, last: int) -> None:
+        while self.added <= last:
+            while self.held and self.best[self.held[-1]] >= self.best[self.added]:
+                self.held.pop()
+            self.held.append(self.added)
+            self.added += 1
+
+    def cheapest(self, end: int) -> float:
+        least, kept = math.inf, []
+        for start in self.held:
+            cost = self.best[start] + math.log10(end - start)
+            if cost < least:
+                least = cost
+                kept.append(start)
+        self.held = kept
+        return least
+
+
 def guess_cost(value: str, words: Words = FIXED) -> float:
     """Decimal power of the guesses needed for the cheapest segmentation of ``value``."""
     n, lower = len(value), value.lower()
@@ -89,19 +128,19 @@ def guess_cost(value: str, words: Words = FIXED) -> float:
             dates.setdefault(m.end(), []).append(at)
             dates.setdefault(at + 4, []).append(at) if value[at:at + 2] in ("19", "20") and value[at:at + 4].isdigit() else None
     best = [0.0] + [math.inf] * n
-    walk, same = 0, [0, 0, 0, 0]  # where the walk that ends here began; how far back the text repeats with each period
+    # The starts that a walk, or a repeat of each period, which ends here may have.
+    walk, repeats = Starts(best), [Starts(best) for _ in PERIODS]
     for end in range(1, n + 1):
         cost = best[end - 1] + brute
         if end > 1 and plain[end - 2:end] not in _NEXT and lower[end - 2:end] not in _NEXT:
-            walk = end - 1
-        if end - walk >= 3:  # a row to start on, a place, a direction, a length
-            cost = min(cost, best[walk] + math.log10(len(KEY_ROWS) * 10 * 2 * (end - walk)))
-        for period in range(1, 5):
-            repeats = end > period and value[end - 1] == value[end - 1 - period]
-            same[period - 1] = same[period - 1] + 1 if repeats else 0
-            if same[period - 1] >= max(2, period):
-                start = end - same[period - 1]
-                cost = min(cost, best[start] + math.log10(period * same[period - 1]))
+            walk.clear(end - 1)
+        walk.add_up_to(end - 3)
+        cost = min(cost, walk.cheapest(end) + math.log10(WALK_CHOICES))
+        for period, starts in zip(PERIODS, repeats):
+            if end <= period or value[end - 1] != value[end - 1 - period]:
+                starts.clear(end)
+            starts.add_up_to(end - max(2, period))
+            cost = min(cost, starts.cheapest(end) + math.log10(period))
         for size in range(3, min(words.longest, end) + 1):
             rank = words.rank.get(lower[end - size:end]) or words.rank.get(plain[end - size:end])
             if rank:
@@ -174,7 +213,9 @@ def learn_words(docs: DataFrame, text: str = "text", size: int = TABLE_WORDS, le
     counts = map_rows(docs, [text_or_empty(text)], "word string, outside long, inside long", make).groupBy("word").agg(
         F.sum("outside").alias("outside"), F.sum("inside").alias("inside"))
     usual = counts.filter((F.col("outside") >= least_texts) & (F.col("outside") > F.col("inside")))
-    return [r.word for r in usual.orderBy(F.desc("outside"), "word").limit(size).select("word").collect()]
+    # Numbered over ranges, so that no more than `size` rows leave the tasks.
+    ranked = number_rows(usual.select("word", "outside"), [], [F.desc("outside"), "word"], "rank").filter(F.col("rank") <= size)
+    return [r.word for r in sorted(ranked.select("word", "rank").collect(), key=lambda r: r.rank)]
 
 
 def as_text(spans: list[Span]) -> str:

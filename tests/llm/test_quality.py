@@ -7,8 +7,10 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from civicgauge.llm import mixing, quality_classifier, quality_rules
+from civicgauge.llm.grams import gram_buckets, with_word_hashes
 from tests.llm.cases import AWKWARD, documents, labels
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -106,6 +108,35 @@ def test_classifier_learns_and_holds_out(spark):
     assert sum(held) / len(held) >= 0.95
 
 
+def test_the_model_does_not_follow_the_partitions(spark):
+    """Weights from 1, 7 and 40 partitions, and from rows in another order with repeated ids, equal those of updates in a loop."""
+    texts = made_texts()[:50] * 2
+    rows = [(i, int(i % 50 < 30), 0) for i in range(100)]
+    docs = documents(spark, texts)
+    found = []
+    for partitions in (1, 7, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            trained = quality_classifier.train(docs.repartition(partitions).union(docs.limit(20)), labels(spark, rows).repartition(partitions), 512)
+            found.append({r.bucket: r.weight for r in trained.collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert found[0] == found[1] == found[2]
+
+    import zlib
+    model, order = quality_classifier.Leader(513), np.random.default_rng(0)
+    learnt = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2]
+    bucketed = with_word_hashes(docs).select("doc_id", gram_buckets(F.col("word_hashes"), 512, doubled=True).alias("found")).collect()
+    buckets = {r.doc_id: np.array(r.found) for r in bucketed}
+    for _ in range(quality_classifier.EPOCHS):
+        for k in order.permutation(len(learnt)):
+            model.update(*quality_classifier.sparse(buckets[learnt[k]], 512), int(learnt[k] % 50 < 30))
+    weights = model.weights()
+    assert found[0] == pytest.approx({(-1 if b == 512 else int(b)): weights[b] for b in np.flatnonzero(weights)})
+
+
 def test_held_out_labels_do_not_count(spark):
     docs = documents(spark, made_texts()[:50] * 2)
     rows = [(i, int(i % 50 < 30), 0) for i in range(100)]

@@ -9,8 +9,10 @@ for each kind select, and selected spans that overlap no base span and no better
 
 The trees learn from base spans themselves: windows around them, in half of which another base span is put beside the
 first, so the truth is known where the patterns fail; and from what is none: spoiled values (wrong check digit, part over
-255, domain without a dot) and proposals of texts without base spans. They come from at most ``train_texts`` texts that hold digits or an at
-sign (smallest id hashes). Thresholds are the lowest that reach ``precision`` on windows not learnt from.
+255, domain without a dot) and proposals of texts without base spans. What is learnt from is bounded, once: at most
+``train_texts`` of all ids whose texts hold three digits or an at sign, and of these texts' base spans and proposals at most
+``WINDOWS_PER_TEXT`` times as many, both those with the smallest hashes. A window is cut ``WINDOW`` characters beside its span.
+Thresholds are the lowest that reach ``precision`` on windows not learnt from.
 
 Defined results: a null or empty text has no spans; texts of any length are searched whole; a corpus without base spans
 gets no model and no added spans; repeated rows are searched each on their own; an empty table gives an empty table; other
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,10 +31,12 @@ from pyspark.sql import functions as F
 
 from civicgauge.llm.grams import hash_share
 from civicgauge.llm.tasks import map_rows, text_or_empty
+from civicgauge.operators.ordered import number_rows
+from civicgauge.session import durable
 
 KINDS = ("email", "ip", "card", "phone")
 TRAIN_TEXTS, PRECISION = 4000, 0.99
-WINDOW = 40
+WINDOW, WINDOWS_PER_TEXT = 40, 4
 Span = tuple[str, int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -43,7 +48,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _GROUPS = re.compile("[0-9]+")
 _RUN = re.compile(r"[+(]{0,2}[0-9](?:[ ().+-]{0,3}[0-9])*")
-_TOKEN = re.compile(r"[^\s<>,;:\"()]+@[^\s<>,;:\"()]+")
+#: From the beginning of a token only, so that a long one is read once.
+_TOKEN = re.compile(r"(?<![^\s<>,;:\"()])[^\s<>,;:\"()]+@[^\s<>,;:\"()]+")
 _CUE = re.compile(r"(?i)\b(?:e-?mail|mail|contact|phone|tel|call|mobile|fax|card|visa|credit|pay|ip|host|server|address)\b")
 
 
@@ -266,20 +272,44 @@ class Model:
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
         """Selected proposals, best first, that overlap neither base spans nor each other."""
-        spans = [s for s in proposals(text) if s not in base]
+        known = set(base)
+        spans = [s for s in proposals(text) if s not in known]
         if not spans:
             return []
         scores = self.trees.predict(np.array([features(text, s) for s in spans], dtype=float))
-        taken = sorted((start, end) for _, start, end in base)
+        taken = Taken(base)
         chosen = []
         for k in np.argsort(-scores, kind="stable"):
             kind, start, end = spans[k]
-            if scores[k] >= self.thresholds[kind] and all(end <= a or start >= b for a, b in taken):
-                taken.append((start, end))
+            if scores[k] >= self.thresholds[kind] and taken.free(start, end):
+                taken.add(start, end)
                 chosen.append(spans[k])
         return chosen
 
 
+class Taken:
+    """Places that spans have taken, as intervals apart from each other, in order."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted((a, b) for _, a, b in spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def free(self, start: int, end: int) -> bool:
+        after = bisect_right(self.ends, start)  # the first interval that ends behind the start
+        return after == len(self.starts) or self.starts[after] >= end
+
+    def add(self, start: int, end: int) -> None:
+        at = bisect_right(self.starts, start)
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+
+
 def by_kind(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
@@ -294,8 +324,8 @@ def learn(docs: DataFrame, train_texts: int = TRAIN_TEXTS, precision: float = PR
         def run(keys, texts):
             out = [[], [], [], [], []]
             for key, value in zip(keys, texts):
-                # Of a text without base spans, the place of its first proposal: what is no personal data.
-                for kind, start, end in base_spans(value) or [("", a, b) for _, a, b in proposals(value)[:1]]:
+                # Of a text without base spans, its proposals: what is no personal data.
+                for kind, start, end in base_spans(value) or [("", a, b) for _, a, b in proposals(value)]:
                     at = max(0, start - WINDOW)
                     for column, x in zip(out, (key, value[at:end + WINDOW], kind, start - at, end - at)):
                         column.append(x)
@@ -304,13 +334,17 @@ def learn(docs: DataFrame, train_texts: int = TRAIN_TEXTS, precision: float = PR
         return run
 
     texts = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
-    # Of fifty times as many ids as wanted, those whose texts may hold something; the ids alone are sorted and broadcast.
-    some = texts.filter(hash_share("id", 25 * train_texts, docs.count()) & F.col("text").rlike("@|[0-9]{3}"))
-    chosen = some.select(F.col("id").alias("chosen")).distinct().orderBy(F.xxhash64("chosen"), "chosen").limit(train_texts)
-    sample = texts.join(F.broadcast(chosen), F.col("id") == F.col("chosen"), "left_semi")
+    # The ids of all texts that may hold something; then ids alone are chosen from and broadcast.
+    some = durable(texts.filter(F.col("text").rlike("@|[0-9]{3}") & F.col("id").isNotNull()).select(F.col("id").alias("chosen")), "candidate-ids")
+    some = some.filter(hash_share("chosen", train_texts, some.count())).distinct().orderBy(F.xxhash64("chosen"), "chosen").limit(train_texts)
+    sample = texts.join(F.broadcast(some), F.col("id") == F.col("chosen"), "left_semi")
     kind = dict(sample.dtypes)["id"]
-    rows = map_rows(sample, ["id", "text"], f"id {kind}, window string, kind string, start int, end int", make)
-    windows = sorted((r.window, r.kind, r.start, r.end) for r in rows.filter(F.length("window") < 1000).orderBy("id", "start", "kind").limit(4 * train_texts).collect())
+    windows = durable(map_rows(sample, ["id", "text"], f"id {kind}, window string, kind string, start int, end int", make), "windows")
+    # Equal windows of copies teach nothing new. Numbered by their hashes, so no more than the bound leave the tasks: half of it for either sort.
+    windows = windows.select("window", "kind", "start", "end").distinct().withColumn("real", F.col("kind") != "")
+    windows = number_rows(windows, ["real"], [F.xxhash64("window", "kind", "start", "end")], "rank")
+    rows = windows.filter(F.col("rank") <= WINDOWS_PER_TEXT // 2 * train_texts).select("window", "kind", "start", "end").collect()
+    windows = sorted(map(tuple, rows))
     return Model(windows, precision) if sum(w[1] != "" for w in windows) >= 20 else None
 
 

@@ -1,13 +1,15 @@
 """Operator 4: main text of web pages, by markup and by differencing with the page of the nearest URL.
 
 A page is read into blocks of text, each with the zone its elements put it in: dropped (menus, page headers and footers,
-sidebars, notices, adverts, forms, scripts, comments; by a class or id only if the whole name says so and no article is inside), main (inside an article or main element), or open. Pages are ordered by
+sidebars, notices, adverts, forms, scripts, comments; by a class or id, on any block element, only if the whole name says so
+and no article is inside; a form only if nothing that pages have is inside), main (inside an article or main element), or open. Pages are ordered by
 host, path and content, and each is paired with the neighbour on its host whose path shares more with its own, the earlier
 one of equals. The lines of the two are aligned by their longest common subsequence, and shared lines are template: they are
 deleted. A neighbour that has all of a page's lines is a copy of it and tells nothing of templates; then the next of two
 neighbours on either side serves. Inside an article a shared line can be a quotation, or the article a copy: there it is
 template if two of these four neighbours share it, and if of the article text of these three pages no two have more than
-half in common. The text of a page is what is left of its article and open blocks.
+half in common. The text of a page is what is left of its article and open blocks. Pages of a host with the same lines count
+as one, the first of them, and all get its result.
 
 Neighbours come from a range partitioning by host and path, so a host with a third of all pages spans many tasks, and the
 first and last two pages of each range are handed over to the ranges beside it: the pairs do not depend on where ranges end. What
@@ -21,6 +23,8 @@ an empty table gives an empty table; other columns are not read. White space is
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import numpy as np
@@ -41,8 +45,10 @@ HOLDERS = frozenset("html body article main section div nav header footer aside
                     "noscript table ul ol dl figure fieldset details blockquote center".split())
 BREAKING = HOLDERS | frozenset("p h1 h2 h3 h4 h5 h6 li tr dt dd hr pre figcaption caption address summary hgroup legend thead tbody tfoot".split())
 SPACING = frozenset("br td th".split())
-DROPPED = frozenset("nav footer aside form menu dialog select button svg canvas object video audio template noscript fieldset".split())
+DROPPED = frozenset("nav footer aside menu dialog select button svg canvas object video audio template noscript fieldset".split())
 MAIN = frozenset("article main".split())
+#: A form with one of these inside is laid around a page, and no form of it.
+OF_PAGES = frozenset("article main nav header footer h1".split())
 DROPPED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement banner sponsor sponsored promo promotion nav navbar navigation menu sidebar breadcrumb breadcrumbs footer comment "
     "comments discussion disqus respond reply cookie cookies consent gdpr notice notices alert newsletter subscribe subscription popup modal overlay share "
@@ -50,7 +56,7 @@ DROPPED_NAMES = frozenset(
 # What the other parts of a compound name may be, as in share-buttons or site-footer; has-sidebar or related-work are no such names.
 NAME_PARTS = frozenset(
     "area bar block body bottom box button buttons container content form global group header icons inner item items left link links list main outer page "
-    "panel primary right row secondary section site top widget wrap wrapper".split())
+    "panel post primary reader right row secondary section site slot top unit user widget wrap wrapper zone".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 
 
@@ -66,7 +72,7 @@ def _dropped(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
     if tag in DROPPED or tag == "header" and not in_main:
         return True, False
     if tag in ("html", "body") or not attributes or attributes.isspace():
-        return False, False
+        return False, tag == "form"
     named = False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m.group(1).lower(), unescape(m.group(2) or m.group(3) or m.group(4) or "").lower()
@@ -76,7 +82,7 @@ def _dropped(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
             return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True, False
-    return False, named and (in_main or tag != "main")
+    return False, named and (in_main or tag != "main") or tag == "form"
 
 
 def blocks(html: str) -> list[tuple[bool, str]]:
@@ -84,7 +90,9 @@ def blocks(html: str) -> list[tuple[bool, str]]:
     found: list[tuple[bool, str]] = []
     held: list[str] = []
     open_holders: list[tuple[str, bool, bool]] = []  # tag, and what was so before it: dropped, main
-    named: list[tuple[int, int]] = []  # elements dropped for a name: depth, first block; one that holds an article is not dropped
+    open_tags: Counter[str] = Counter()
+    muted = ""  # the paragraph or the like that is dropped for a name and still open
+    named: list[tuple[int, int, str]] = []  # elements dropped for a name, and forms: depth, first block, tag; one that holds an article is not dropped
     dropped = main = False
     at, n = 0, len(html)
 
@@ -98,7 +106,7 @@ def blocks(html: str) -> list[tuple[bool, str]]:
         m = _TOKEN.match(html, at)
         at = m.end()
         if (text := m.group("text")) is not None:
-            if not dropped:
+            if not dropped and not muted:
                 held.append(unescape(text) if "&" in text else text)
             continue
         tag = m.group("tag") or m.group("tag2")
@@ -114,23 +122,30 @@ def blocks(html: str) -> list[tuple[bool, str]]:
             held.append(" ")
         elif tag in BREAKING:
             flush()
+            muted = ""
+            if tag not in HOLDERS and not ends and not dropped:
+                muted = tag if any(_dropped(tag, m.group("attributes") or "", main)) else ""
+        if tag in OF_PAGES and not ends and not dropped:
+            named = [x for x in named if x[2] != "form"]
         if tag in HOLDERS:
             if not ends:
                 if (m.group("attributes") or "").rstrip().endswith("/") and tag == "svg":
                     continue
                 open_holders.append((tag, dropped, main))
+                open_tags[tag] += 1
                 is_dropped, has_name = (True, False) if dropped else _dropped(tag, m.group("attributes") or "", main)
                 dropped = is_dropped
                 if has_name:
-                    named.append((len(open_holders), len(found)))
+                    named.append((len(open_holders), len(found), tag))
                 if tag in MAIN and not (main or dropped or has_name):
                     named.clear()
                     main = True
-            elif any(h[0] == tag for h in open_holders):
+            elif open_tags[tag]:
                 while True:
                     if named and named[-1][0] == len(open_holders):
                         del found[named.pop()[1]:]
                     name, dropped, main = open_holders.pop()
+                    open_tags[name] -= 1
                     if name == tag:
                         break
     flush()
@@ -148,16 +163,49 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     middle_a, middle_b = a[start:len(a) - stop], b[start:len(b) - stop]
     inside = set(middle_b)
     rows = [(i, x) for i, x in enumerate(middle_a, start) if x in inside]
+    also = {x for _, x in rows}
+    columns = [x for x in middle_b if x in also]
+    found = [i for i, _ in _aligned(rows, columns)]
+    return [*range(start), *found, *range(len(a) - stop, len(a))]
+
+
+#: Bits of states that are held at a time to align two lists; longer lists are halved first.
+HELD_BITS = 1 << 26
+Row = tuple[int, int]
+
+
+def _states(lines: Iterable[int], columns: list[int]) -> Iterator[int]:
+    """After each line, a bit for each column: zero where the longest common subsequence grows by it."""
     places: dict[int, int] = {}
-    columns = [x for x in middle_b if x in {y for _, y in rows}] if rows else []
     for j, x in enumerate(columns):
         places[x] = places.get(x, 0) | 1 << j
-    full = (1 << len(columns)) - 1
-    state, states = full, [full]
-    for _, x in rows:  # a zero bit: the subsequence grows by this column
-        hit = state & places[x]
+    full = state = (1 << len(columns)) - 1
+    yield state
+    for x in lines:
+        hit = state & places.get(x, 0)
         state = (state + hit | state - hit) & full
-        states.append(state)
+        yield state
+
+
+def _lengths(lines: Iterable[int], columns: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of all lines with the first 0, 1, ... columns."""
+    for state in _states(lines, columns):  # noqa: B007  (the last one counts)
+        pass
+    bits = np.unpackbits(np.frombuffer(state.to_bytes(len(columns) // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[:len(columns)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _aligned(rows: list[Row], columns: list[int]) -> list[Row]:
+    """Rows of a longest common subsequence with ``columns``, in space that does not grow with their product."""
+    if not rows or not columns:
+        return []
+    if len(rows) > 1 and len(rows) * len(columns) > HELD_BITS:
+        half = len(rows) // 2
+        before = _lengths((x for _, x in rows[:half]), columns)
+        after = _lengths((x for _, x in reversed(rows[half:])), columns[::-1])[::-1]
+        cut = int(np.argmax(before + after))
+        return _aligned(rows[:half], columns[:cut]) + _aligned(rows[half:], columns[cut:])
+    states = list(_states((x for _, x in rows), columns))
     found, i, j = [], len(rows), len(columns)
     while i and j:
         if states[i] >> (j - 1) & 1:
@@ -165,9 +213,9 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
         else:
             i -= 1
             if states[i] >> (j - 1) & 1:
-                found.append(rows[i][0])
+                found.append(rows[i])
                 j -= 1
-    return [*range(start), *reversed(found), *range(len(a) - stop, len(a))]
+    return found[::-1]
 
 
 def shared_path(a: str, b: str) -> int:
@@ -232,30 +280,32 @@ def template_of(pages: DataFrame, page_id: str = "page_id", url: str = "url", ht
 
     lines = map_rows(rows.filter((F.col("host") != "") & (F.length("html") > 0)), ["key", "host", "path", "html"],
                      "key long, host string, path string, lines array<long>, sizes array<int>", make)
-    # Ranges of neighbours; a page that is there more than once counts once.
-    ranged = durable(lines.dropDuplicates(["host", "path", "key"]).repartitionByRange("host", "path", "key").withColumn(
-        "part", F.spark_partition_id()), "page-lines")
+    # Copies: pages of a host with the same lines are one page, the first of them, whose result all of them get.
+    lines = durable(lines.withColumn("content", F.xxhash64("lines", "sizes")), "page-lines")
+    firsts = lines.groupBy("host", "content").agg(F.min(F.struct("path", "key", "lines", "sizes")).alias("first")).select("host", "content", "first.*")
+    # Ranges of neighbours.
+    ranged = durable(firsts.repartitionByRange("host", "path", "key").withColumn("part", F.spark_partition_id()), "page-ranges")
     page, place = F.struct("host", "path", "lines", "sizes"), ["host", "path", "key"]
     steps = {"before0": F.lag(page), "after0": F.lead(page), "before1": F.lag(page, 2), "after1": F.lead(page, 2)}
     order, beside = Window.partitionBy("part").orderBy(*place), Window.orderBy(*place)
-    seen = ranged.select("part", *place, "lines", "sizes", *(x.over(order).alias(name) for name, x in steps.items()))
+    seen = ranged.select("part", "content", *place, "lines", "sizes", *(x.over(order).alias(name) for name, x in steps.items()))
     # The first and last two pages of each range find among themselves what their own range lacks.
     ends = seen.filter(F.col("before1").isNull() | F.col("after1").isNull()).select(*place, "lines", "sizes")
     ends = durable(ends.select(F.col("key").alias("end_key"), *(x.over(beside).alias(f"beside_{name}") for name, x in steps.items())), "page-ends")
     seen = seen.join(ends, F.col("key") == F.col("end_key"), "left")
     found = {name: F.coalesce(name, f"beside_{name}") for name in steps}
-    pairs = seen.select("key", "path", "lines", "sizes", *(
+    pairs = seen.select("key", "host", "content", "path", "lines", "sizes", *(
         F.when(x["host"] == F.col("host"), x[f]).alias(f"{f}_{name}") for name, x in found.items() for f in ("path", "lines", "sizes")))
 
     def align():
-        def run(keys, paths, lines, sizes, *others):
+        def run(keys, hosts, contents, paths, lines, sizes, *others):
             columns = [zip(*others[i:i + 3]) for i in range(0, len(others), 3)]
-            return [keys, [template_lines(own, [n if n[1] is not None else None for n in near]) for own, *near in zip(zip(paths, lines, sizes), *columns)]]
+            return [hosts, contents, [template_lines(own, [n if n[1] is not None else None for n in near]) for own, *near in zip(zip(paths, lines, sizes), *columns)]]
 
         return run
 
-    found = map_rows(pairs, pairs.columns, "key long, deleted array<int>", align)
-    return found.filter(F.size("deleted") > 0)
+    found = map_rows(pairs, pairs.columns, "host string, content long, deleted array<int>", align).filter(F.size("deleted") > 0)
+    return lines.select("key", "host", "content").dropDuplicates(["key"]).join(found, ["host", "content"]).select("key", "deleted")
 
 
 def main_text(found: list[tuple[bool, str]], deleted: set[int]) -> str:

@@ -106,6 +106,48 @@ def test_common_lines_are_longest():
         assert all(a[i] in rest for i in found)  # in b in the same order
 
 
+def test_halved_lists_align_as_whole_ones(monkeypatch):
+    rng = random.Random(6)
+    monkeypatch.setattr(page_text, "HELD_BITS", 8)
+    for _ in range(200):
+        a, b = ([rng.randrange(5) for _ in range(rng.randrange(30))] for _ in range(2))
+        found = page_text.common_lines(a, b)
+        assert len(found) == slow_common(a, b) and found == sorted(set(found))
+        rest = iter(b)
+        assert all(a[i] in rest for i in found)
+
+
+def test_long_and_deep_pages_take_time_in_proportion():
+    import time
+
+    def seconds(run):
+        start = time.process_time()
+        run()
+        return time.process_time() - start
+
+    lines = list(range(20_000))
+    random.Random(1).shuffle(lines)
+    assert seconds(lambda: page_text.common_lines(lines, list(range(20_000)))) < 20
+    one, two = (seconds(lambda n=n: page_text.blocks("<div>" * n + "x" + "</span></ul>" * n + "</div>" * n)) for n in (10_000, 40_000))
+    assert two < 8 * one + 0.5
+
+
+def test_copies_get_one_text_wherever_they_are(spark):
+    copy = plain(["TOP", "the same text", "FOOT"])
+    rows = [(f"http://h.example/a/{i}", copy) for i in range(7)] + [(f"http://h.example/b/{i}", plain(["TOP", f"other {i}", "FOOT"])) for i in range(3)]
+    found = texts(spark, rows)
+    assert {found[i] for i in range(7)} == {"the same text"} and [found[i] for i in (7, 8, 9)] == ["other 0", "other 1", "other 2"]
+
+
+def test_forms_and_names(spark):
+    around = "<form id='f'><header>Top</header><h1>Title</h1><p>The text.</p><form><p>Your name</p><input></form></form>"
+    inside = "<article><p>The text.</p><form><p>Write to us</p></form><p>The end.</p></article>"
+    named = "<article><p>The text.</p><p class='advert'>Buy now</p><p class=cookie-notice>We use cookies<li>An item<p>More.</article><div class='post-comments'><p>Nice</p></div><div class='ad-slot'>Ad</div>"
+    found = texts(spark, [(f"http://h{i}.example/", html) for i, html in enumerate([around, inside, named])])
+    assert found[0].startswith("Title\n\nThe text.") and "Your name" not in found[0]
+    assert found[1] == "The text.\n\nThe end." and found[2] == "The text.\n\nAn item\n\nMore."
+
+
 def test_pairs_do_not_depend_on_partitions(spark):
     rows = [(f"http://h{i % 3}.example/d{i % 7}/{i}", plain(["Top", f"text {i}", f"Shelf {i % 7}", "End"])) for i in range(120)]
     found = []

@@ -214,11 +214,11 @@ def links(docs: DataFrame, sketches: DataFrame, shingle: int = SHINGLE, per_cent
     roots = components(starred)
     placed = members.join(roots, F.col("set_id") == F.col("node"), "left").select(
         "key", "set_id", "n", F.coalesce("root", "set_id").alias("root"))
-    # Bands whose sets are still in several components; of bands with the same sets one is enough.
+    # Bands whose sets are still in several components; of bands with the same sets, told by 128 bits, one is enough.
     undone = placed.groupBy("key").agg(
         F.count(F.lit(1)).alias("size"), F.sum("n").alias("volume"), F.min("root").alias("low"), F.max("root").alias("high"),
-        F.sum(F.shiftright(F.xxhash64("set_id"), 20)).alias("mark")).filter("low <> high")
-    undone = undone.groupBy("size", "volume", "mark").agg(F.min("key").alias("key")).select(
+        F.bit_xor(F.xxhash64("set_id")).alias("mark"), F.bit_xor(F.xxhash64(F.lit(1), "set_id")).alias("other_mark")).filter("low <> high")
+    undone = undone.groupBy("size", "volume", "mark", "other_mark").agg(F.min("key").alias("key")).select(
         "key", F.ceil(F.col("volume") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
     tiled = placed.join(undone, "key").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

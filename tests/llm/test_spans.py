@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from civicgauge.llm import personal_data, secrets
@@ -111,36 +112,106 @@ def test_no_personal_data_no_model(spark):
     assert personal_data.learn(documents(spark, ["plain text", None])) is None
 
 
+def test_added_spans_overlap_nothing(learnt):
+    """Against the plain way: each chosen proposal is compared with all spans taken before it."""
+    rng = random.Random(4)
+    for _ in range(30):
+        text = " ".join(rng.choice(["+1 (269) 555-3296", "4111111111111111", "10.2.3.4", "a@b.co", "x@@y.z", "word", "12-34 56", "5555"]) for _ in range(40))
+        base = personal_data.base_spans(text)
+        found = learnt.added(text, base)
+        spans = [s for s in personal_data.proposals(text) if s not in base]
+        scores = learnt.trees.predict(np.array([personal_data.features(text, s) for s in spans], dtype=float))
+        want, taken = [], [s[1:] for s in base]
+        for k in np.argsort(-scores, kind="stable"):
+            kind, start, end = spans[k]
+            if scores[k] >= learnt.thresholds[kind] and all(end <= a or start >= b for a, b in taken):
+                taken.append((start, end))
+                want.append(spans[k])
+        assert found == want
+
+
+def test_long_contact_lists_take_time_in_proportion(learnt):
+    import time
+    line = "call +1 (269) 555-3296 4111111111111111 or a@b.example.com, 10.0.0.1\n"
+    seconds = []
+    for n in (600, 2400):
+        text = "".join(f"{i} {line}" for i in range(n))
+        base = personal_data.base_spans(text)
+        start = time.process_time()
+        added = learnt.added(text, base)
+        personal_data.masked(text, base + added)
+        seconds.append(time.process_time() - start)
+    assert seconds[1] < 6 * seconds[0] + 0.5
+    start = time.process_time()
+    for text in ("x" * 200_000 + " a@b.co", "@" * 100_000, "a@" * 50_000, "1 " * 100_000):
+        personal_data.proposals(text)
+    assert time.process_time() - start < 20
+
+
 def test_long_runs_take_time_in_proportion():
     for text in ("a" * 200_000, "1" * 200_000, "+" + "1 " * 100_000, "f" * 200_000, "1." * 100_000, "password" + " " * 200_000):
         personal_data.base_spans(text), secrets.base_spans(text), secrets.context_values(text)
 
 
 def exhaustive_cost(value):
-    """Guess cost by trying all segmentations into words and single characters (no dates, walks or repeats in the value)."""
+    """Guess cost by trying all segmentations into words, dates, walks, repeats and single characters."""
     import math
     from functools import lru_cache
-    kinds = 26 * any(c.islower() for c in value) + 26 * any(c.isupper() for c in value) + 10 * any(c.isdigit() for c in value) or 10
+    kinds = 26 * any("a" <= c <= "z" for c in value) + 26 * any("A" <= c <= "Z" for c in value) + 10 * any("0" <= c <= "9" for c in value)
+    lower, plain = value.lower(), value.lower().translate(secrets._PLAIN)
     rank = {w: i + 1 for i, w in enumerate(secrets.COMMON_WORDS)}
 
+    def pieces(i, j):
+        piece, size = lower[i:j], j - i
+        if size >= 3 and (found := rank.get(piece) or rank.get(plain[i:j])):
+            yield found * 10 ** ((value[i:j] != piece) + (piece not in rank)) + 1
+        if size >= 3 and all(lower[k:k + 2] in secrets._NEXT or plain[k:k + 2] in secrets._NEXT for k in range(i, j - 1)):
+            yield secrets.WALK_CHOICES * size
+        for period in secrets.PERIODS:
+            if i >= period and size >= max(2, period) and all(value[k] == value[k - period] for k in range(i, j)):
+                yield period * size
+        if (m := secrets._DATE.match(value, i)) and m.end() == j:
+            yield 36500 if size > 4 else 100
+        if size == 4 and value[i:j].isdigit() and value[i:i + 2] in ("19", "20"):
+            yield 100
+
     @lru_cache(None)
     def best(at):
         if at == len(value):
             return 0.0
-        costs = [math.log10(max(kinds, 10)) + best(at + 1)]
-        for end in range(at + 3, len(value) + 1):
-            if value[at:end] in rank:
-                costs.append(math.log10(rank[value[at:end]] + 1) + best(end))
-        return min(costs)
+        return min([math.log10(max(kinds, 10)) + best(at + 1)] + [
+            math.log10(x) + best(end) for end in range(at + 2, len(value) + 1) for x in pieces(at, end)])
 
     return best(0)
 
 
-@pytest.mark.parametrize("value", ["password", "kzmonkeyqb", "secretgarden", "blueredkv", "xkvbqjz"])
+@pytest.mark.parametrize("value", ["password", "kzmonkeyqb", "secretgarden", "blueredkv", "xkvbqjz", "wintertyuiop", "Accesssssss", "rererewertyuiuytrew", "aaaaaabcbcbcbc", "x19840312y2024"])
 def test_cheapest_segmentation(value):
     assert secrets.guess_cost(value) == pytest.approx(exhaustive_cost(value))
 
 
+def test_cheapest_segmentation_of_random_values():
+    rng = random.Random(11)
+    for alphabet in ("ab", "qwertyu", "asdasdqwe1", "0123456789", "aA1", "loveword"):
+        for _ in range(60):
+            value = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 22)))
+            for inserted in rng.sample(["winter", "tyuiop", "2023", "20231105", "aaaa", "abcabc"], rng.randint(0, 2)):
+                at = rng.randint(0, len(value))
+                value = value[:at] + inserted + value[at:]
+            assert secrets.guess_cost(value) == pytest.approx(exhaustive_cost(value)), value
+
+
+def test_cost_of_long_values_takes_time_in_proportion():
+    import time
+    for make in (lambda n: "a" * n, lambda n: "qwertyuiop" * (n // 10), lambda n: "abcd" * (n // 4), lambda n: "ab12" * (n // 8) + "qwe" * (n // 6)):
+        seconds = []
+        for n in (10_000, 40_000):
+            start = time.process_time()
+            secrets.guess_cost(make(n))
+            seconds.append(time.process_time() - start)
+        assert seconds[1] < 8 * seconds[0] + 0.5
+
+
 def test_patterns_are_cheap_and_noise_is_dear():
     for cheap in ("qwertyuiop", "aaaaaaaaaaaa", "abcabcabcabc", "19840312", "Password2024", "letmein", "changeme"):
         assert secrets.guess_cost(cheap) < secrets.LEAST_GUESSES

@@ -140,7 +140,10 @@ def _same(keys: Sequence[str], prefix: str, *more: Column) -> Column:
 
 
 def prove(leaves: DataFrame, group: str, order: str, digest: str, fanout: int = FANOUT, block_levels: int = 3) -> DataFrame:
-    """The rows of ``leaves`` with ``path`` (from leaf to root), ``subroot`` and ``root``. ``digest`` holds the leaf hashes."""
+    """The rows of ``leaves`` with ``path`` (from leaf to root), ``subroot`` and ``root``.
+
+    ``digest`` names the column of leaf hashes, ``order`` the column they ascend by within ``group``.
+    """
     per_block = fanout ** block_levels
     kept = [c for c in leaves.columns if c not in (group, digest)]
     rows = leaves.select(F.col(group).alias("tree"), F.col(digest).alias("digest"), F.struct(*kept).alias("carried"), F.col(order).alias("place"))
@@ -195,14 +198,14 @@ def prove(leaves: DataFrame, group: str, order: str, digest: str, fanout: int =
 
 def manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, group: str = "source", order: str = "doc_id", altered: dict[str, Column] | None = None,
              fanout: int = FANOUT, block_levels: int = 3) -> DataFrame:
-    """Of each row: ``order``, ``group``, ``leaf``, ``path``, ``subroot``, ``root`` and ``altered_leaf``, the leaf with the
+    """Of each row: ``order``, ``altered_leaf``, ``group``, ``leaf``, ``path``, ``subroot`` and ``root``.
 
-    fields that ``altered`` gives (null stands for the row as it is).
+    ``altered_leaf`` is the leaf of the row with the fields that ``altered`` gives; null without any.
     """
     leaves = docs.select(
         F.col(order), F.col(group).alias("__group"), leaf_digest(fields).alias("leaf"),
         (leaf_digest([altered.get(f, F.col(f)) for f in fields]) if altered else F.lit(None).cast("string")).alias("altered_leaf"))
-    return prove(leaves, "__group", order, "leaf", fanout, block_levels)
+    return prove(leaves, "__group", order, "leaf", fanout, block_levels).withColumnRenamed("__group", group)
 
 
 def verify(proven: DataFrame, leaf: str = "leaf") -> DataFrame:

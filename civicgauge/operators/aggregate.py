@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,19 @@ from pyspark.sql import functions as F
 from civicgauge.functions.numbers import ratio, share
 from civicgauge.operators.ordered import number_rows
 
+#: Rows that a task groups at a time where a table is dealt by its size, and the tables that are small enough to be left alone.
+ROWS_IN_TASK, SMALL_TABLE = 500_000, 4_000_000
+
+
+def parts_for(rows: int) -> int | None:
+    """Partitions to deal a table of so many rows over, so that a task's share does not grow with it; none for a small table."""
+    return math.ceil(rows / ROWS_IN_TASK) if rows > SMALL_TABLE else None
+
+
+def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """Rows with equal keys in one of ``parts`` partitions; without a number they stay, and the session deals as it does."""
+    return df.repartition(parts, *keys) if parts else df
+
 
 def count_by(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
@@ -92,15 +106,17 @@ def texts_in_parts(df: DataFrame, keys: Sequence[str], column: str, name: str, m
     return placed.groupBy(*keys, "part").agg(F.array_join(F.sort_array(F.collect_list("__v")), separator).alias(name))
 
 
-def concat_all_by(df: DataFrame, keys: Sequence[str], column: str, name: str, separator: str = ", ", count: str | None = None) -> DataFrame:
+def concat_all_by(df: DataFrame, keys: Sequence[str], column: str, name: str, separator: str = ", ", count: str | None = None,
+                  parts: int | None = None) -> DataFrame:
     """Every value of a group, repeats included, in sorted order; a group of nulls gives null. ``count`` names its rows.
 
     The text is as long as the group's values together, so it is meant for groups of bounded size.
 
     Repeats are counted per (group, value) first and written out at the end, so one row per distinct value is shuffled.
+    With ``parts`` both steps are dealt over that many partitions, the first by group and value, the second by group.
     """
-    counted = df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("__n"))
-    return texts_by_count(counted, keys, column, "__n", name, separator, count)
+    counted = dealt(df, parts, *keys, column).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("__n"))
+    return texts_by_count(dealt(counted, parts, *keys), keys, column, "__n", name, separator, count)
 
 
 def texts_by_count(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicgauge.functions import active_in_window, parse_date, percent_text, ratio, recode
-from civicgauge.operators.aggregate import concat_all_by, count_when, sum_or_zero
+from civicgauge.operators.aggregate import concat_all_by, count_when, dealt, sum_or_zero
 from civicgauge.operators.joins import join_natural
 from civicgauge.operators.project import drop_incomplete, drop_members
 from civicgauge.operators.ranking import share_in_group, top_n_with_other, with_order_rank
@@ -24,19 +24,22 @@ REPO_SCHEMA = (
 
 def repo_facts(
     repos: DataFrame, languages: DataFrame, commits: DataFrame, contributors: DataFrame, key: str = "repo",
+    parts: int | None = None,
 ) -> DataFrame:
     """One row per repository from landed records: languages, commits, first and last commit, contributors.
 
     Each child table is reduced to one row per repository before it is joined, and all meet on the same key, so
     their shuffles are shared. An empty repository (size 0) keeps its row with nulls; one without commits has 0.
+    ``parts``: partitions that all of them are dealt over, for tables whose share of a session's fixed number is too much
+    for one task.
     """
     history = commits.groupBy(key).agg(
         F.count(F.lit(1)).alias("num_commits"), F.min("author_date").alias("first_commit_date"),
         F.max("author_date").alias("last_commit_date"))
-    people = concat_all_by(contributors, [key], "login", "contributor_usernames", count="num_contributors")
-    written_in = concat_all_by(languages, [key], "language", "languages")
-    out = repos
-    for side in (written_in, history, people):
+    people = concat_all_by(contributors, [key], "login", "contributor_usernames", count="num_contributors", parts=parts)
+    written_in = concat_all_by(languages, [key], "language", "languages", parts=parts)
+    out = dealt(repos, parts, key)
+    for side in (written_in, dealt(history, parts, key), people):
         out = out.join(side, key, "left")
     has_content = F.col("size") > 0
     children = ["languages", "first_commit_date", "last_commit_date", "num_contributors", "contributor_usernames"]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicgauge.functions import annualise, duration_days, exact_sum, group_of, hit_flags, row_sum
+from civicgauge.operators.aggregate import dealt, parts_for
 from civicgauge.plans.opensource import repo_facts
 from civicgauge.plans.staffing import job_class
 from queries.registry import load
@@ -159,8 +160,9 @@ spend AS (
 )"""
 
 
-def repo_records(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Landed records of each repository: itself, its commits, languages and contributors."""
+def repo_records(spark: SparkSession, folder: str) -> dict[str, DataFrame | int | None]:
+    """Landed records of each repository: itself, its commits, languages and contributors, and partitions for so many lines."""
+    parts = parts_for(load(spark, folder, "lineitem").count())
     owners = load(spark, folder, "customer").join(load(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     orders = load(spark, folder, "orders").select("o_orderkey", F.col("o_custkey").alias("repo"), "o_orderdate")
     lines = load(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").join(
@@ -171,8 +173,9 @@ def repo_records(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
             F.col("c_custkey").alias("repo"), F.col("c_name").alias("repo_url"), F.col("n_name").alias("agency"),
             F.when(F.col("c_acctbal") > 0, 1).otherwise(0).alias("size")),
         "commits": orders.select("repo", F.col("o_orderdate").alias("author_date")),
-        "languages": brands.select("repo", F.col("p_brand").alias("language")).distinct(),
-        "contributors": lines.select("repo", F.col("l_suppkey").cast("string").alias("login")).distinct(),
+        "languages": dealt(brands.select("repo", F.col("p_brand").alias("language")), parts, "repo", "language").distinct(),
+        "contributors": dealt(lines.select("repo", F.col("l_suppkey").cast("string").alias("login")), parts, "repo", "login").distinct(),
+        "parts": parts,
     }
 
 

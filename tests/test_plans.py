@@ -1,5 +1,6 @@
 """The jobs on small invented rows in the shape of the published inputs, with the usual code lists."""
 
+import re
 from datetime import date
 
 import pandas as pd
@@ -303,6 +304,33 @@ def test_repo_facts(spark, rows):
         ("a", "C, R", 2, "2019-01-01", "2020-01-02", 2, "x, y"), ("b", None, None, None, None, None, None), ("c", None, 0, None, None, None, None)]
 
 
+def test_repo_records_are_dealt_by_their_size(spark, rows, tmp_path, monkeypatch):
+    from civicgauge.operators import aggregate
+    from queries import stand_ins
+    from queries.registry import SCHEMAS
+
+    def save(table, data):
+        names = [c.split()[0] for c in SCHEMAS[table].split(", ")]
+        kinds = spark.createDataFrame([], SCHEMAS[table]).schema
+        spark.createDataFrame([tuple(x.get(n) for n in names) for x in data], kinds).write.parquet(f"{tmp_path}/{table}.parquet")
+
+    save("nation", [{"n_nationkey": 1, "n_name": "N"}])
+    save("customer", [{"c_custkey": k, "c_name": f"c{k}", "c_nationkey": 1, "c_acctbal": 1.0} for k in (1, 2, None)])
+    save("orders", [{"o_orderkey": k, "o_custkey": k % 2 + 1} for k in range(6)] + [{"o_orderkey": 9}])
+    save("part", [{"p_partkey": k, "p_brand": f"b{k % 3}"} for k in range(5)])
+    save("lineitem", [{"l_orderkey": k % 7, "l_partkey": k % 5, "l_suppkey": k % 4 if k % 6 else None} for k in range(35)])
+    columns = ["repo", "num_commits", "languages", "num_contributors", "contributor_usernames"]
+    small = opensource.repo_facts(**stand_ins.repo_records(spark, str(tmp_path)))
+    monkeypatch.setattr(aggregate, "SMALL_TABLE", 10)
+    monkeypatch.setattr(aggregate, "ROWS_IN_TASK", 3)
+    large = opensource.repo_facts(**stand_ins.repo_records(spark, str(tmp_path)))
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(repo#\d+L, login#\d+, 12\)", plan) and re.search(r"hashpartitioning\(repo#\d+L, language#\d+, 12\)", plan)
+    assert re.search(r"hashpartitioning\(repo#\d+L, 12\)", plan)
+    assert large.rdd.getNumPartitions() == 12
+    assert rows(large, *columns) == rows(small, *columns) and len(rows(small)) == 3
+
+
 # ---- summary ----
 
 def test_summary(spark, rows):

@@ -77,6 +77,12 @@ class Vocabulary:
         for text, i in ids.items():
             if len(text) > 1 and self.born[i] < 0:
                 del self.ids[text]  # no merge makes it
+        # Lengths of the tokens that end in the same three bytes, the longest first: few suffixes of a prefix can be tokens.
+        by_end: dict[bytes, set[int]] = {}
+        for text in ids:
+            if len(text) > 2:
+                by_end.setdefault(text[-3:], set()).add(len(text))
+        self.lengths_by_end = {end: (*sorted(found, reverse=True), 2, 1) for end, found in by_end.items()}
 
     def side_by_side(self, a: int, b: int) -> bool:
         """Whether the tokens ``a`` and ``b`` stay two when their bytes are merged in order."""
@@ -118,7 +124,8 @@ class WordTrie:
         Sorted words come in the order of a depth-first walk: each goes down the prefix it shares with the trie, whose
         states are known, and its own nodes get theirs on the way down.
         """
-        below, last, rest, ids, longest, allowed = self.below, self.last, self.rest, self.voc.ids, self.voc.longest, self.allowed
+        below, last, rest, token_of, allowed = self.below, self.last, self.rest, self.voc.ids.get, self.allowed
+        lengths_of, short = self.voc.lengths_by_end.get, (2, 1)
         out, path, previous = {}, [0], b""
         for word in sorted(words):
             shared = 0
@@ -134,11 +141,11 @@ class WordTrie:
                     node = below[step]
                 else:
                     end = at + 1
-                    for start in range(max(0, end - longest), end):
-                        text = word[start:end]
-                        if text not in ids:
+                    for length in lengths_of(word[end - 3:end], short) if end > 2 else short:
+                        start = end - length
+                        if start < 0 or (token := token_of(word[start:end])) is None:
                             continue
-                        token, before = ids[text], path[start]
+                        before = path[start]
                         if not before:
                             break
                         pair = last[before] << 20 | token

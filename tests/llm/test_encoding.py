@@ -44,6 +44,32 @@ def test_shared_prefixes_are_worked_out_once():
     assert len(trie.last) == 1 + len("interest") + len("ed") + len("ing")
 
 
+def test_few_suffixes_of_a_prefix_are_looked_up():
+    voc = bpe.vocabulary(bpe.default_path())
+    looked_up = []
+
+    class Ids(dict):
+        def get(self, text):
+            looked_up.append(text)
+            return dict.get(self, text)
+
+        def __contains__(self, text):
+            looked_up.append(text)
+            return dict.__contains__(self, text)
+
+    chance = random.Random(3)
+    words = [bytes(chance.choices(b"bcdfghjklmnpqrstvwxz", k=12)) for _ in range(200)]
+    trie = bpe.WordTrie(voc)
+    found = trie.encode(words)
+    ids = voc.ids
+    voc.ids = Ids(ids)
+    try:
+        assert bpe.WordTrie(voc).encode(words) == found
+    finally:
+        voc.ids = ids
+    assert len(looked_up) < 3 * len(trie.last)
+
+
 def test_digests_of_rows(spark, reference):
     docs = documents(spark, [*AWKWARD, "a"], ids=[0, 1, 2, 3, 4, 5, 6, 7, 8, None, 4], extra=True)
     found = bpe.round_trip_digests(docs).collect()

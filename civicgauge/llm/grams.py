@@ -14,10 +14,15 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, BETWEEN_WORDS), "")
 
 
+def hashes_of(words: Column) -> Column:
+    """The 64-bit hash of each word."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def with_word_hashes(docs: DataFrame, text: str = "text", name: str = "word_hashes") -> DataFrame:
     """Adds the 64-bit hash of each word of the whole text, in order; none for a null text."""
     words = words_of(F.coalesce(F.col(text), F.lit("")))
-    return docs.withColumn(name, F.transform(words, lambda w: F.xxhash64(w)))
+    return docs.withColumn(name, hashes_of(words))
 
 
 def bucket_of(value: Column, buckets: int = BUCKETS) -> Column:

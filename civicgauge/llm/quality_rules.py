@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civicgauge.llm.grams import BUCKETS, bounded_labels, gram_buckets, with_word_hashes, words_of
+from civicgauge.llm.grams import BUCKETS, bounded_labels, gram_buckets, hashes_of, with_word_hashes, words_of
 from civicgauge.session import durable
 
 SYMBOLS = "[#*$%&|<>]"
@@ -35,14 +35,15 @@ THRESHOLD = -0.12
 def _text_counts(docs: DataFrame, text: str, id_column: str) -> DataFrame:
     """One row for each row of ``docs``: row number, id, the counts of the base rules, and the word hashes."""
     value = F.coalesce(F.col(text), F.lit(""))
-    rows = with_word_hashes(docs.select(F.monotonically_increasing_id().alias("row_number"), F.col(id_column), value.alias("text")))
+    rows = docs.select(F.monotonically_increasing_id().alias("row_number"), F.col(id_column), value.alias("text"))
+    rows = rows.withColumn("words", words_of(F.col("text"))).withColumn("word_hashes", hashes_of(F.col("words")))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
     n = F.size("word_hashes")
     windows = F.transform("word_hashes", lambda h, i: F.xxhash64(
         h, F.get(F.col("word_hashes"), i + 1), F.get(F.col("word_hashes"), i + 2)))
     rows = rows.select(
         "row_number", id_column, F.xxhash64("text").alias("text_hash"), "word_hashes", n.cast("long").alias("n_words"),
-        F.length(F.array_join(words_of(F.col("text")), "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.slice(windows, 1, F.greatest(n - 2, F.lit(0))).alias("windows"))
@@ -66,8 +67,10 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, shri
     ids = trusted.select(F.col(id_column).alias("trusted_id"))
     grams = with_word_hashes(docs.select(F.col(id_column).alias("row_id"), F.col(text).alias("text")))
     grams = grams.join(F.broadcast(ids), F.col("row_id") == F.col("trusted_id"), "left")
-    grams = grams.select(F.col("trusted_id").isNotNull().cast("long").alias("is_trusted"),
-                         F.explode(gram_buckets(F.col("word_hashes"), buckets)).alias("bucket"))
+    # The lists are made before they are taken apart: so Spark compiles the loop over a list together with the count. An inner
+    # explode would put a test of each list's size below its making, and make the lists again.
+    grams = grams.select(F.col("trusted_id").isNotNull().cast("long").alias("is_trusted"), gram_buckets(F.col("word_hashes"), buckets).alias("all_buckets"))
+    grams = grams.select("is_trusted", F.explode_outer("all_buckets").alias("bucket")).filter(F.col("bucket").isNotNull())
     # At most `buckets` rows, written so that the corpus is counted once.
     counts = durable(grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("is_trusted").alias("good")), "gram-counts")
     all_raw, all_good = counts.agg(F.sum("raw")).scalar(), counts.agg(F.sum("good")).scalar()
@@ -85,7 +88,8 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buck
     model = log_ratios(docs, good, buckets, shrink, text, id_column)
     counts = _text_counts(docs, text, id_column)
     keys = ["row_number", id_column, "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    grams = counts.select(*keys, F.explode_outer(gram_buckets(F.col("word_hashes"), buckets)).alias("bucket"))
+    grams = counts.select(*keys, gram_buckets(F.col("word_hashes"), buckets).alias("all_buckets")).select(
+        *keys, F.explode_outer("all_buckets").alias("bucket"))
     # All n-grams of a row are in one task: the sum is finished there but for one row to shuffle.
     scored = grams.join(F.broadcast(model), "bucket", "left").groupBy(*keys).agg(F.avg("log_ratio").alias("mean_ratio"))
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -78,6 +79,18 @@ def test_quality_rules_against_brute_force(spark):
     assert not any(found[i].kept for i in range(30, 50))
 
 
+def test_lists_of_grams_are_taken_apart_in_compiled_code(spark):
+    docs, quality = documents(spark, ["a b c", None]), spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    settings = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(settings)
+    spark.conf.set(settings, "false")
+    try:
+        plan = quality_rules.judge(docs, quality)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(settings, before)
+    assert re.search(r"\*\(\d+\) Generate explode", plan)
+
+
 def test_quality_rules_without_labels_or_rows(spark):
     docs = documents(spark, made_texts()[:3])
     assert [r.log_ratio for r in quality_rules.judge(docs, labels(spark)).collect()] == [0.0] * 3

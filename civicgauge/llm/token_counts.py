@@ -20,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from civicgauge.llm.bpe import Encoder, default_path, encoder
+from civicgauge.llm.bpe import TEXTS_AT_ONCE, Encoder, default_path, encoder
 from civicgauge.llm.tasks import map_rows, text_or_empty
 
 RULES = ("first", "largest", "split")
@@ -90,7 +90,8 @@ def line_token_counts(docs: DataFrame, tokenizer: str | None = None, rule: str =
         return run
 
     kind = dict(docs.dtypes)[id_column]
-    return map_rows(docs, [id_column, text_or_empty(text)], f"`{id_column}` {kind}, section int, start long, end long, n_tokens double", make)
+    return map_rows(docs, [id_column, text_or_empty(text)], f"`{id_column}` {kind}, section int, start long, end long, n_tokens double", make,
+                    TEXTS_AT_ONCE)
 
 
 def field_token_counts(rows: DataFrame, fields: list[str], tokenizer: str | None = None, rule: str = "first",
@@ -113,4 +114,4 @@ def field_token_counts(rows: DataFrame, fields: list[str], tokenizer: str | None
 
     kind = dict(rows.dtypes)[id_column]
     schema = ", ".join([f"`{id_column}` {kind}", *(f"`tokens_{f}` double" for f in fields)])
-    return map_rows(rows, [id_column, *map(text_or_empty, fields)], schema, make)
+    return map_rows(rows, [id_column, *map(text_or_empty, fields)], schema, make, TEXTS_AT_ONCE)

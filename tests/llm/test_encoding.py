@@ -2,8 +2,11 @@
 
 import hashlib
 import random
+import sys
 
+import numpy as np
 import pytest
+import regex
 from tokenizers import Tokenizer
 
 from civicgauge.llm import bpe, token_counts
@@ -70,6 +73,55 @@ def test_few_suffixes_of_a_prefix_are_looked_up():
     assert len(looked_up) < 3 * len(trie.last)
 
 
+def test_new_words_are_encoded_level_by_level(reference):
+    chance = random.Random(5)
+    syllables = ["tion", "er", "an", "th", "eou", "ble", "on", "ed", "sh", "ing"]
+    texts = [" ".join("".join(chance.choices(syllables, k=chance.randint(2, 5))) + chance.choice(["", ",", ".\n"]) for _ in range(200))
+             for _ in range(60)]
+    work, lines = bpe.Encoder(bpe.default_path()), 0
+
+    def trace(frame, event, arg):
+        nonlocal lines
+        if frame.f_code.co_filename != bpe.__file__:
+            return None
+        lines += event == "line"
+        return trace
+
+    work.encode(texts[:1])
+    held = sys.gettrace()
+    sys.settrace(trace)
+    try:
+        found = work.encode(texts)
+    finally:
+        sys.settrace(held)
+    assert found == [b"".join(i.to_bytes(4, "little") for i in reference.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert lines < 2 * sum(map(len, texts))  # of Python; ten to a character when each letter of a new word takes its own steps
+
+
+def test_words_of_many_texts_are_those_of_the_pattern():
+    chance = random.Random(7)
+    letters = ["a", "The", "é", "ß", "日本", "٣", "½", "12", ".", "—", "🙂", "\u0301", "\u200b", "\0", " ", " ", "  ", "\n", "\t", "\r\n", "\u00a0",
+               "\u3000", "\x85", "\x1c", "'", "'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'l", "'S", "𝒳"]
+    texts = ["".join(chance.choices(letters, k=chance.randint(0, 30))) for _ in range(2000)]
+    data = [t.encode() for t in texts]
+    borders = np.cumsum([0, *map(len, data)])
+    starts = bpe.word_starts(b"".join(data), borders)
+    wanted = [w.encode() for t in texts for w in regex.findall(bpe.WORD, t)]
+    assert starts.tolist() == np.cumsum([0, *map(len, wanted)])[:-1].tolist()
+    assert not len(bpe.word_starts(b"", np.array([0]))) and not len(bpe.word_starts(b"", np.array([0, 0, 0])))
+
+
+def test_long_words_and_small_groups(reference, monkeypatch):
+    chance = random.Random(11)
+    texts = ["=" * n for n in (62, 63, 64, 65, 130, 500)] + ["x" * 63, "ab" * 200, "ab" * 200 + "c", "日本語" * 40, "", "0" * 64 + " " * 70 + "-"]
+    texts += ["".join(chance.choices("etaonr", k=chance.randint(50, 90))) for _ in range(30)]
+    wanted = [b"".join(i.to_bytes(4, "little") for i in reference.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert bpe.Encoder(bpe.default_path()).encode(texts) == wanted
+    monkeypatch.setattr(bpe, "CHARACTERS_AT_ONCE", 100)
+    small = bpe.Encoder(bpe.default_path(), kept_words=10, kept_nodes=1)
+    assert small.encode(texts) == wanted == small.encode(texts) and small.encode([]) == []
+
+
 def test_digests_of_rows(spark, reference):
     docs = documents(spark, [*AWKWARD, "a"], ids=[0, 1, 2, 3, 4, 5, 6, 7, 8, None, 4], extra=True)
     found = bpe.round_trip_digests(docs).collect()

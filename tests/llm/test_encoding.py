@@ -73,29 +73,39 @@ def test_few_suffixes_of_a_prefix_are_looked_up():
     assert len(looked_up) < 3 * len(trie.last)
 
 
-def test_new_words_are_encoded_level_by_level(reference):
+def invented_texts():
+    """Texts of words that are mostly new, as ``known`` words cost little."""
     chance = random.Random(5)
     syllables = ["tion", "er", "an", "th", "eou", "ble", "on", "ed", "sh", "ing"]
-    texts = [" ".join("".join(chance.choices(syllables, k=chance.randint(2, 5))) + chance.choice(["", ",", ".\n"]) for _ in range(200))
-             for _ in range(60)]
-    work, lines = bpe.Encoder(bpe.default_path()), 0
+    return [" ".join("".join(chance.choices(syllables, k=chance.randint(2, 5))) + chance.choice(["", ",", ".\n"]) for _ in range(200))
+            for _ in range(60)]
+
+
+def lines_run(work, *given):
+    """Result of the work, and how many lines of Python it ran in the two operators."""
+    lines, files = 0, (bpe.__file__, token_counts.__file__)
 
     def trace(frame, event, arg):
         nonlocal lines
-        if frame.f_code.co_filename != bpe.__file__:
+        if frame.f_code.co_filename not in files:
             return None
         lines += event == "line"
         return trace
 
-    work.encode(texts[:1])
     held = sys.gettrace()
     sys.settrace(trace)
     try:
-        found = work.encode(texts)
+        return work(*given), lines
     finally:
         sys.settrace(held)
+
+
+def test_new_words_are_encoded_level_by_level(reference):
+    texts, work = invented_texts(), bpe.Encoder(bpe.default_path())
+    work.encode(texts[:1])
+    found, lines = lines_run(work.encode, texts)
     assert found == [b"".join(i.to_bytes(4, "little") for i in reference.encode(t, add_special_tokens=False).ids) for t in texts]
-    assert lines < 2 * sum(map(len, texts))  # of Python; ten to a character when each letter of a new word takes its own steps
+    assert lines < 2 * sum(map(len, texts))  # ten to a character when each letter of a new word takes its own steps
 
 
 def test_words_of_many_texts_are_those_of_the_pattern():
@@ -161,6 +171,26 @@ def brute_force_lines(reference, text):
     return counts
 
 
+def test_lines_of_new_words_are_counted_without_steps_for_each_letter(reference, monkeypatch):
+    made = []
+    monkeypatch.setattr(token_counts, "map_rows", lambda df, columns, schema, make, *rest: made.append(make))
+    monkeypatch.setattr(token_counts, "encoder", bpe.Encoder)  # one that has met nothing yet
+
+    class Docs:
+        dtypes = [("doc_id", "bigint"), ("text", "string")]
+
+    monkeypatch.setattr(token_counts, "text_or_empty", lambda name: name)
+    token_counts.line_token_counts(Docs())
+    texts, run = invented_texts(), made[0]()
+    run([0], ["a b"])
+    (ids, sections, *_, counts), lines = lines_run(run, list(range(len(texts))), texts)
+    assert lines < 2 * sum(map(len, texts))
+    for i in (0, 17, 59):
+        own = [k for k, doc in enumerate(ids) if doc == i]
+        assert [sections[k] for k in own] == list(range(len(own)))
+        assert [counts[k] for k in own] == brute_force_lines(reference, texts[i])
+
+
 @pytest.mark.parametrize("text", ["one\ntwo three\n\nfour", "\n\n\nx\n", "é\n🙂🙂\nnaïve", "a\n" * 50, "no break"])
 def test_line_counts(spark, reference, text):
     rows = token_counts.line_token_counts(documents(spark, [text])).orderBy("section").collect()

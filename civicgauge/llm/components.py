@@ -13,7 +13,8 @@ def components(links: DataFrame) -> DataFrame:
 
     ``links`` has the columns ``a`` and ``b``. Large-star and small-star steps alternate until nothing changes, so a chain
     of any length takes few rounds. A round is two aggregates and two joins on narrow rows; its links are written, so that
-    a lost executor repeats one round at most. Only counts come to the driver.
+    a lost executor repeats one round at most. Only a count and two marks of all links come to the driver; marks are
+    combined by exclusive or, which no number of links carries past 64 bits, as it does a sum.
     """
     edges = durable(_pointing_down(links), "links")
     before = None
@@ -27,7 +28,7 @@ def components(links: DataFrame) -> DataFrame:
         # Each node below a goes to the smallest of them, and so does a.
         edges = durable(_pointing_down(small.select(F.explode(F.array(
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")), "links")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("a", "b"), 8))).first())
+        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64(F.lit(1), "a", "b"))).first())
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = now

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from civicgauge.llm import near_duplicates, vector_links
 from civicgauge.llm.components import components
@@ -44,6 +45,15 @@ def test_components_of_chains_stars_and_cycles(spark):
     assert components(spark.createDataFrame([], "a int, b int")).count() == 0
 
 
+def test_components_of_links_whose_marks_add_up_past_64_bits(spark):
+    """Links that are all hashed to large numbers stand in for the hundreds of thousands of a large table."""
+    pairs = spark.range(8_000).select((2 * F.col("id") + 1).alias("a"), (2 * F.col("id")).alias("b"))
+    pairs = pairs.filter(F.shiftright(F.xxhash64("a", "b"), 8) > 1 << 54)
+    assert sum(r[0] for r in pairs.select(F.shiftright(F.xxhash64("a", "b"), 8)).collect()) >= 1 << 63
+    nodes = sorted(r.a for r in pairs.collect())
+    assert sorted((r.node, r.root) for r in components(pairs).collect()) == [(a, a - 1) for a in nodes]
+
+
 # ---- vectors ----
 
 def test_decoding_finds_all_filters_over_the_threshold():

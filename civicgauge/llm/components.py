@@ -14,7 +14,7 @@ def components(links: DataFrame) -> DataFrame:
     ``links`` has the columns ``a`` and ``b``. Large-star and small-star steps alternate until nothing changes, so a chain
     of any length takes few rounds. A round is two aggregates and two joins on narrow rows; its links are written, so that
     a lost executor repeats one round at most. Only a count and two marks of all links come to the driver; marks are
-    combined by exclusive or, which no number of links carries past 64 bits, as it does a sum.
+    combined by exclusive or, as sums of many links would pass 64 bits.
     """
     edges = durable(_pointing_down(links), "links")
     before = None

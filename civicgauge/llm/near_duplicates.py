@@ -10,8 +10,10 @@ classes that share a band are candidates:
 
 1. each class is compared with the smallest class of its bands (as many pairs as band rows, not all pairs of a group);
 2. links found join classes into components; bands whose classes are all in one component are done;
-3. in the other bands all classes are compared with each other, in tiles of bounded size: a band is cut into blocks by
-   its volume and each two blocks meet in a task of their own. A task returns the links that join components only.
+3. in the other bands classes of different components are compared, in tiles of bounded size: a band over that size is cut
+   into blocks by its volume, those of its largest component apart. Each two blocks meet in a task of their own, but for
+   two of the largest component, whose classes are joined already; so a large group costs its size times what is left
+   outside of it. A task returns the links that join components only.
 
 So each candidate pair is decided by links on full sets, and none is dropped for the size of its group. With 20 bands of
 5 positions a pair at the threshold of 0.85 misses all bands with a probability of 8 in a million.
@@ -147,7 +149,8 @@ def full_sets(docs: DataFrame, shingle: int, text: str = "text") -> DataFrame:
 def tile_links(rows: pa.Table, per_cent: int) -> list | None:
     """Links that join components among the sets of one tile. ``block`` 0 or 1 tells the two blocks of a tile apart;
 
-    sets of one block are compared with each other only in the tile of that block with itself (where all are 0).
+    sets of one block are compared with each other only in the tile of that block with itself (where all are 0). There the
+    sets of the component with the most of them are compared with the others only.
     """
     elements, at = list_column(rows, "elements")
     ids, sizes, block = rows.column("set_id").to_pylist(), np.diff(at), rows.column("block").to_numpy()
@@ -163,21 +166,24 @@ def tile_links(rows: pa.Table, per_cent: int) -> list | None:
             x = parent[x]
         return x
 
-    _, number = np.unique(elements, return_inverse=True)
-    owner_of = np.repeat(np.arange(len(ids)), sizes)[np.argsort(number, kind="stable")]
-    starts = np.concatenate(([0], np.cumsum(np.bincount(number))))
-    out: list = [[], []]
     two_blocks = bool(block.any())
-    for u in range(len(ids)):
-        if two_blocks and block[u]:
-            continue
+    ones = np.array(root)
+    last = block == 1 if two_blocks else ones == np.argmax(np.bincount(ones))
+    distinct, number = np.unique(elements, return_inverse=True)
+    owner, held = np.repeat(np.arange(len(ids)), sizes), number
+    if two_blocks:
+        owner, held = owner[last[owner]], number[last[owner]]
+    owner_of = owner[np.argsort(held, kind="stable")]
+    starts = np.concatenate(([0], np.cumsum(np.bincount(held, minlength=len(distinct)))))
+    out: list = [[], []]
+    for u in np.flatnonzero(~last).tolist():
         mine = number[at[u]:at[u + 1]]
-        # Sets that hold u's elements, one entry for each element shared.
+        # Sets that hold u's elements (in a tile of two blocks, those of the other one), one entry for each element shared.
         lengths = starts[mine + 1] - starts[mine]
         spots = np.repeat(starts[mine] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
         common = np.bincount(owner_of[spots], minlength=len(ids))
         fits = 100 * common >= per_cent * (sizes[u] + sizes - common)
-        fits &= (block == 1) if two_blocks else (np.arange(len(ids)) > u)
+        fits &= last if two_blocks else last | (np.arange(len(ids)) > u)
         for v in np.flatnonzero(fits).tolist():
             a, b = top(root[u]), top(root[v])
             if a != b:
@@ -215,13 +221,22 @@ def links(docs: DataFrame, sketches: DataFrame, shingle: int = SHINGLE, per_cent
     placed = members.join(roots, F.col("set_id") == F.col("node"), "left").select(
         "key", "set_id", "n", F.coalesce("root", "set_id").alias("root"))
     # Bands whose sets are still in several components; of bands with the same sets, told by 128 bits, one is enough.
-    undone = placed.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"), F.sum("n").alias("volume"), F.min("root").alias("low"), F.max("root").alias("high"),
-        F.bit_xor(F.xxhash64("set_id")).alias("mark"), F.bit_xor(F.xxhash64(F.lit(1), "set_id")).alias("other_mark")).filter("low <> high")
-    undone = undone.groupBy("size", "volume", "mark", "other_mark").agg(F.min("key").alias("key")).select(
-        "key", F.ceil(F.col("volume") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
-    tiled = placed.join(undone, "key").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    undone = placed.groupBy("key", "root").agg(
+        F.count(F.lit(1)).alias("size"), F.sum("n").alias("volume"),
+        F.bit_xor(F.xxhash64("set_id")).alias("mark"), F.bit_xor(F.xxhash64(F.lit(1), "set_id")).alias("other_mark"))
+    undone = undone.groupBy("key").agg(
+        F.count(F.lit(1)).alias("roots"), F.sum("size").alias("size"), F.sum("volume").alias("volume"), F.max(F.struct("volume", "root")).alias("main"),
+        F.bit_xor("mark").alias("mark"), F.bit_xor("other_mark").alias("other_mark")).filter("roots > 1")
+    undone = undone.groupBy("size", "volume", "mark", "other_mark").agg(F.min(F.struct("key", "main")).alias("one")).select("one.*", "volume")
+    # A band of more than one block: blocks of its largest component, after those of the others.
+    whole, main = F.col("volume") <= BLOCK_SHINGLES, F.col("main.volume")
+    undone = undone.select(
+        "key", F.col("main.root").alias("main"), F.when(whole, 1).otherwise(F.ceil((F.col("volume") - main) / BLOCK_SHINGLES)).cast("int").alias("blocks"),
+        F.when(whole, 0).otherwise(F.ceil(main / BLOCK_SHINGLES)).cast("int").alias("main_blocks"))
+    mark, in_main = F.xxhash64("set_id"), (F.col("main_blocks") > 0) & (F.col("root") == F.col("main"))
+    block = F.when(in_main, F.col("blocks") + F.pmod(mark, F.greatest("main_blocks", F.lit(1)))).otherwise(F.pmod(mark, F.col("blocks"))).cast("int")
+    met_blocks = F.col("blocks") + F.when(in_main, 0).otherwise(F.col("main_blocks"))
+    tiled = placed.join(undone, "key").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), met_blocks - 1)))
     tiled = tiled.select("key", "set_id", "root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
                          (F.col("own") > F.col("other")).cast("int").alias("block"))
     tiled = tiled.join(sets, "set_id")

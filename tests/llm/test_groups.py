@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from civicgauge.llm import near_duplicates, vector_links
 from civicgauge.llm.components import components
 from civicgauge.llm.queries import ORACLES, QUERIES
+from civicgauge.llm.tasks import map_groups
 from tests.llm.cases import AWKWARD, documents
 from tests.oracle import compare, connect
 
@@ -146,6 +147,19 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, size, per_cent, b
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == brute_force(texts, size, per_cent)
 
 
+def test_tiles_of_a_large_component_grow_with_its_size(spark, monkeypatch):
+    """Classes that are joined already do not meet again, however many blocks their bands have."""
+    rows_in_tiles = []
+    monkeypatch.setattr(near_duplicates, "BLOCK_SHINGLES", 1000)
+    monkeypatch.setattr(near_duplicates, "map_groups", lambda df, *rest: rows_in_tiles.append(df.count()) or map_groups(df, *rest))
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(200)]
+    texts = [varied(rng, base, 2) for _ in range(200)] + [varied(rng, base, 12) for _ in range(12)]
+    found = near_duplicates.near_duplicates(documents(spark, texts), 3, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == brute_force(texts, 3, 85)
+    assert 0 < rows_in_tiles[0] < 3 * len(texts) * near_duplicates.BANDS, rows_in_tiles
+
+
 def test_repeated_rows_and_rows_without_id(spark):
     docs = documents(spark, ["a b c d", "a b c d", "a b c d", None], ids=[5, 5, None, None])
     found = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates.near_duplicates(docs, 3).collect()), key=str)
